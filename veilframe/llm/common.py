@@ -71,7 +71,7 @@ def fold(col: str, modulus: int):
 
 
 def group_min(df: DataFrame, key: str, ident: str) -> DataFrame:
-    """(ident, leader, members): the smallest `ident` with the same `key`.
+    """(ident, key, leader, members): the smallest `ident` with the same `key`.
 
     Rows of a frequent key are dealt over SALTS tasks, aggregated there first, and
     joined back salted, so no task sees more than 1/SALTS of a key's rows.
@@ -85,6 +85,7 @@ def group_min(df: DataFrame, key: str, ident: str) -> DataFrame:
     same = F.col("_key").eqNullSafe(F.col("_k2")) & (base["_salt"] == spread["_salt"])
     return base.join(spread, same, "left").select(
         F.col("_id").alias(ident),
+        F.col("_key").alias(key),
         F.coalesce("_leader", "_id").alias("leader"),
         F.coalesce("_members", F.lit(1).cast("long")).alias("members"),
     )

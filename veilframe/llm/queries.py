@@ -7,18 +7,35 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilframe.llm import mixing
+from veilframe.llm import mixing, packing, quality_rules, warc
 from veilframe.llm.common import table
 
 
+def op4_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_pages(table(spark, sf_dir, "pages"))
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).drop("copies")
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = quality_rules.trusted_documents(table(spark, sf_dir, "labels"))
+    return quality_rules.quality_rules(table(spark, sf_dir, "documents"), trusted)
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op4_warc_archives": op4_warc_archives,
     "op5_mix_sources": op5_mix_sources,
+    "op7_quality_rules": op7_quality_rules,
+    "op9_packing": op9_packing,
 }
 
 ORACLE_SQL = {
+    "op4_warc_archives": warc.ORACLE_SQL,
     "op5_mix_sources": mixing.ORACLE_SQL,
 }

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilframe.llm import langid_ecoc, mixing, ngram_join, packing, quality_knn, quality_rules, warc
+from veilframe.llm import langid_ecoc, mixing, ngram_join, packing, ppm, quality_knn, quality_rules, warc
 from veilframe.llm.common import table
 
 
@@ -15,6 +15,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid_ecoc.identify(table(spark, sf_dir, "documents"))
 
 
+def op3_ppm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op4_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(table(spark, sf_dir, "pages"))
 
@@ -42,6 +46,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op3_ppm_scoring": op3_ppm_scoring,
     "op4_warc_archives": op4_warc_archives,
     "op5_mix_sources": op5_mix_sources,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,

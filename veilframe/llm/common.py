@@ -3,6 +3,7 @@ grouping, connected components, and byte-level text kernels on Arrow buffers."""
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -40,6 +41,8 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """Write `df` to the shared folder and read it back: lineage ends there, so a
     lost executor costs a re-read and not a recomputation."""
     path = new_path(df.sparkSession, name)
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()  # shuffle files of plans that are done go now
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

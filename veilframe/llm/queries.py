@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilframe.llm import langid_ecoc, mixing, ngram_join, packing, ppm, quality_knn, quality_rules, warc
+from veilframe.llm import langid_ecoc, mixing, ngram_join, packing, ppm, quality_knn, quality_rules, suffix_dedup, warc
 from veilframe.llm.common import table
 
 
@@ -44,6 +44,10 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op3_ppm_scoring": op3_ppm_scoring,
@@ -53,6 +57,7 @@ QUERIES = {
     "op7_quality_rules": op7_quality_rules,
     "op8_quality_classifier": op8_quality_classifier,
     "op9_packing": op9_packing,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 
 ORACLE_SQL = {

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import re
+import struct
+import unicodedata
 import zlib
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +28,24 @@ PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 _SPECIAL = re.compile(r"<\|(?:startoftext|endoftext)\|>")
 #: White space to Python's split() but not to the tokenizer.
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
+#: The tokenizer's pattern (a fixed value), and words whose normal form is simple:
+#: printable ASCII, or with Latin letters of one form.
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_SPLIT = regex.compile(_PATTERN)
+_SPLIT_ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
+_ASCII = re.compile("[!-~]+")
+_LATIN = re.compile("[!-~\u00c0-\u012f\u0131-\u017f]+")
+
+
+def byte_letters() -> dict[int, int]:
+    """The letter that byte-level vocabularies write for each byte: its own where
+    that is printable, else the next from U+0100 on."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in shown]
+    return {b: b for b in shown} | {b: 0x100 + k for k, b in enumerate(rest)}
+
+
+_LETTERS = byte_letters()
 _encoders: dict[str, Encoder] = {}
 
 
@@ -43,16 +64,30 @@ class Encoder:
         self.known: dict[str, bytes] = {}
 
     def _learn(self, new: list[str]) -> None:
-        for lo in range(0, len(new), 2000):
-            some = new[lo : lo + 2000]
-            got = self.whole.encode(" ".join(some), add_special_tokens=False)
-            ids = np.asarray(got.ids, "<u4")
-            begins = np.cumsum([0, *(len(w) + 1 for w in some[:-1])])
-            at = np.fromiter((x[0] for x in got.offsets), np.int64, len(ids))
-            to = np.append(np.searchsorted(at, begins), len(ids))
-            raw = ids.tobytes()
-            for k, word in enumerate(some):
-                self.known[word] = raw[4 * to[k] : 4 * to[k + 1]]
+        tokenize, known, rest = self.whole.model.tokenize, self.known, []
+        for word in new:
+            if _ASCII.fullmatch(word):
+                parts = _SPLIT_ASCII.findall(word.lower())
+            elif _LATIN.fullmatch(word):
+                low = unicodedata.normalize("NFC", word).lower()
+                parts = [x.encode().decode("latin-1").translate(_LETTERS) for x in _SPLIT.findall(low)]
+            else:
+                rest.append(word)
+                continue
+            ids = [token.id for part in parts for token in tokenize(part)]
+            known[word] = struct.pack(f"<{len(ids)}I", *ids)
+        for lo in range(0, len(rest), 2000):
+            self._learn_whole(rest[lo : lo + 2000])
+
+    def _learn_whole(self, some: list[str]) -> None:
+        got = self.whole.encode(" ".join(some), add_special_tokens=False)
+        ids = np.asarray(got.ids, "<u4")
+        begins = np.cumsum([0, *(len(w) + 1 for w in some[:-1])])
+        at = np.fromiter((x[0] for x in got.offsets), np.int64, len(ids))
+        to = np.append(np.searchsorted(at, begins), len(ids))
+        raw = ids.tobytes()
+        for k, word in enumerate(some):
+            self.known[word] = raw[4 * to[k] : 4 * to[k + 1]]
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian 32-bit numbers."""

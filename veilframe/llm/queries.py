@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilframe.llm import langid_ecoc, mixing, ngram_join, packing, ppm, quality_knn, quality_rules, suffix_dedup, warc
+from veilframe.llm import embed_dedup, langid_ecoc, mixing, ngram_join, packing, ppm, quality_knn, quality_rules, suffix_dedup, warc
 from veilframe.llm.common import table
 
 
@@ -15,6 +15,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid_ecoc.identify(table(spark, sf_dir, "documents"))
 
 
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op3_ppm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.score_documents(table(spark, sf_dir, "documents"))
 
@@ -50,6 +54,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op2_embedding_dedup": op2_embedding_dedup,
     "op3_ppm_scoring": op3_ppm_scoring,
     "op4_warc_archives": op4_warc_archives,
     "op5_mix_sources": op5_mix_sources,

@@ -3,7 +3,6 @@ grouping, connected components, and byte-level text kernels on Arrow buffers."""
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
@@ -14,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Edges that one union-find task may take; larger graphs are contracted first.
 UNION_FIND_EDGES = 1 << 18
+#: With this setting, a query's shuffle files go when it ends, not some time later.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Ways in which a key's rows are dealt out before they are grouped.
 SALTS = 16
 
@@ -40,10 +41,13 @@ def new_path(spark: SparkSession, name: str) -> str:
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """Write `df` to the shared folder and read it back: lineage ends there, so a
     lost executor costs a re-read and not a recomputation."""
-    path = new_path(df.sparkSession, name)
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()  # shuffle files of plans that are done go now
-    df.write.parquet(path)
+    path, conf = new_path(df.sparkSession, name), df.sparkSession.conf
+    before = conf.get(CLEANUP, "false")
+    conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(CLEANUP, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

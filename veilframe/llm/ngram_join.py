@@ -15,9 +15,12 @@ from veilframe.llm.common import LOWER, blocks, components, cut, group_min, mix,
 WIDTH = 5
 SHARE = (80, 100)
 #: Counters of the frequency sketch, and the parts in which it is summed.
-SKETCH, SLICES = 1 << 20, 64
+SKETCH, SLICES = 1 << 23, 64
 #: Token orders that a pair must agree under.
 ORDERS = 3
+#: Rounds in which documents of a token meet one of another component, before all
+#: pairs that are still open are compared.
+ROUNDS = 4
 #: Postings of a bucket on average, rows of a frequent token in a piece.
 POSTINGS, PIECE = 1_000_000, 1024
 _SEEDS = np.array([0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0, 0x082EFA98EC4E6C89], np.uint64)
@@ -40,17 +43,21 @@ def token_sets(data: np.ndarray, offsets: np.ndarray, width: int = WIDTH) -> tup
     return every[new], np.concatenate([[0], np.cumsum(new)])[at]
 
 
-def excess(tokens: np.ndarray, sketch: np.ndarray) -> np.ndarray:
-    """How far a token's counter stands above what other tokens put there."""
-    mean = float(sketch.mean())
-    over = sketch[(tokens & np.uint64(SKETCH - 1)).astype(np.int64)] - (mean + 6 * mean**0.5 + 4)
-    return np.maximum(over, 0)
+def steps(counts: np.ndarray) -> np.ndarray:
+    """For each counter 0, or how many times its excess over what other tokens put
+    there can be halved, plus 1."""
+    mean = float(counts.mean())
+    over = np.maximum(counts - (mean + 6 * mean**0.5 + 4), 0)
+    return np.where(over > 0, np.log2(over + 1).astype(np.int64) + 1, 0).astype(np.uint8)
 
 
-def order_keys(tokens: np.ndarray, over: np.ndarray, order: int) -> np.ndarray:
+def step_of(tokens: np.ndarray, sketch: np.ndarray) -> np.ndarray:
+    return sketch[(tokens & np.uint64(SKETCH - 1)).astype(np.int64)].astype(np.uint64)
+
+
+def order_keys(tokens: np.ndarray, step: np.ndarray, order: int) -> np.ndarray:
     """Ranks of tokens under one global order: seldom tokens first, in steps of a
     power of two of the excess; ties by a hash that differs from order to order."""
-    step = np.where(over > 0, np.log2(over + 1).astype(np.int64) + 1, 0).astype(np.uint64)
     return step << np.uint64(57) | mix(tokens ^ _SEEDS[order]) >> np.uint64(7)
 
 
@@ -71,21 +78,33 @@ def prefixes(tokens: np.ndarray, bounds: np.ndarray, keys: np.ndarray, share: tu
 
 
 def frequency_sketch(docs: DataFrame) -> np.ndarray:
-    """Documents per counter, for every token of every document: a fixed size.
+    """Steps of the documents per counter, for every token of every document: a fixed
+    size.
 
     `docs` is (doc_id, text). Each task sums its own documents; parts of the
     counters are then summed apart."""
 
     def count(batches):
-        total = np.zeros(SKETCH, np.int64)
+        total, waiting, held = np.zeros(SKETCH, np.uint32), [], 0
+
+        def flush():
+            slots, n = np.unique((np.concatenate(waiting) & np.uint64(SKETCH - 1)).astype(np.uint32), return_counts=True)
+            total[slots] += n.astype(np.uint32)
+
         for batch in batches:
             data, offsets = text_bytes(batch.column(1))
             for lo, hi in blocks(offsets):
-                tokens, _ = token_sets(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-                total += np.bincount((tokens & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
-        parts = total.astype(np.uint32).reshape(SLICES, -1)
+                waiting.append(token_sets(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])[0])
+                held += len(waiting[-1])
+                if held > 2_000_000:
+                    flush()
+                    waiting, held = [], 0
+        if waiting:
+            flush()
+        parts = total.reshape(SLICES, -1)
         if total.any():
-            yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([zlib.compress(p.tobytes(), 1) for p in parts], pa.binary())], names=["slice", "counts"])
+            for k in range(SLICES):
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zlib.compress(parts[k].tobytes(), 1)], pa.binary())], names=["slice", "counts"])
 
     def add(batches):
         total: dict[int, np.ndarray] = {}
@@ -93,13 +112,13 @@ def frequency_sketch(docs: DataFrame) -> np.ndarray:
             for k, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 part = np.frombuffer(zlib.decompress(raw), np.uint32).astype(np.int64)
                 total[k] = total[k] + part if k in total else part
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([zlib.compress(v.tobytes(), 1) for v in total.values()], pa.binary())], names=["slice", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([zlib.compress(v.astype(np.uint32).tobytes(), 1) for v in total.values()], pa.binary())], names=["slice", "counts"])
 
     summed = docs.mapInArrow(count, "slice int, counts binary").repartition(SLICES, "slice").mapInArrow(add, "slice int, counts binary")
-    sketch = np.zeros((SLICES, SKETCH // SLICES), np.int64)
+    sketch = np.zeros((SLICES, SKETCH // SLICES), np.uint32)
     for k, raw in summed.collect():
-        sketch[k] = np.frombuffer(zlib.decompress(raw), np.int64)
-    return sketch.reshape(-1)
+        sketch[k] = np.frombuffer(zlib.decompress(raw), np.uint32)
+    return steps(sketch.reshape(-1))
 
 
 def describe(docs: DataFrame, sketch, share: tuple[int, int]) -> DataFrame:
@@ -118,7 +137,7 @@ def describe(docs: DataFrame, sketch, share: tuple[int, int]) -> DataFrame:
                     a = np.concatenate([[0], np.cumsum(mix(tokens ^ _SEEDS[3]))]).astype(np.uint64)
                     b = np.concatenate([[0], np.cumsum(mix(tokens * np.uint64(3) + np.uint64(1)))]).astype(np.uint64)
                     sign = np.stack([a[bounds[1:]] - a[bounds[:-1]], b[bounds[1:]] - b[bounds[:-1]]], 1)
-                ranks = order_keys(tokens, excess(tokens, counts), 0)
+                ranks = order_keys(tokens, step_of(tokens, counts), 0)
                 sizes += n.tolist()
                 keys += [s.tobytes() for s in sign]
                 heads += [tokens[p].tobytes() for p in prefixes(tokens, bounds, ranks, share)]
@@ -141,7 +160,7 @@ def postings(described: DataFrame, sketch, buckets: int) -> DataFrame:
             each = np.diff(offsets) // 8
             doc = np.repeat(batch.column(0).to_numpy(), each)
             size = np.repeat(batch.column(1).to_numpy(), each)
-            pieces = (excess(tokens, counts) // PIECE).astype(np.uint64) + np.uint64(1)
+            pieces = (np.uint64(1) << step_of(tokens, counts)) // np.uint64(2 * PIECE) + np.uint64(1)
             piece = mix(doc.astype(np.uint64)) % pieces
             bucket = ((mix(tokens ^ _SEEDS[3]) + piece * np.uint64(0x9E3779B9)) % np.uint64(buckets)).astype(np.int64)
             by = np.argsort(bucket, kind="stable")
@@ -167,8 +186,8 @@ PAIR, MEMBER, HEAD = 0, 1, 2
 
 def gather(share: tuple[int, int]):
     """Of each token with several documents: pairs of every document with the
-    smallest, and of neighbours by set size - a number linear in its documents -
-    and the documents themselves, to find the pairs that these leave open."""
+    smallest - a number linear in its documents - and the documents themselves, to
+    find the pairs that these leave open."""
 
     def run(batches):
         got = [_unpack(x.as_py()) for batch in batches for x in batch.column(1)]
@@ -185,12 +204,7 @@ def gather(share: tuple[int, int]):
         size_of_head = np.repeat(size[np.flatnonzero(doc == head)[np.searchsorted(np.flatnonzero(doc == head), first)]], count)
         near = np.minimum(size, size_of_head) * share[1] >= np.maximum(size, size_of_head) * share[0]
         star = some & near & (doc != head)
-        follows = np.zeros(len(token), bool)
-        follows[1:] = (token[1:] == token[:-1]) & (size[:-1] * share[1] >= size[1:] * share[0])
-        follows = np.flatnonzero(follows)
-        a = np.concatenate([head[star], np.minimum(doc[follows - 1], doc[follows])])
-        b = np.concatenate([doc[star], np.maximum(doc[follows - 1], doc[follows])])
-        pairs = np.unique(np.stack([a, b], 1)[a != b], axis=0) if len(a) else np.zeros((0, 2), np.int64)
+        pairs = np.unique(np.stack([head[star], doc[star]], 1), axis=0)
         signed = token.view(np.int64)
         member = some | spread
         heads = first[spread[first]]
@@ -204,20 +218,38 @@ def gather(share: tuple[int, int]):
     return run
 
 
+def zipped(rows: DataFrame) -> DataFrame:
+    """(doc_id, text) with each text compressed: less to shuffle and to keep."""
+
+    def run(batches):
+        import zstandard
+
+        pack = zstandard.ZstdCompressor(level=1).compress
+        for batch in batches:
+            data, offsets = text_bytes(batch.column(1))
+            texts = [pack(data[a:b].tobytes()) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.binary())], names=["doc_id", "text"])
+
+    return rows.mapInArrow(run, "doc_id long, text binary")
+
+
 def verify(pairs: DataFrame, texts: DataFrame, sketch, share: tuple[int, int], width: int = WIDTH) -> DataFrame:
-    """The pairs (a, b) that link. A pair goes on to the exact count only if it
+    """The pairs (a, b) that link; `texts` are zipped. A pair goes on to the exact count only if it
     shares a prefix token under each of the other orders too."""
 
     def run(batches):
+        import zstandard
+
         counts = sketch.value
 
         def prepare(column):
-            data, offsets = text_bytes(column)
-            tokens, bounds = token_sets(data[offsets[0] : offsets[-1]], offsets - offsets[0], width)
-            over = excess(tokens, counts)
-            heads = [prefixes(tokens, bounds, order_keys(tokens, over, k), share) for k in range(1, ORDERS)]
+            data, offsets = text_bytes(pa.array([unzip(x) for x in column.to_pylist()], pa.binary()))
+            tokens, bounds = token_sets(data, offsets, width)
+            step = step_of(tokens, counts)
+            heads = [prefixes(tokens, bounds, order_keys(tokens, step, k), share) for k in range(1, ORDERS)]
             return tokens, bounds, heads
 
+        unzip = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             for lo in range(0, batch.num_rows, 128):
                 part = batch.slice(lo, 128)
@@ -247,10 +279,11 @@ def jaccard_components(docs: DataFrame, ident: str = "doc_id", text: str = "text
 
     Documents with equal sets are one document from the start. Tokens are ordered
     by a sketch of their frequency, so that prefixes hold seldom tokens. Of the
-    documents that share a prefix token, each is compared with a few at first;
-    then all pairs that share a token and are not in one component yet are
-    compared, so no link between components is lost and a large group of copies
-    costs as many comparisons as it has members.
+    documents that share a prefix token, each is compared with the smallest, then
+    in a few rounds with one of another component; then all pairs that share a
+    token and are not in one component yet are compared, so no link between
+    components is lost and a large group of copies costs as many comparisons as it
+    has members.
 
     Null and empty texts have size 0 and link with nothing; with fewer words than
     WIDTH the whole sequence is the one shingle. Shingles are 64-bit hashes. Rows
@@ -277,18 +310,30 @@ def jaccard_components(docs: DataFrame, ident: str = "doc_id", text: str = "text
     across = tops.join(top, "token").where("doc <> least").select(F.col("least").alias("a"), F.col("doc").alias("b"))
     pairs = cut(found.where(f"kind = {PAIR}").select(F.col("x").alias("a"), F.col("y").alias("b")).union(across).distinct(), "pairs")
     candidates = members.select(F.col("doc").alias("doc_id")).union(pairs.select("a")).union(pairs.select("b")).distinct()
-    texts = cut(rows.join(candidates, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
+    texts = cut(zipped(rows).join(candidates, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
     links = cut(verify(pairs, texts, sketch, share), "links")
     known = cut(components(links), "known")
 
-    placed = members.join(known, members["doc"] == known["node"], "left").select("token", "doc", "n", F.coalesce("component", "doc").alias("part"))
-    placed = cut(placed, "placed")
-    mixed = placed.groupBy("token").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("token")
-    open_ = cut(placed.join(mixed, "token", "left_semi"), "open")
+    fits = lambda a, b: F.least(a, b) * share[1] >= F.greatest(a, b) * share[0]
+    ordered = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
+    open_ = members
+    for turn in range(ROUNDS + 1):
+        placed = open_.join(known, open_["doc"] == known["node"], "left").select("token", "doc", "n", F.coalesce("component", "doc").alias("part"))
+        hub = F.min_by(F.struct("doc", "n", "part"), F.xxhash64(F.lit(turn), "doc"))
+        mixed = placed.groupBy("token").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), hub.alias("hub")).where("lo < hi").select("token", "hub")
+        open_ = cut(placed.join(mixed, "token"), "open")
+        if turn == ROUNDS:
+            break
+        met = open_.where((F.col("part") != F.col("hub.part")) & fits("n", "hub.n")).select(*ordered("doc", "hub.doc")).distinct()
+        met = cut(met.join(pairs, ["a", "b"], "left_anti"), "met")
+        links = cut(links.union(verify(met, texts, sketch, share)), "links")
+        pairs = cut(pairs.union(met), "pairs")
+        known = cut(components(links), "known")
+        open_ = open_.select("token", "doc", "n")
     one, two = open_.alias("l"), open_.alias("r")
-    near = (F.least("l.n", "r.n") * share[1] >= F.greatest("l.n", "r.n") * share[0]) & (F.col("l.part") < F.col("r.part"))
+    near = fits("l.n", "r.n") & (F.col("l.part") < F.col("r.part"))
     rest = one.join(two, F.col("l.token") == F.col("r.token")).where(near)
-    rest = rest.select(F.least("l.doc", "r.doc").alias("a"), F.greatest("l.doc", "r.doc").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
+    rest = rest.select(*ordered("l.doc", "r.doc")).distinct().join(pairs, ["a", "b"], "left_anti")
     more = cut(verify(cut(rest, "rest"), texts, sketch, share), "more")
     solved = known if more.isEmpty() else cut(components(links.union(more)), "solved")
     return place(sizes, classes, solved)

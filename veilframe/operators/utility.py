@@ -149,7 +149,7 @@ def u5_fidelity(raw: DataFrame, record: DataFrame, metrics: list[str]) -> DataFr
     gaps = counted.select("metric", "v", F.abs(share("a") - share("b")).alias("gap"), F.lead("v").over(Window.partitionBy("metric").orderBy("v")).alias("next"))
     far = gaps.groupBy("metric").agg(report(F.coalesce(F.sum(F.col("gap") * (F.col("next") - F.col("v"))), F.lit(0.0))).alias("wasserstein"), report(F.max("gap")).alias("ks"))
     change = lambda n: F.try_divide(100.0 * (F.col(f"{n}_rel") - F.col(f"{n}_raw")), F.when(F.col(f"{n}_raw") != 0, F.col(f"{n}_raw")))
-    moved = lambda n: report(F.rint(change(n) * 1e6) / 1e6)
+    moved = lambda n: report(F.rint(change(n) * 1e6) / 1e6 + 0.0)
     out = far.join(stats, "metric").withColumns({f"change_{n}": moved(n) for n in ("mean", "p50", "p95", "p99")})
     flagged = F.greatest(*[F.coalesce(F.abs(f"change_{n}"), F.lit(0.0)) for n in ("mean", "p95", "p99")]) >= FLAG
     out = out.withColumn("tail_flagged", flagged).withColumn("severe", F.coalesce(F.abs("change_mean") >= SEVERE, F.lit(False)))

@@ -786,7 +786,7 @@ def u5_sql() -> str:
     names = (*METRICS, *VOLUMES)
     tall = " UNION ALL ".join([f"SELECT 'raw' AS side, '{m}' AS metric, {m} AS v FROM u WHERE {m} IS NOT NULL" for m in names] + [f"SELECT 'rel', '{m}', {m} FROM rec WHERE {m} IS NOT NULL" for m in names])
     st = ", ".join(f"{f} FILTER (side = '{s}') AS {n}_{s}" for s in ("raw", "rel") for n, f in (("mean", "avg(v)"), ("p50", "median(v)"), ("p95", "quantile_cont(v, 0.95)"), ("p99", "quantile_cont(v, 0.99)"), ("zero", "avg((v = 0)::INT)")))
-    ch = {n: r6(f"round_even(100.0 * ({n}_rel - {n}_raw) / nullif({n}_raw, 0) * 1e6, 0) / 1e6") for n in ("mean", "p50", "p95", "p99")}
+    ch = {n: r6(f"round_even(100.0 * ({n}_rel - {n}_raw) / nullif({n}_raw, 0) * 1e6, 0) / 1e6 + 0.0") for n in ("mean", "p50", "p95", "p99")}
     worst = " OR ".join(f"coalesce(abs({ch[n]}) >= 5, false)" for n in ("mean", "p95", "p99"))
     return f"""WITH {RECORD}, tl AS ({tall}), st AS (SELECT metric, {st} FROM tl GROUP BY 1), cn AS (SELECT metric, v, count(*) FILTER (side = 'raw') AS a, count(*) FILTER (side = 'rel') AS b FROM tl GROUP BY ALL),
 gp AS (SELECT metric, v, abs(sum(a) OVER w::DOUBLE / sum(a) OVER t - sum(b) OVER w::DOUBLE / sum(b) OVER t) AS g, lead(v) OVER (PARTITION BY metric ORDER BY v) AS nx FROM cn WINDOW w AS (PARTITION BY metric ORDER BY v ROWS UNBOUNDED PRECEDING), t AS (PARTITION BY metric)),

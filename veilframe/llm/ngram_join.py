@@ -316,12 +316,13 @@ def jaccard_components(docs: DataFrame, ident: str = "doc_id", text: str = "text
 
     fits = lambda a, b: F.least(a, b) * share[1] >= F.greatest(a, b) * share[0]
     ordered = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
-    open_ = members
+    open_, spent = members, [found, texts]
     for turn in range(ROUNDS + 1):
         placed = open_.join(known, open_["doc"] == known["node"], "left").select("token", "doc", "n", F.coalesce("component", "doc").alias("part"))
         hub = F.min_by(F.struct("doc", "n", "part"), F.xxhash64(F.lit(turn), "doc"))
         mixed = placed.groupBy("token").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), hub.alias("hub")).where("lo < hi").select("token", "hub")
         open_ = cut(placed.join(mixed, "token"), "open")
+        spent.append(open_)
         if turn == ROUNDS:
             break
         met = open_.where((F.col("part") != F.col("hub.part")) & fits("n", "hub.n")).select(*ordered("doc", "hub.doc")).distinct()
@@ -336,6 +337,8 @@ def jaccard_components(docs: DataFrame, ident: str = "doc_id", text: str = "text
     rest = rest.select(*ordered("l.doc", "r.doc")).distinct().join(pairs, ["a", "b"], "left_anti")
     more = cut(verify(cut(rest, "rest"), texts, sketch, share), "more")
     solved = known if more.isEmpty() else cut(components(links.union(more)), "solved")
+    for done in spent:
+        remove(done)
     return place(sizes, classes, solved)
 
 

@@ -128,10 +128,12 @@ def read_archive(files: fs.FileSystem, path: str):
 
 
 def build_dictionary(pages: DataFrame, ident: str, url: str, html: str) -> bytes:
-    """A Zstandard dictionary from a bounded sample of records, chosen by hash."""
+    """A Zstandard dictionary from a bounded sample of records, chosen by hash. Rows far
+    from the smallest hashes are left out first, so tasks send few to the driver."""
     import zstandard
 
-    some = pages.select(F.col(ident), F.col(url), F.substring(F.coalesce(F.col(html), F.lit("")), 1, SAMPLE_BYTES)).orderBy(F.xxhash64(F.col(ident)), F.col(ident)).limit(SAMPLE_RECORDS)
+    near = F.pmod(F.xxhash64(F.lit("dictionary"), F.col(ident)), F.lit(1 << 30)) < F.lit(max(1, pages.count()) ** -1 * 4 * SAMPLE_RECORDS * (1 << 30))
+    some = pages.where(F.coalesce(near, F.lit(False))).select(F.col(ident), F.col(url), F.substring(F.coalesce(F.col(html), F.lit("")), 1, SAMPLE_BYTES)).orderBy(F.xxhash64(F.col(ident)), F.col(ident)).limit(SAMPLE_RECORDS)
     raws = [record(p or 0, u, h.encode(), "0" * 64, None) for p, u, h in some.collect()]
     try:
         return zstandard.train_dictionary(min(DICTIONARY_BYTES, sum(map(len, raws)) // 8), raws).as_bytes()

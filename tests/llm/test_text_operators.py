@@ -94,6 +94,44 @@ def test_join_keeps_one(docs):
     assert kept == {k for k, (_, c) in brute_join(rows).items() if k == c}
 
 
+def test_join_of_a_crowd(spark):
+    """Many copies near the limit share tokens: they are compared by blocks."""
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for k in range(110):
+        copy = list(base)
+        for at in rng.sample(range(150), rng.choice([2, 3, 4])):
+            copy[at] = f"n{rng.randrange(40)}"
+        rows.append((k, " ".join(copy), None, None, None, None, None))
+    want = brute_join(rows)
+    assert len({c for _, c in want.values()}) > ngram_join.CROWD
+    df = spark.createDataFrame(rows, KIND)
+    for docs_of_a_block in (ngram_join.BLOCK_DOCS, 7):
+        before, ngram_join.BLOCK_DOCS = ngram_join.BLOCK_DOCS, docs_of_a_block
+        try:
+            got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(df).collect()}
+        finally:
+            ngram_join.BLOCK_DOCS = before
+        assert got == want
+
+
+def test_overlaps():
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, top, rng.integers(0, 60))).astype(np.uint64) for top in [20] * 15 + [4000] * 15]
+    bounds = np.cumsum([0] + [len(x) for x in sets])
+    one, two = np.arange(0, 30, 2), np.arange(3, 30)
+    want = [[len(np.intersect1d(sets[a], sets[b])) for b in two] for a in one]
+    for columns, products in ((2048, 4_000_000), (3, 5)):
+        before = ngram_join.COLUMNS, ngram_join.PRODUCTS
+        ngram_join.COLUMNS, ngram_join.PRODUCTS = columns, products
+        try:
+            assert ngram_join.overlaps(np.concatenate(sets), bounds, one, two).tolist() == want
+        finally:
+            ngram_join.COLUMNS, ngram_join.PRODUCTS = before
+    assert not ngram_join.overlaps(np.zeros(0, np.uint64), np.zeros(31, np.int64), one, two).any()
+
+
 def test_join_empty(spark):
     assert ngram_join.jaccard_components(empty(spark)).collect() == []
 

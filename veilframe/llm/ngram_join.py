@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import LOWER, blocks, components, cut, group_min, mix, partitions, remove, shingles, text_bytes, words
+from veilframe.llm.common import LOWER, _forest, blocks, components, cut, group_min, mix, partitions, remove, shingles, text_bytes, words
 
 #: Words of a shingle, and the similarity of a link as a fraction.
 WIDTH = 5
@@ -20,7 +20,13 @@ SKETCH, SLICES = 1 << 23, 64
 ORDERS = 3
 #: Rounds in which documents of a token meet one of another component, before all
 #: pairs that are still open are compared.
-ROUNDS = 4
+ROUNDS = 2
+#: A token with more open documents than this is crowded: its documents are compared
+#: by blocks, of so many documents and so many tokens on average.
+CROWD = 64
+BLOCK_DOCS, BLOCK_TOKENS = 512, 1_000_000
+#: Columns of a dense incidence matrix; products of sparse tokens at once.
+COLUMNS, PRODUCTS = 2048, 4_000_000
 #: Postings of a bucket on average, rows of a frequent token in a piece.
 POSTINGS, PIECE = 1_000_000, 1024
 _SEEDS = np.array([0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0, 0x082EFA98EC4E6C89], np.uint64)
@@ -269,6 +275,116 @@ def verify(pairs: DataFrame, texts: DataFrame, sketch, share: tuple[int, int], w
     return both.mapInArrow(run, "a long, b long")
 
 
+def overlaps(tokens: np.ndarray, bounds: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Matrix of the numbers of tokens that documents `one` and `two` share.
+
+    Tokens that many pairs share are counted by products of incidence matrices, the
+    others pair by pair."""
+    common = np.zeros(len(one) * len(two), np.int64)
+    codes = np.unique(tokens, return_inverse=True)[1]
+    ends = []
+    for side in (one, two):
+        size = np.diff(bounds)[side]
+        at = np.repeat(bounds[:-1][side] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        code, row = codes[at], np.repeat(np.arange(len(side)), size)
+        by = np.argsort(code, kind="stable")
+        ends.append((code[by], row[by]))
+    (code_a, row_a), (code_b, row_b) = ends
+    total = int(codes.max()) + 1 if len(codes) else 0
+    count_a, count_b = np.bincount(code_a, minlength=total), np.bincount(code_b, minlength=total)
+    work = count_a * count_b
+    crowded = work * 256 > len(one) * len(two)
+    columns = np.flatnonzero(crowded)
+    for lo in range(0, len(columns), COLUMNS):
+        part = columns[lo : lo + COLUMNS]
+        sides = []
+        for (code, row), n in zip(ends, (len(one), len(two)), strict=True):
+            a, b = np.searchsorted(code, [part[0], part[-1] + 1])
+            inside = crowded[code[a:b]]
+            matrix = np.zeros((n, len(part)), np.float32)
+            matrix[row[a:b][inside], np.searchsorted(part, code[a:b][inside])] = 1
+            sides.append(matrix)
+        common += (sides[0] @ sides[1].T).astype(np.int64).reshape(-1)
+    begin = np.concatenate([[0], np.cumsum(count_b)])
+    seldom = np.flatnonzero(~crowded[code_a] & (work[code_a] > 0))
+    reach = np.cumsum(count_b[code_a[seldom]])
+    lo = 0
+    while lo < len(seldom):
+        hi = max(lo + 1, int(np.searchsorted(reach, (reach[lo - 1] if lo else 0) + PRODUCTS, "right")))
+        mine = seldom[lo:hi]
+        times = count_b[code_a[mine]]
+        other = np.repeat(begin[code_a[mine]] - np.cumsum(times) + times, times) + np.arange(times.sum())
+        common += np.bincount(np.repeat(row_a[mine], times) * len(two) + row_b[other], minlength=len(common))
+        lo = hi
+    return common.reshape(len(one), len(two))
+
+
+def compare_blocks(sketch, share: tuple[int, int], width: int = WIDTH):
+    """For `applyInArrow`: (a, b) links between the documents of two blocks, one
+    forest of them.
+
+    Pairs must lie in different components, fit in size and share a prefix token
+    under every order; if any are left, their overlaps are counted exactly."""
+
+    def run(key, group):
+        import zstandard
+
+        counts, unzip = sketch.value, zstandard.ZstdDecompressor().decompress
+        left, right = (k.as_py() for k in key)
+        cell, doc, part = (group.column(c).to_numpy() for c in ("cell", "doc", "part"))
+        data, offsets = text_bytes(pa.array([unzip(x) for x in group.column("text").to_pylist()], pa.large_binary()))
+        tokens, bounds = token_sets(data, offsets, width)
+        size = np.diff(bounds)
+        one, two = np.flatnonzero(cell == left), np.flatnonzero(cell == right)
+        n, m = size[one][:, None], size[two][None, :]
+        open_ = (part[one][:, None] != part[two][None, :]) & (np.minimum(n, m) * share[1] >= np.maximum(n, m) * share[0])
+        step = step_of(tokens, counts)
+        for order in range(ORDERS):
+            if not open_.any():
+                break
+            heads = prefixes(tokens, bounds, order_keys(tokens, step, order), share)
+            open_ &= overlaps(tokens[np.concatenate(heads)], np.concatenate([[0], np.cumsum([len(h) for h in heads])]), one, two) > 0
+        some, others = np.flatnonzero(open_.any(1)), np.flatnonzero(open_.any(0))
+        a = b = np.zeros(0, np.int64)
+        if len(some):
+            common = overlaps(tokens, bounds, one[some], two[others])
+            union = n[some] + m[:, others] - common
+            x, y = np.nonzero(open_[np.ix_(some, others)] & (common * share[1] >= share[0] * union))
+            a, b = _forest((doc[one[some[x]]], doc[two[others[y]]])) if len(x) else (a, b)
+        return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
+
+    return run
+
+
+def by_blocks(open_: DataFrame, texts: DataFrame, sketch, share: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
+    """Links between documents of different components that share a crowded token,
+    and the rows of `open_` (token, doc, n, part) of the other tokens.
+
+    Each document has one home: the most crowded of its tokens, and its size in
+    steps of which linked documents are at most one apart. A home's documents are
+    dealt to blocks of limited size; two blocks are compared, once, if a crowded
+    token has documents in both. A document is sent to as many tasks as its block is
+    compared with others, and only a forest of the links comes back."""
+    step = max(-float(np.log(share[0] / share[1])), 1e-9) * 1.0001
+    crowds = cut(open_.groupBy("token").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") > CROWD), "crowds")
+    crowded = open_.join(crowds, "token")
+    homes = crowded.groupBy("doc").agg(F.max(F.struct("docs", "token"))["token"].alias("home"), F.first("n").alias("n"), F.first("part").alias("part"))
+    homes = cut(homes.withColumn("grade", F.floor(F.log("n") / step)), "homes")
+    counted = homes.groupBy("home", "grade").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_TOKENS)).alias("blocks"))
+    dealt = homes.join(counted, ["home", "grade"])
+    cells = cut(dealt.select("doc", "part", "grade", F.xxhash64("home", "grade", F.pmod(F.xxhash64("doc"), "blocks")).alias("cell")), "cells")
+    where = cut(crowded.select("token", "doc").join(cells, "doc").select("token", "cell", "grade").distinct(), "where")
+    l, r = where.alias("l"), where.alias("r")
+    meet = (F.col("l.token") == F.col("r.token")) & (F.col("l.cell") <= F.col("r.cell")) & (F.abs(F.col("l.grade") - F.col("r.grade")) <= 1)
+    both = cut(l.join(r, meet).select(F.col("l.cell").alias("left"), F.col("r.cell").alias("right")).distinct(), "both")
+    full = cut(cells.join(texts, F.col("doc") == F.col("doc_id")).select("cell", "doc", "part", "text"), "full")
+    sent = both.select("left", "right", F.explode(F.array_distinct(F.array("left", "right"))).alias("cell")).join(full, "cell")
+    links = cut(sent.groupBy("left", "right").applyInArrow(compare_blocks(sketch, share), "a long, b long"), "block_links")
+    for done in (where, full, homes):
+        remove(done)
+    return links, open_.join(crowds, "token", "left_anti")
+
+
 def jaccard_components(docs: DataFrame, ident: str = "doc_id", text: str = "text", share: tuple[int, int] = SHARE) -> DataFrame:
     """Set size and component of every document.
 
@@ -280,10 +396,10 @@ def jaccard_components(docs: DataFrame, ident: str = "doc_id", text: str = "text
     Documents with equal sets are one document from the start. Tokens are ordered
     by a sketch of their frequency, so that prefixes hold seldom tokens. Of the
     documents that share a prefix token, each is compared with the smallest, then
-    in a few rounds with one of another component; then all pairs that share a
-    token and are not in one component yet are compared, so no link between
-    components is lost and a large group of copies costs as many comparisons as it
-    has members.
+    in a few rounds with one of another component; then all documents that share a
+    token and are not in one component yet are compared, by blocks where many share
+    it, so no link between components is lost, a large group of copies costs as many
+    comparisons as it has members, and no pairs of a large group are made.
 
     Null and empty texts have size 0 and link with nothing; with fewer words than
     WIDTH the whole sequence is the one shingle. Shingles are 64-bit hashes. Rows
@@ -331,11 +447,12 @@ def jaccard_components(docs: DataFrame, ident: str = "doc_id", text: str = "text
         pairs = cut(pairs.union(met), "pairs")
         known = cut(components(links), "known")
         open_ = open_.select("token", "doc", "n")
+    blocked, open_ = by_blocks(open_.select("token", "doc", "n", "part"), texts, sketch, share)
     one, two = open_.alias("l"), open_.alias("r")
     near = fits("l.n", "r.n") & (F.col("l.part") < F.col("r.part"))
     rest = one.join(two, F.col("l.token") == F.col("r.token")).where(near)
     rest = rest.select(*ordered("l.doc", "r.doc")).distinct().join(pairs, ["a", "b"], "left_anti")
-    more = cut(verify(cut(rest, "rest"), texts, sketch, share), "more")
+    more = cut(verify(cut(rest, "rest"), texts, sketch, share).union(blocked), "more")
     solved = known if more.isEmpty() else cut(components(links.union(more)), "solved")
     for done in spent:
         remove(done)

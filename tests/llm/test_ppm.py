@@ -109,3 +109,13 @@ def test_nothing_to_learn_from(spark):
     (row,) = ppm.score_documents(spark.createDataFrame([(only, "a b", None, None)], KIND)).collect()
     assert (row.n_tokens, row.n_known, row.train_tokens) == (3, 0, 0)
     assert row.score == pytest.approx(4 * math.log10(1 / 257), rel=1e-4)
+
+
+def test_every_context_of_a_large_corpus_counts(spark, monkeypatch):
+    monkeypatch.setattr(ppm, "TABLE", 2000)  # bounds of the trie must not reach the scores
+    monkeypatch.setattr(ppm, "NODES", 100)
+    monkeypatch.setattr(ppm, "ASKING", 200, raising=False)  # several blocks
+    texts = [*["the cat sat on the mat"] * 60, "quartz glyphs vex", "quartz glyphs vex", "quartz glyphs jump"]
+    got = {r.doc_id: r.score for r in ppm.score_documents(spark.createDataFrame([(k, t, "x", k) for k, t in enumerate(texts)], KIND)).collect()}
+    for k, score in enumerate(brute_ppm([t for k, t in enumerate(texts) if not held_out(k)], texts)):
+        assert got[k] == pytest.approx(score, rel=1e-4)

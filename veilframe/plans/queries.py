@@ -674,8 +674,12 @@ PAGES = "documents"
 KNOWN = "k AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z0-9]{6,}')) AS token FROM documents WHERE doc_id % 2 = 0), kn AS (SELECT token FROM k WHERE regexp_matches(token, '[0-9]{8,}'))"
 
 
-def known_tokens(spark, d):
-    docs = read(spark, d, "documents").where("doc_id % 2 = 0")
+KNOWN_ALL = KNOWN.replace(" WHERE doc_id % 2 = 0", "")
+
+
+def known_tokens(spark, d, whole: bool = False):
+    """Tokens with eight digits in a row, of all documents or of those with even ids."""
+    docs = read(spark, d, "documents").where("true" if whole else "doc_id % 2 = 0")
     return docs.select(F.explode(guard.tokens(F.col("text"))).alias("token")).where(F.col("token").rlike("[0-9]{8,}")).distinct()
 
 
@@ -703,17 +707,43 @@ def guard_scan_table(spark, d):
 
 @register("guard_scrub")
 def guard_scrub(spark, d):
-    return guard.scrub(read(spark, d, "documents").select("doc_id", "text"), "doc_id", "text", known_tokens(spark, d))
+    return scrubbed(spark, d, True)
+
+
+def scrubbed(spark, d, whole: bool):
+    return guard.scrub(read(spark, d, "documents").select("doc_id", "text"), "doc_id", "text", known_tokens(spark, d, whole))
 
 
 @register("guard_scrub_counts", f"WITH {KNOWN}, tk AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9]{{6,}}')) AS token FROM documents) SELECT doc_id, count(*) FILTER (token IN (SELECT token FROM kn)) AS redacted, coalesce(sum(len(regexp_extract_all(token, '[0-9]{{10,}}'))) FILTER (token NOT IN (SELECT token FROM kn)), 0)::BIGINT AS digits FROM tk GROUP BY doc_id")
 def guard_scrub_counts(spark, d):
-    clean = guard_scrub(spark, d)
+    return scrub_counts(spark, d, False)
+
+
+def scrub_counts(spark, d, whole: bool):
+    clean = scrubbed(spark, d, whole)
     docs = read(spark, d, "documents").where(F.size(guard.tokens(F.col("text"))) > 0).select("doc_id")
     counts = clean.select("doc_id", F.regexp_count("text", F.lit("\\[REDACTED\\]")).cast("long").alias("redacted"), F.regexp_count("text", F.lit("\\[DIGITS\\]")).cast("long").alias("digits"))
     return counts.join(docs, "doc_id", "left_semi")
 
 
+# the same with the registry of all documents
+
+
+@register("guard_scan_text_all", ORACLE_SQL["guard_scan_text"].replace(KNOWN, KNOWN_ALL))
+def guard_scan_text_all(spark, d):
+    return guard.scan_text(read(spark, d, "documents"), "doc_id", "text", known_tokens(spark, d, True))
+
+
+@register("guard_scan_table_all", ORACLE_SQL["guard_scan_table"].replace(KNOWN, KNOWN_ALL))
+def guard_scan_table_all(spark, d):
+    return guard.scan_table(read(spark, d, "customer").select("c_name", "c_mktsegment"), "customer", known_tokens(spark, d, True))
+
+
+@register("guard_scrub_counts_all", ORACLE_SQL["guard_scrub_counts"].replace(KNOWN, KNOWN_ALL))
+def guard_scrub_counts_all(spark, d):
+    return scrub_counts(spark, d, True)
+
+
 # ---------------------------------------------------------------- utility
 
 

@@ -28,3 +28,10 @@ def test_the_registry_has_tokens_of_all_documents(spark):
     assert odd.count() and clean.where("text rlike '[0-9]{8,}'").isEmpty()
     for name in ("guard_scan_text_all", "guard_scan_table_all", "guard_scrub_counts_all"):
         equal_sql(spark, name)
+
+
+def test_sweeps_cover_the_grid(spark):
+    rows = equal_sql(spark, "anon_sweep_grid")
+    assert len({(r.time_bucket_days, r.area_mode, r.k) for r in rows}) == len(rows) == 24
+    grid = plans.trd_grid(spark, FOLDER).collect()
+    assert len({(r.k, r.time_bucket_days, r.area_mode, r.epsilon) for r in grid}) == len(grid) == 36

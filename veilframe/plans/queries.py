@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -537,6 +538,45 @@ def anon_sweep_record(spark, d):
     return release.record_sweep(nation_records(spark, d), ROLES, list(KS))
 
 
+#: Buckets of the sweep in days; None is the data's own gap.
+BUCKETS, AREA_MODES = (None, 91, 182, 364), ("enb_tokenised", "province")
+
+
+def records_of(bucket: int | None, mode: str):
+    return replace(RECORDS, bucket_minutes=None if bucket is None else bucket * B.DAY, area_mode=mode)
+
+
+def record_grid_sql() -> str:
+    one = []
+    for bucket in BUCKETS:
+        made = prepared(records_of(364 if bucket is None else bucket, "enb_tokenised"))
+        if bucket is None:
+            made = made.replace("u AS (", "u0 AS (", 1).replace("\ne AS (", """
+gaps AS (SELECT t - lag(t) OVER (ORDER BY t) AS gap FROM (SELECT DISTINCT ts AS t FROM u0)),
+nat AS (SELECT greatest(1, round_even(gap / 60.0, 0))::BIGINT * 60 AS width FROM gaps WHERE gap IS NOT NULL GROUP BY gap ORDER BY count(*) DESC, gap LIMIT 1),
+u AS (SELECT * FROM u0),
+e AS (""", 1).replace(B.bucket(364 * 86400), "(floor(ts / (SELECT width FROM nat)) * (SELECT width FROM nat))::BIGINT")
+        for mode in AREA_MODES:
+            area = "area" if mode == "enb_tokenised" else "coalesce(province, 'UNKNOWN')"
+            for k in KS:
+                one.append(f"""SELECT '{bucket or 'native'}' AS time_bucket_days, '{mode}' AS area_mode, * FROM (WITH {made}, q AS (SELECT * REPLACE ({area} AS area) FROM p), g AS (SELECT {QUASI}, count(DISTINCT _subscriber) AS n FROM q GROUP BY ALL),
+a AS (SELECT q.* EXCLUDE (area), g.n < {k} AS esc, CASE WHEN g.n < {k} THEN coalesce(province, 'UNKNOWN') ELSE q.area END AS area FROM q JOIN g ON q.time_bucket = g.time_bucket AND q.area IS NOT DISTINCT FROM g.area AND q.radio_access_type IS NOT DISTINCT FROM g.radio_access_type AND q.application_category IS NOT DISTINCT FROM g.application_category),
+h AS (SELECT {QUASI}, count(DISTINCT _subscriber) AS n, count(*) AS r, count(*) FILTER (esc) AS x FROM a GROUP BY ALL)
+SELECT {k} AS k, sum(r)::BIGINT AS rows_in, sum(x)::BIGINT AS rows_escalated, coalesce(sum(r) FILTER (n < {k}), 0)::BIGINT AS rows_suppressed, {pct(f'coalesce(sum(r) FILTER (n < {k}), 0)', 'sum(r)')} AS pct_suppressed FROM h)""")
+    return " UNION ALL ".join(one)
+
+
+@register("anon_sweep_grid", record_grid_sql())
+def anon_sweep_grid(spark, d):
+    """Record sweep of the whole grid: bucket x area mode x k, each with its own preparation."""
+    sweeps = []
+    for bucket in BUCKETS:
+        for mode in AREA_MODES:
+            swept = release.record_sweep(prep(spark, d, records_of(bucket, mode)), ROLES, list(KS))
+            sweeps.append(swept.select(F.lit(str(bucket or "native")).alias("time_bucket_days"), F.lit(mode).alias("area_mode"), *swept.columns))
+    return reduce(DataFrame.unionByName, sweeps)
+
+
 EPSILONS = (0.5, 1.0, 2.0, None)
 STEPS = "(VALUES " + ", ".join(f"('{'none' if e is None else f'{e:g}'}', {'NULL' if e is None else 39 / e}::DOUBLE)" for e in EPSILONS) + ") t(epsilon, scale)"
 
@@ -933,23 +973,29 @@ def risk_threshold(spark, d):
     return verdict.releasable(risk_a6(spark, d).select("epsilon", F.col("accuracy_pct").alias("a6_accuracy_pct")))
 
 
-GRID = [(k, m, e) for k in KS for m in ("enb_tokenised", "province") for e in (0.5, 1.0, 2.0)]
+GRID_BUCKETS = (91, 364)
+GRID = [(k, b, m, e) for k in KS for b in GRID_BUCKETS for m in AREA_MODES for e in (0.5, 1.0, 2.0)]
 
 
 @register("trd_grid")
 def trd_grid(spark, d):
-    """k x area mode x epsilon: every figure computed from its own release."""
-    sweeps = []
-    for mode in ("enb_tokenised", "province"):
-        p = transforms.prepare(usage(spark, d), ROLES, RECORDS.__class__(**{**RECORDS.__dict__, "area_mode": mode}))
-        sweeps.append(release.record_sweep(p, ROLES, list(KS)).select("k", F.lit(mode).alias("area_mode"), F.col("pct_suppressed").alias("record_pct_suppressed")))
-    cells = release.aggregate_sweep(prep(spark, d), ROLES, CELLS, [0.5, 1.0, 2.0], 39).select("epsilon", "cells_out", "median_error")
-    return reduce(DataFrame.union, sweeps).crossJoin(F.broadcast(cells))
+    """k x bucket x area mode x epsilon. Record figures come from a release for each k,
+    bucket and area mode, cell figures from one for each bucket and epsilon: cells have
+    neither an area nor k records."""
+    parts = []
+    for bucket in GRID_BUCKETS:
+        config = replace(CELLS, bucket_minutes=bucket * B.DAY)
+        cells = release.aggregate_sweep(prep(spark, d, config), ROLES, config, [0.5, 1.0, 2.0], 39).select("epsilon", "cells_out", "median_error")
+        for mode in AREA_MODES:
+            swept = release.record_sweep(prep(spark, d, records_of(bucket, mode)), ROLES, list(KS))
+            swept = swept.select("k", F.lit(bucket).alias("time_bucket_days"), F.lit(mode).alias("area_mode"), F.col("pct_suppressed").alias("record_pct_suppressed"))
+            parts.append(swept.crossJoin(F.broadcast(cells)))
+    return reduce(DataFrame.union, parts)
 
 
 @register("trd_lookup")
 def trd_lookup(spark, d):
-    return verdict.lookup(trd_grid(spark, d), k=10, area_mode="province", epsilon="1")
+    return verdict.lookup(trd_grid(spark, d), k=10, time_bucket_days=364, area_mode="province", epsilon="1")
 
 
 @register("story_export", f"WITH {AGG} SELECT (SELECT count(*) FROM rel) AS n_cells, (SELECT {r6('median(n_subscribers)')} FROM rel) AS median_cell, (SELECT count(DISTINCT time_bucket) FROM rel) AS n_windows, (SELECT arg_max(radio_access_type, n) FROM (SELECT radio_access_type, sum(n_subscribers) AS n FROM rel GROUP BY 1)) AS largest_access")

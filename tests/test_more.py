@@ -68,6 +68,15 @@ def test_notebook_texts():
     assert guard.notebook_texts("{") == ["{"]
 
 
+def test_scan_folder_reads_files_by_kind(spark, registry, tmp_path):
+    spark.createDataFrame([("358401234567",)] * 9, "x string").coalesce(1).write.option("compression", "gzip").parquet(str(tmp_path / "t"))
+    (tmp_path / "c.csv").write_text('358401234567,b\n"x\n358401234567",y\n')
+    (tmp_path / "n.ipynb").write_text(json.dumps({"cells": [{"source": "358401234567", "outputs": [{"data": {"image/png": "99999999999999"}}]}]}, indent=1))
+    (tmp_path / "r.txt").write_text("a\n12345678901")
+    found = {(r.source.rsplit(".", 1)[-1], r.location, r.kind) for r in guard.scan_folder(spark, str(tmp_path), registry).collect() if "crc" not in r.source}
+    assert found == {("parquet", "x", "registered_id"), ("csv", "<header>", "registered_id"), ("csv", "358401234567", "registered_id"), ("ipynb", "part 1", "registered_id"), ("txt", "line 2", "long_digit_run")}
+
+
 def release(spark):
     return spark.createDataFrame([("2027-04-30 12:00:00", "P", "4G", 30, 1.0), ("2027-04-30 12:15:00", "P", "5G", 5, 3.0)], "t string, province string, radio string, n_subscribers long, m double").withColumn("t", F.to_timestamp("t"))
 

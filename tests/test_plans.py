@@ -7,15 +7,15 @@ from veilframe.plans import queries as plans
 FOLDER = "/root/testdata/sf0.001"
 
 
-def equal_sql(spark, name):
+def equal_sql(spark, name, folder=FOLDER):
     """The rows of a query, which must be those of its SQL."""
     base = duckdb.connect()
-    for file in Path(FOLDER).glob("*.parquet"):
+    for file in Path(folder).glob("*.parquet"):
         base.execute(f"CREATE VIEW {file.stem} AS SELECT * FROM '{file}'")
     found = base.execute(plans.ORACLE_SQL[name])
     names = [c[0] for c in found.description]
     want = sorted(map(str, found.fetchall()))
-    df = plans.QUERIES[name](spark, FOLDER)
+    df = plans.QUERIES[name](spark, folder)
     rows = df.select(*names).collect()
     assert sorted(str(tuple(r)) for r in rows) == want
     return rows
@@ -35,3 +35,11 @@ def test_sweeps_cover_the_grid(spark):
     assert len({(r.time_bucket_days, r.area_mode, r.k) for r in rows}) == len(rows) == 24
     grid = plans.trd_grid(spark, FOLDER).collect()
     assert len({(r.k, r.time_bucket_days, r.area_mode, r.epsilon) for r in grid}) == len(grid) == 36
+
+
+def test_attacks_use_the_whole_samples(spark):
+    larger = "/root/testdata/sf0.01"
+    for name in ("risk_r2_full", "risk_r2_date", "risk_a2_province"):
+        for row in equal_sql(spark, name, larger):
+            assert row.n_sampled == min(1000, row.n_eligible)
+    equal_sql(spark, "risk_a6_full")

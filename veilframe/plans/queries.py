@@ -708,6 +708,34 @@ def risk_a6(spark, d):
     return risk.a6_membership(prep(spark, d), ROLES, 39, list(EPSILONS), 40, 25)
 
 
+# the same with the operators' own samples, and with the second kind of points
+
+
+@register("risk_r2_full", trajectory_sql(USAGE, "msisdn AS sub, enb || '|' || (floor(ts / 3600.0) * 3600)::BIGINT AS point FROM u", 1000))
+def risk_r2_full(spark, d):
+    return risk.trajectories(usage(spark, d), "msisdn", [F.col("enb"), F.unix_timestamp(F.date_trunc("hour", "time_start"))])
+
+
+@register("risk_r2_date", trajectory_sql(USAGE, "msisdn AS sub, province || '|' || (floor(ts / 86400.0) * 86400)::BIGINT AS point FROM u", 1000))
+def risk_r2_date(spark, d):
+    return risk.trajectories(usage(spark, d), "msisdn", [F.col("province"), F.unix_timestamp(F.date_trunc("day", "time_start"))])
+
+
+@register("risk_a2_full", trajectory_sql(NATION, "_subscriber AS sub, area || '|' || time_bucket AS point FROM rec", 1000))
+def risk_a2_full(spark, d):
+    return risk.trajectories(keyed_record(spark, d), "_subscriber", [F.col("area"), F.unix_timestamp("time_bucket")])
+
+
+@register("risk_a2_province", trajectory_sql(NATION, "_subscriber AS sub, province || '|' || time_bucket AS point FROM rec", 1000))
+def risk_a2_province(spark, d):
+    return risk.trajectories(keyed_record(spark, d), "_subscriber", [F.col("province"), F.unix_timestamp("time_bucket")])
+
+
+@register("risk_a6_full", a6_sql(200, 100))
+def risk_a6_full(spark, d):
+    return risk.a6_membership(prep(spark, d), ROLES, 39, list(EPSILONS))
+
+
 # ---------------------------------------------------------------- guard
 
 PAGES = "documents"
@@ -954,7 +982,7 @@ def facts(spark, d) -> DataFrame:
     a3 = risk_a3(spark, d).agg(F.max("pct_subscribers_disclosed").alias("disclosed"), F.max("pct_homogeneous").alias("homogeneous"))
     a4 = risk_a4(spark, d).select(F.col("pct_rows_below_k").alias("below_k"))
     a5 = risk_a5(spark, d).where("epsilon = '1' and secondary").select(F.col("pct_recovered").alias("recovered"))
-    a6 = risk_a6(spark, d).where("epsilon = '1'").select(F.col("accuracy_pct").alias("accuracy"), F.col("bound_pct").alias("bound"))
+    a6 = risk_a6_full(spark, d).where("epsilon = '1'").select(F.col("accuracy_pct").alias("accuracy"), F.col("bound_pct").alias("bound"))
     return reduce(lambda x, y: x.crossJoin(F.broadcast(y)), [a1, a3, a4, a5, a6])
 
 
@@ -973,6 +1001,16 @@ def risk_threshold(spark, d):
     return verdict.releasable(risk_a6(spark, d).select("epsilon", F.col("accuracy_pct").alias("a6_accuracy_pct")))
 
 
+@register("risk_counterfactual_full", ORACLE_SQL["risk_counterfactual"].replace(ORACLE_SQL["risk_a2"], ORACLE_SQL["risk_a2_full"]))
+def risk_counterfactual_full(spark, d):
+    return verdict.counterfactual(risk_a2_full(spark, d))
+
+
+@register("risk_threshold_full", ORACLE_SQL["risk_threshold"].replace(ORACLE_SQL["risk_a6"], ORACLE_SQL["risk_a6_full"]))
+def risk_threshold_full(spark, d):
+    return verdict.releasable(risk_a6_full(spark, d).select("epsilon", F.col("accuracy_pct").alias("a6_accuracy_pct")))
+
+
 GRID_BUCKETS = (91, 364)
 GRID = [(k, b, m, e) for k in KS for b in GRID_BUCKETS for m in AREA_MODES for e in (0.5, 1.0, 2.0)]
 
@@ -1007,9 +1045,18 @@ def story_export(spark, d):
 
 @register("headline", f"SELECT (SELECT pct_subscribers_with_unique_row FROM ({ORACLE_SQL['risk_r1']}) WHERE qi = 'D') AS baseline_unique_pct, (SELECT pct_unique FROM ({ORACLE_SQL['risk_r2']}) WHERE p = 4) AS baseline_4point_pct, (SELECT pct_subscribers FROM ({ORACLE_SQL['util_u2']}) WHERE scope = 'all') AS coverage_subscribers_pct, (SELECT pct_within FROM ({ORACLE_SQL['util_u1']}) WHERE metric = 'tp_dl_avg' AND statistic = 'median') AS u1_headline_pct, (SELECT pct_rows_in_groups_of_1 FROM ({ORACLE_SQL['risk_a1']})) AS a1_unique_rows_pct")
 def headline(spark, d):
+    return headlines(spark, d, risk_r2(spark, d))
+
+
+@register("headline_full", ORACLE_SQL["headline"].replace(ORACLE_SQL["risk_r2"], ORACLE_SQL["risk_r2_full"]))
+def headline_full(spark, d):
+    return headlines(spark, d, risk_r2_full(spark, d))
+
+
+def headlines(spark, d, r2):
     parts = [
         risk_r1(spark, d).where("qi = 'D'").select(F.col("pct_subscribers_with_unique_row").alias("baseline_unique_pct")),
-        risk_r2(spark, d).where("p = 4").select(F.col("pct_unique").alias("baseline_4point_pct")),
+        r2.where("p = 4").select(F.col("pct_unique").alias("baseline_4point_pct")),
         util_u2(spark, d).where("scope = 'all'").select(F.col("pct_subscribers").alias("coverage_subscribers_pct")),
         util_u1(spark, d).where("metric = 'tp_dl_avg' and statistic = 'median'").select(F.col("pct_within").alias("u1_headline_pct")),
         risk_a1(spark, d).select(F.col("pct_rows_in_groups_of_1").alias("a1_unique_rows_pct")),

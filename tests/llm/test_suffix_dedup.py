@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from veilframe.llm import suffix_dedup
@@ -42,13 +43,69 @@ def sample(seed, alphabet, n=60):
     return rows
 
 
-@pytest.mark.parametrize("alphabet", ["ab", "abcdefghij éß😀", "a"])
+def whole(spark, rows, parts=3):
+    random.Random(1).shuffle(rows)
+    df = spark.createDataFrame([(d, t, 1, "s") for d, t in rows], KIND).repartition(parts)
+    return {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeats(df).collect()}
+
+
+@pytest.mark.parametrize("alphabet", ["ab", "abcdefghij éß😀", "a", "\0a"])
 def test_equals_brute_force(spark, alphabet):
     rows = sample(len(alphabet), alphabet)
-    random.Random(1).shuffle(rows)
-    df = spark.createDataFrame([(d, t, 1, "s") for d, t in rows], KIND).repartition(3)
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeats(df).collect()}
-    assert got == brute(rows)
+    assert whole(spark, rows) == brute(rows)
+
+
+def test_groups_larger_than_a_chunk(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "ORDERED", 3)
+    rows = sample(11, "\0a", 100)
+    assert whole(spark, rows) == brute(rows)
+
+
+def find(rows, ordered, batches):
+    """The starts found without Spark: what the tasks do, one after the other."""
+    buckets, before = 4, suffix_dedup.ORDERED
+    suffix_dedup.ORDERED = ordered
+
+    def dealt(pack, column, names):
+        got = [[] for _ in range(buckets)]
+        parts = [rows[k::batches] for k in range(batches)]
+        for part in parts:
+            made = [pa.array([d for d, _ in part], pa.int64()), pa.array([t for _, t in part], pa.string()), column(part)]
+            for out in pack(buckets)([pa.RecordBatch.from_arrays(made, names=names)]):
+                got[out.column(0)[0].as_py()].append(out)
+        return got
+
+    try:
+        code = lambda part: pa.array([hash(t) for _, t in part], pa.int64())
+        anchors = dealt(suffix_dedup._pack_anchors, code, ["doc_id", "text", "code"])
+        listed = {}
+        for out in (x for k in anchors for x in suffix_dedup._repeated(k)):
+            for d, q in zip(out.column(0).to_pylist(), out.column(1).to_pylist(), strict=True):
+                listed.setdefault(d, []).append(q)
+        where = lambda part: pa.array([listed.get(d, []) for d, _ in part], pa.list_(pa.int64()))
+        pieces = dealt(suffix_dedup._pack_pieces, where, ["doc_id", "text", "q"])
+        return {(d, i) for k in pieces for x in suffix_dedup._find(k) for d, s, e in zip(*(c.to_pylist() for c in x.columns), strict=True) for i in range(s, e + 1)}
+    finally:
+        suffix_dedup.ORDERED = before
+
+
+@pytest.mark.parametrize("alphabet", ["ab", "\0a", "\0\1", "abcdefghij éß😀"])
+def test_starts_of_many_tables(alphabet):
+    for seed in range(20):
+        rows = [(d, t) for d, t in sample(seed, alphabet, 40) if t]
+        random.Random(seed).shuffle(rows)
+        texts = {d: t.encode() for d, t in rows}
+        least = {}
+        for d in sorted(texts):
+            for i in range(len(texts[d]) - 49):
+                least.setdefault(texts[d][i : i + 50], d)
+        first = {}
+        for d in sorted(texts):
+            first.setdefault(texts[d], d)
+        want = {(d, i) for d, t in texts.items() if first[t] == d for i in range(len(t) - 49) if least[t[i : i + 50]] < d}
+        got = find(rows, 256 if seed % 2 else 4, 1 + seed % 4)
+        assert {(d, i) for d, i in got if first[texts[d]] == d} == want, seed
+        assert all(least[texts[d][i : i + 50]] < d for d, i in got)
 
 
 def test_long_texts_in_parts(spark, monkeypatch):

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import BYTE_CODE, cut, group_min, mix, partitions, text_bytes
+from veilframe.llm.common import BYTE_CODE, cut, group_min, mix, partitions, remove, text_bytes
 from veilframe.llm.gsaca import suffix_array
 
 #: Bytes of a repeated string, and of the anchor within it.
@@ -20,6 +20,8 @@ SLICE = 1 << 19
 _BITS = np.uint64(22)
 #: Anchors and text pieces of a bucket on average, and fewest buckets.
 BUCKET_ANCHORS, BUCKET_PIECES, BUCKETS = 1_200_000, 60_000, 48
+#: Pieces of which the suffixes are ordered at once; a group of more stays whole.
+ORDERED = 256
 _STEP = np.uint64(0x9E3779B97F4A7C15 | 1)
 
 
@@ -86,9 +88,15 @@ def _anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
 # ---------------------------------------------------------------- anchors that repeat
 
 
+#: Kinds of a bucket's rows: what is still to be decided there, and what is known.
+ASKED, KNOWN = 0, 1
+
+
 def _pack_anchors(buckets: int):
-    """Anchors of a batch, packed by bucket of the hash. Of equal texts in the
-    batch only the smallest id takes part."""
+    """Anchors of a batch, packed by bucket of the hash. Of equal texts in the batch
+    only the smallest id takes part. An anchor that stands in several texts of the
+    batch is known to repeat: its places are listed as such, and one is sent to the
+    bucket for all, so a frequent anchor sends a row a batch and not one a document."""
 
     def run(batches):
         for batch in batches:
@@ -100,51 +108,79 @@ def _pack_anchors(buckets: int):
             h, doc, q, _, _ = anchors(data, offsets)
             some = keep[doc]
             h, doc, q = h[some], doc[some], q[some]
-            bucket = (mix(h) % np.uint64(buckets)).astype(np.int64)
-            by = np.argsort(bucket, kind="stable")
-            to = np.searchsorted(bucket[by], np.arange(buckets + 1))
-            for k in np.flatnonzero(np.diff(to)).tolist():
-                i = by[to[k] : to[k + 1]]
-                owners, counts = np.unique(doc[i], return_counts=True)
-                place = q[i].astype(np.uint32)
-                head = np.array([len(owners), len(i)], np.int64).tobytes()
-                short = (h[i] >> np.uint64(24)).view(np.uint8).reshape(-1, 8)[:, :5]
-                blob = b"".join([head, ident[owners].tobytes(), code[owners].tobytes(), counts.astype(np.uint32).tobytes(), (place & 0xFFFF).astype(np.uint16).tobytes(), (place >> 16).astype(np.uint16).tobytes(), short.tobytes()])
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([blob], pa.binary())], names=["bucket", "blob"])
+            if not len(h):
+                continue
+            by = np.lexsort((q, doc, h))
+            h, doc, q = h[by], doc[by], q[by]
+            first = np.concatenate([[True], h[1:] != h[:-1]])
+            number = np.cumsum(first) - 1
+            several = np.bincount(number[first | np.concatenate([[True], doc[1:] != doc[:-1]])])[number] > 1
+            yield from _blobs(h, ident, code, doc, q, first & several, ~several | first, buckets)
+            if several.any():
+                home = int(mix(ident[doc[:1]].astype(np.uint64))[0] % np.uint64(buckets))
+                blob = np.int64(several.sum()).tobytes() + ident[doc[several]].tobytes() + q[several].astype(np.uint32).tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([home], pa.int64()), pa.array([KNOWN], pa.int32()), pa.array([blob], pa.binary())], names=["bucket", "kind", "blob"])
 
     return run
 
 
+def _blobs(h, ident, code, doc, q, flag, sent, buckets: int):
+    h, doc, q, flag = h[sent], doc[sent], q[sent], flag[sent]
+    bucket = (mix(h) % np.uint64(buckets)).astype(np.int64)
+    by = np.lexsort((doc, bucket))
+    to = np.searchsorted(bucket[by], np.arange(buckets + 1))
+    for k in np.flatnonzero(np.diff(to)).tolist():
+        i = by[to[k] : to[k + 1]]
+        owners, counts = np.unique(doc[i], return_counts=True)
+        place = q[i].astype(np.uint32)
+        head = np.array([len(owners), len(i)], np.int64).tobytes()
+        short = (h[i] >> np.uint64(24)).view(np.uint8).reshape(-1, 8)[:, :5]
+        blob = b"".join([head, ident[owners].tobytes(), code[owners].tobytes(), counts.astype(np.uint32).tobytes(), (place & 0xFFFF).astype(np.uint16).tobytes(), (place >> 16).astype(np.uint16).tobytes(), np.packbits(flag[i]).tobytes(), short.tobytes()])
+        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([ASKED], pa.int32()), pa.array([blob], pa.binary())], names=["bucket", "kind", "blob"])
+
+
 def _unpack_anchors(blob: bytes) -> tuple[np.ndarray, ...]:
-    owners, n = np.frombuffer(blob, np.int64, 2)
+    owners, n = np.frombuffer(blob, np.int64, 2).tolist()
     at = 16
     ident = np.frombuffer(blob, np.int64, owners, at)
     code = np.frombuffer(blob, np.uint64, owners, at := at + 8 * owners)
     counts = np.frombuffer(blob, np.uint32, owners, at := at + 8 * owners)
     low = np.frombuffer(blob, np.uint16, n, at := at + 4 * owners)
     high = np.frombuffer(blob, np.uint16, n, at := at + 2 * n)
+    flag = np.unpackbits(np.frombuffer(blob, np.uint8, -(-n // 8), at := at + 2 * n), count=n).astype(bool)
     short = np.zeros((n, 8), np.uint8)
-    short[:, :5] = np.frombuffer(blob, np.uint8, 5 * n, at + 2 * n).reshape(n, 5)
-    return short.reshape(-1).view(np.uint64), np.repeat(code, counts), np.repeat(ident, counts), low.astype(np.int64) | high.astype(np.int64) << 16
+    short[:, :5] = np.frombuffer(blob, np.uint8, 5 * n, at + -(-n // 8)).reshape(n, 5)
+    return short.reshape(-1).view(np.uint64), np.repeat(code, counts), np.repeat(ident, counts), low.astype(np.int64) | high.astype(np.int64) << 16, flag
 
 
 def _repeated(batches):
-    """(doc, q) of anchors that stand in two or more different texts. Equal texts
+    """(doc_id, q) of anchors that stand in two or more different texts. Equal texts
     have equal anchors; the smallest id stands for all."""
-    got = [_unpack_anchors(x.as_py()) for batch in batches for x in batch.column(1)]
+    got = []
+    for batch in batches:
+        for kind, blob in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
+            raw = blob.as_py()
+            if kind == ASKED:
+                got.append(_unpack_anchors(raw))
+                continue
+            n = int(np.frombuffer(raw, np.int64, 1)[0])
+            yield from _places(np.frombuffer(raw, np.int64, n, 8), np.frombuffer(raw, np.uint32, n, 8 + 8 * n).astype(np.int64))
     if not got:
         return
-    h, code, ident, q = (np.concatenate(x) for x in zip(*got, strict=True))
+    h, code, ident, q, flag = (np.concatenate(x) for x in zip(*got, strict=True))
     del got
     by = np.lexsort((ident, code, h))
-    h, code, ident, q = h[by], code[by], ident[by], q[by]
+    h, code, ident, q, flag = h[by], code[by], ident[by], q[by], flag[by]
     group = np.concatenate([[True], h[1:] != h[:-1]])
     text = group | np.concatenate([[True], code[1:] != code[:-1]])
     number = np.cumsum(group) - 1
-    several = np.bincount(number[text]) > 1
+    several = (np.bincount(number[text]) > 1) | (np.bincount(number, flag) > 0)
     first = ident[np.flatnonzero(text)[np.cumsum(text) - 1]]
-    keep = several[number] & (ident == first)
-    ident, q = ident[keep], q[keep]
+    keep = several[number] & (ident == first) & ~flag
+    yield from _places(ident[keep], q[keep])
+
+
+def _places(ident: np.ndarray, q: np.ndarray):
     for lo in range(0, len(q), 200_000):
         yield pa.RecordBatch.from_arrays([pa.array(ident[lo : lo + 200_000]), pa.array(q[lo : lo + 200_000])], names=["doc_id", "q"])
 
@@ -173,7 +209,8 @@ def _signature(rows: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndar
 
 def _pack_pieces(buckets: int):
     """The text around each repeated anchor, once for each batch of documents, with
-    the places where it stands."""
+    the places where it stands in the smallest id. Where it stands in a larger id of
+    the batch, all its strings are known to be repeated: those runs are listed."""
 
     def run(batches):
         for batch in batches:
@@ -195,6 +232,15 @@ def _pack_pieces(buckets: int):
                 x = slice(lo, lo + 20_000)
                 sign[x] = _signature(_rows(data, q[x] + offsets[doc[x]], left[x], right[x]), left[x], right[x])
             _, first, number = np.unique(sign, return_index=True, return_inverse=True)
+            least = np.full(len(first), np.iinfo(np.int64).max)
+            np.minimum.at(least, number, ident[doc])
+            later = ident[doc] > least[number]
+            if later.any():
+                home = int(mix(ident[:1].astype(np.uint64))[0] % np.uint64(buckets))
+                blob = np.int64(later.sum()).tobytes() + ident[doc[later]].tobytes() + a[later].astype(np.uint32).tobytes() + b[later].astype(np.uint32).tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([home], pa.int64()), pa.array([KNOWN], pa.int32()), pa.array([blob], pa.binary())], names=["bucket", "kind", "blob"])
+                h, doc, q, left, right, number = h[~later], doc[~later], q[~later], left[~later], right[~later], number[~later]
+                first = np.unique(number, return_index=True)[1]
             bucket = (mix(h[first]) % np.uint64(buckets)).astype(np.int64)
             by = np.argsort(bucket, kind="stable")
             rank = np.empty(len(first), np.int64)
@@ -209,7 +255,7 @@ def _pack_pieces(buckets: int):
                     np.array([len(i), len(o)], np.int64).tobytes(), h[i].tobytes(), ident[doc[o]].tobytes(), (rank[number[o]] - to[k]).astype(np.uint32).tobytes(), q[o].astype(np.uint32).tobytes(),
                     left[i].astype(np.uint8).tobytes(), right[i].astype(np.uint8).tobytes(), rows.tobytes(),
                 ])
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([blob], pa.binary())], names=["bucket", "blob"])
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([ASKED], pa.int32()), pa.array([blob], pa.binary())], names=["bucket", "kind", "blob"])
 
     return run
 
@@ -234,7 +280,8 @@ def _shared(group: np.ndarray, rows: np.ndarray, size: np.ndarray) -> np.ndarray
     pad = np.zeros((n, -(-width // 8) * 8), np.uint8)
     pad[:, :width] = rows
     words = pad.view(">u8")
-    by = np.lexsort((*(words[:, k] for k in range(words.shape[1] - 1, -1, -1)), group))
+    # zeros beyond a row's size may equal zeros of a text: of such rows the shorter goes first
+    by = np.lexsort((size, *(words[:, k] for k in range(words.shape[1] - 1, -1, -1)), group))
     best = np.zeros(n, np.int64)
     if n > 1:
         a, b = by[:-1], by[1:]
@@ -262,15 +309,46 @@ def equal_strings(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.n
     start = order - begin[owner[order]]
     good = start + LENGTH <= sizes[owner[order]]
     order, start = order[good], start[good]
-    window = whole[order[:, None] + np.arange(LENGTH)]
+    window = whole.astype(np.int16)[order[:, None] + np.arange(LENGTH)]
     new = np.ones(len(order), bool)
     new[1:] = (window[1:] != window[:-1]).any(1)
     return np.cumsum(new) - 1, owner[order], start
 
 
+def _cut_down(h: np.ndarray, left: np.ndarray, right: np.ndarray, rows: np.ndarray, both: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How much of each piece's left and right side stays: what it shares with another
+    piece around the same anchor. A string can be elsewhere only within that; a piece
+    that stands in two documents is all shared."""
+    _, group = np.unique(h, return_inverse=True)
+    back = np.where(both, left, np.minimum(left, _shared(group, rows[:, _REACH - 1 :: -1], left)))
+    ahead = np.where(both, right, np.minimum(right, _shared(group, rows[:, _REACH + ANCHOR :], right)))
+    return back, ahead
+
+
+def _chunks(group: np.ndarray):
+    """Ranges of rows, in order of their groups, of about ORDERED rows; groups stay whole."""
+    bounds = np.append(np.flatnonzero(np.diff(group, prepend=-1)), len(group))
+    lo = 0
+    for hi, end in zip(bounds[1:-1].tolist(), bounds[2:].tolist(), strict=True):
+        if end - lo > ORDERED:
+            yield lo, hi
+            lo = hi
+    if len(group):
+        yield lo, len(group)
+
+
 def _find(batches):
     """(doc_id, s, e): runs of starts of strings that also stand in a smaller id."""
-    got = [_unpack_pieces(x.as_py()) for batch in batches for x in batch.column(1)]
+    got = []
+    for batch in batches:
+        for kind, blob in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
+            raw = blob.as_py()
+            if kind == ASKED:
+                got.append(_unpack_pieces(raw))
+                continue
+            n = int(np.frombuffer(raw, np.int64, 1)[0])
+            s, e = (np.frombuffer(raw, np.uint32, n, at).astype(np.int64) for at in (8 + 8 * n, 8 + 12 * n))
+            yield from _runs(np.frombuffer(raw, np.int64, n, 8), s, e)
     if not got:
         return
     h, left, right, rows = (np.concatenate(x) for x in zip(*(g[0] for g in got), strict=True))
@@ -285,12 +363,7 @@ def _find(batches):
     low, high = np.full(len(h), np.iinfo(np.int64).max), np.full(len(h), np.iinfo(np.int64).min)
     np.minimum.at(low, row, ident)
     np.maximum.at(high, row, ident)
-    # a string can be elsewhere only within what its piece shares with another one;
-    # a piece that stands in two documents is all shared
-    _, group = np.unique(h, return_inverse=True)
-    both = low < high
-    back = np.where(both, left, np.minimum(left, _shared(group, rows[:, _REACH - 1 :: -1] if _REACH else rows[:, :0], left)))
-    ahead = np.where(both, right, np.minimum(right, _shared(group, rows[:, _REACH + ANCHOR :], right)))
+    back, ahead = _cut_down(h, left, right, rows, low < high)
     open_ = back + ANCHOR + ahead >= LENGTH
     span = np.arange(-_REACH, ANCHOR + _REACH)
     inside = (span >= -back[:, None]) & (span < ANCHOR + ahead[:, None])
@@ -299,6 +372,7 @@ def _find(batches):
     _, first, number = np.unique(sign, return_index=True, return_inverse=True)
     least = np.full(len(first), np.iinfo(np.int64).max)
     np.minimum.at(least, number, low)
+    _, group = np.unique(h, return_inverse=True)
     members = np.bincount(group[first][open_[first]], minlength=group.max() + 1)
     # smallest id of each string: of the piece where it is alone in its group, else
     # by the order of the group's suffixes
@@ -308,8 +382,7 @@ def _find(batches):
     smallest[alone] = least[alone][:, None]
     rest = np.flatnonzero(~alone & open_[first])
     rest = rest[np.argsort(group[first[rest]], kind="stable")]
-    bounds = np.append(np.flatnonzero(np.diff(group[first[rest]], prepend=-1)), len(rest))
-    for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
+    for lo, hi in _chunks(group[first[rest]]):
         some = rest[lo:hi]
         lead = _REACH - back[first[some]]
         texts = [cut_rows[first[k], s : _REACH + ANCHOR + ahead[first[k]]] for k, s in zip(some, lead, strict=True)]
@@ -326,9 +399,13 @@ def _find(batches):
     r, s = np.nonzero(edge == 1)
     _, e = np.nonzero(edge == -1)
     base = q[r] - _REACH
-    for lo in range(0, len(r), 200_000):
+    yield from _runs(ident[r], base + s, base + e - 1)
+
+
+def _runs(ident: np.ndarray, s: np.ndarray, e: np.ndarray):
+    for lo in range(0, len(s), 200_000):
         x = slice(lo, lo + 200_000)
-        yield pa.RecordBatch.from_arrays([pa.array(ident[r[x]]), pa.array(base[x] + s[x]), pa.array(base[x] + e[x] - 1)], names=["doc_id", "s", "e"])
+        yield pa.RecordBatch.from_arrays([pa.array(ident[x]), pa.array(s[x]), pa.array(e[x])], names=["doc_id", "s", "e"])
 
 
 # ---------------------------------------------------------------- the operator
@@ -343,30 +420,44 @@ def removed_runs(s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return s[new], e[np.append(np.flatnonzero(new)[1:] - 1, len(s) - 1)] if len(s) else e
 
 
-def repeated_starts(docs: DataFrame) -> DataFrame:
+def repeated_starts(docs: DataFrame, copies: DataFrame) -> DataFrame:
     """(doc_id, s, e) for (doc_id, text): runs of starts of LENGTH-byte strings that
-    also start in a text of a smaller id. Ids whose text equals that of a smaller
-    id are left out: all their strings do."""
+    also start in a text of a smaller id. `copies` (doc_id) are those whose text
+    equals that of a smaller id: all their strings do, and they are left out."""
     spark = docs.sparkSession
+    kind = "bucket long, kind int, blob binary"
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(BUCKETS, partitions(spark), total // 18 // BUCKET_ANCHORS)
     coded = docs.select("doc_id", "text", F.xxhash64("text").alias("code"))
-    packed = coded.mapInArrow(_pack_anchors(buckets), "bucket long, blob binary")
-    found = cut(packed.repartition(buckets, "bucket").mapInArrow(_repeated, "doc_id long, q long"), "repeated")
+    packed = coded.mapInArrow(_pack_anchors(buckets), kind)
+    found = _by_bucket(packed, buckets).mapInArrow(_repeated, "doc_id long, q long")
+    found = cut(found, "repeated")
     pieces = found.count()
-    listed = found.groupBy("doc_id").agg(F.collect_list("q").alias("q"))
+    listed = found.join(copies, "doc_id", "left_anti").groupBy("doc_id").agg(F.collect_list("q").alias("q"))
     buckets = max(BUCKETS, partitions(spark), pieces // BUCKET_PIECES)
     both = docs.join(listed, "doc_id").select("doc_id", "text", "q")
-    packed = both.mapInArrow(_pack_pieces(buckets), "bucket long, blob binary")
-    return cut(packed.repartition(buckets, "bucket").mapInArrow(_find, "doc_id long, s long, e long"), "starts")
+    starts = cut(_by_bucket(both.mapInArrow(_pack_pieces(buckets), kind), buckets).mapInArrow(_find, "doc_id long, s long, e long"), "starts")
+    remove(found)
+    return starts
 
 
-def _with_runs(docs: DataFrame) -> DataFrame:
-    starts = repeated_starts(docs)
+def _by_bucket(packed: DataFrame, buckets: int) -> DataFrame:
+    """A partition for each bucket: no two buckets share one."""
+    return packed.repartitionById(buckets, F.col("bucket").cast("int"))
+
+
+def _with_runs(docs: DataFrame, copies: DataFrame) -> DataFrame:
+    starts = repeated_starts(docs, copies)
     runs = starts.groupBy("doc_id").agg(F.collect_list("s").alias("s"), F.collect_list("e").alias("e"))
     return docs.join(runs, "doc_id").select("doc_id", "text", "s", "e")
 
 
+def _copies(facts: DataFrame) -> DataFrame:
+    """(doc_id): those with LENGTH bytes whose text equals that of a smaller id."""
+    some = facts.where(f"doc_id is not null and n_bytes >= {LENGTH}")
+    return cut(group_min(some, "sha", "doc_id").where("doc_id <> leader").select("doc_id").distinct(), "copies")
+
+
 def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return column.offsets.to_numpy(), column.values.to_numpy()
 
@@ -399,7 +490,8 @@ def remove_repeats(docs: DataFrame, ident: str = "doc_id", text: str = "text") -
     so only anchors that stand in two texts need to be looked at, and text around
     equal anchors meets in one task. There, equal pieces are merged, pieces are cut
     to what they share with another one, and the suffixes of those that still
-    differ are ordered by linear grouping; strings that agree are neighbours then.
+    differ are ordered by linear grouping; strings that agree are neighbours then. What a batch of documents can decide by
+    itself does not travel: it sends a piece of text once, with its smallest id.
 
     Null texts count as empty. A text equal to one of a smaller id goes as a whole
     if it has LENGTH bytes. Rows that repeat an id (with one text) keep it alike;
@@ -408,10 +500,10 @@ def remove_repeats(docs: DataFrame, ident: str = "doc_id", text: str = "text") -
     """
     rows = docs.select(F.col(ident).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     facts = cut(rows.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("sha")), "facts")
-    copies = group_min(facts.where(f"doc_id is not null and n_bytes >= {LENGTH}"), "sha", "doc_id").where("doc_id <> leader").select(F.col("doc_id").alias("_c")).distinct()
-    changed = cut(_with_runs(rows.where("doc_id is not null")).mapInArrow(_summarise, "doc_id long, n_removed long, n_spans long, kept_sha256 string"), "changed")
+    copies = _copies(facts)
+    changed = cut(_with_runs(rows.where("doc_id is not null"), copies).mapInArrow(_summarise, "doc_id long, n_removed long, n_spans long, kept_sha256 string"), "changed")
     changed = changed.dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "_d")
-    out = facts.join(copies, F.col("doc_id") == F.col("_c"), "left").join(changed, F.col("doc_id") == F.col("_d"), "left")
+    out = facts.join(copies.select(F.col("doc_id").alias("_c")), F.col("doc_id") == F.col("_c"), "left").join(changed, F.col("doc_id") == F.col("_d"), "left")
     gone = F.col("_c").isNotNull()
     return out.select(
         "doc_id", "n_bytes",
@@ -441,9 +533,9 @@ def cut_repeats(docs: DataFrame, ident: str = "doc_id", text: str = "text", size
     is a column, gets the new number of characters. Null and empty texts that were
     so before, and null ids, stay."""
     rows = docs.select(F.col(ident).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).where("doc_id is not null")
-    facts = cut(rows.select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("sha")).where(F.octet_length("text") >= LENGTH), "facts")
-    copies = group_min(facts, "sha", "doc_id").where("doc_id <> leader").select(F.col("doc_id").alias("_d"), F.lit("").alias("_left"))
-    changed = _with_runs(rows).mapInArrow(_rewrite, "_d long, _left string")
+    found = _copies(rows.select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("sha"), F.octet_length("text").alias("n_bytes")))
+    copies = found.select(F.col("doc_id").alias("_d"), F.lit("").alias("_left"))
+    changed = _with_runs(rows, found).mapInArrow(_rewrite, "_d long, _left string")
     changed = cut(changed.join(copies.select("_d"), "_d", "left_anti").union(copies).dropDuplicates(["_d"]), "changed")
     out = docs.join(changed, docs[ident] == F.col("_d"), "left")
     out = out.where(F.col("_left").isNull() | F.col("_left").rlike("[^\\x20\\x09-\\x0D]"))

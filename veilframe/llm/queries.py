@@ -36,8 +36,8 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    trusted = quality_rules.trusted_documents(table(spark, sf_dir, "labels"))
-    return quality_rules.quality_rules(table(spark, sf_dir, "documents"), trusted)
+    docs = table(spark, sf_dir, "documents")
+    return quality_rules.quality_rules(docs, quality_rules.trusted_documents(table(spark, sf_dir, "labels"), docs))
 
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

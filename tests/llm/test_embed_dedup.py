@@ -35,9 +35,15 @@ def sample(n=300):
     return rows
 
 
-@pytest.mark.parametrize("tile", [2048, 20])
-def test_equals_brute_force(spark, monkeypatch, tile):
+@pytest.fixture(autouse=True)
+def fewer_turns(monkeypatch):
+    monkeypatch.setattr(embed_dedup, "TABLES", 20)
+
+
+@pytest.mark.parametrize(("tile", "tables"), [(2048, 9), (20, 20)])
+def test_equals_brute_force(spark, monkeypatch, tile, tables):
     monkeypatch.setattr(embed_dedup, "TILE", tile)
+    monkeypatch.setattr(embed_dedup, "TABLES", tables)
     rows = sample()
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embed_dedup.near_duplicates(spark.createDataFrame(rows, KIND), recall=0.999999).collect()}
     assert got == brute(rows)
@@ -52,3 +58,32 @@ def test_plan_keeps_recall():
 
 def test_empty_table(spark):
     assert embed_dedup.near_duplicates(spark.createDataFrame([], KIND)).collect() == []
+
+
+def test_doubles_of_any_size(spark):
+    """Neither large nor small components change a cosine."""
+    rng = np.random.default_rng(1)
+    base = rng.standard_normal(8)
+    rows = [(k, ((base + 0.01 * rng.standard_normal(8)) * scale).tolist()) for k, scale in enumerate((1e200, 1.0, 1e-200, 1e300, 5e-300))]
+    rows += [(10, [1e-200, 1e-200] + [0.0] * 6), (11, [1.0, 0.1] + [0.0] * 6), (None, [1.0] * 8), (12, [1.0] * 8), (12, [1.0] * 8)]
+    got = embed_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), recall=0.999999).collect()
+    by = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in got}
+    assert len(got) == len(rows)
+    assert [by[k] for k in range(5)] == [(4, 0, k == 0) for k in range(5)]
+    assert by[10] == (0, 10, True) and by[11] == (0, 11, True) and by[None] == (0, None, True) and by[12] == (1, 12, True)
+
+
+def test_recall_of_pairs_at_the_limit(spark):
+    """At the default setting, pairs of a cosine just above the limit are found."""
+    rng = np.random.default_rng(6)
+    n, d = 1500, 48
+    one = rng.standard_normal((n, d))
+    one /= np.linalg.norm(one, axis=1, keepdims=True)
+    other = rng.standard_normal((n, d))
+    other -= (other * one).sum(1, keepdims=True) * one
+    other /= np.linalg.norm(other, axis=1, keepdims=True)
+    cosine = rng.uniform(0.9005, 0.91, (n, 1))
+    two = cosine * one + np.sqrt(1 - cosine**2) * other
+    rows = [(2 * k + j, x.tolist()) for k in range(n) for j, x in enumerate((one[k], two[k]))]
+    got = {r.vec_id: r.n_links for r in embed_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert sum(got[2 * k] > 0 for k in range(n)) >= 0.99 * n

@@ -9,15 +9,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import _forest, components, cut, group_min, mix, partitions
+from veilframe.llm.common import _forest, components, cut, group_min, partitions, remove, text_bytes
 
 #: Least cosine of a link, and the share of pairs at just that cosine that a set of
 #: tables must bring together.
 COSINE, RECALL = 0.9, 0.999
 #: Vectors of a bucket on average; above TILE a bucket is compared in tiles.
 BUCKET, TILE = 256, 2048
-#: At most this many buckets of a table can be above TILE and a share of 1/OVER of all.
-OVER = 4096
+#: Tables whose buckets are compared at once: so many copies of the vectors travel.
+TABLES = 2
+#: Buckets above TILE whose list may be broadcast; a longer one is joined by shuffle.
+LISTED = 100_000
 
 
 def plan(n: int, cosine: float = COSINE, recall: float = RECALL) -> tuple[int, int]:
@@ -32,15 +34,21 @@ def planes(dimensions: int, bits: int, tables: int) -> np.ndarray:
     return np.random.default_rng([29, dimensions]).standard_normal((dimensions, bits * tables))
 
 
-def _hash(bits: int, tables: int):
-    """A row for each vector and table: its bucket, itself and all its signatures."""
+def unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1, by way of their largest component: squares neither overflow
+    nor vanish."""
+    x = x / np.abs(x).max(1, keepdims=True)
+    return x / np.sqrt((x * x).sum(1, keepdims=True))
+
+
+def _sign(bits: int, tables: int):
+    """Each vector's bytes, dimensions, and its sign bits under every table's planes."""
 
     def run(batches):
         drawn: dict[int, np.ndarray] = {}
         for batch in batches:
-            ident, weight = batch.column(0).to_numpy(), batch.column(2).to_numpy()
             lists = batch.column(1)
-            at, flat = lists.offsets.to_numpy(), lists.values.to_numpy().astype(np.float64)
+            at, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
             size = np.diff(at)
             for d in np.unique(size).tolist():
                 if d not in drawn:
@@ -48,17 +56,13 @@ def _hash(bits: int, tables: int):
                 own = np.flatnonzero(size == d)
                 for lo in range(0, len(own), 2000):
                     some = own[lo : lo + 2000]
-                    x = flat[at[some][:, None] + np.arange(d)]
-                    side = (x @ drawn[d] > 0).reshape(len(some), tables, bits)
-                    sign = (side * (1 << np.arange(bits))).sum(2).astype(np.uint32)
-                    raw = [v.tobytes() for v in x]
-                    signs = [s.tobytes() for s in sign]
-                    for t in range(tables):
-                        bucket = mix(sign[:, t].astype(np.uint64) | np.uint64(t) << np.uint64(32) | np.uint64(d) << np.uint64(44)).view(np.int64)
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(bucket), pa.array(np.full(len(some), t, np.int32)), pa.array(ident[some]), pa.array(weight[some]), pa.array(raw, pa.binary()), pa.array(signs, pa.binary())],
-                            names=["bucket", "t", "vec_id", "weight", "vec", "signs"],
-                        )
+                    x = np.ascontiguousarray(flat[at[some][:, None] + np.arange(d)])
+                    side = (unit(x.astype(np.float64)) @ drawn[d] > 0).reshape(len(some), tables, bits)
+                    sign = (side * (1 << np.arange(bits))).sum(2).astype(np.int32)
+                    ends = np.arange(len(some) + 1, dtype=np.int32)
+                    raw = pa.Array.from_buffers(pa.binary(), len(some), [None, pa.py_buffer(ends * x.itemsize * d), pa.py_buffer(x.tobytes())])
+                    signs = pa.ListArray.from_arrays(pa.array(ends * tables), pa.array(sign.reshape(-1)))
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(some)), batch.column(2).take(pa.array(some)), pa.array(np.full(len(some), d, np.int32)), raw, signs], names=["vec_id", "weight", "d", "vec", "signs"])
 
     return run
 
@@ -66,7 +70,11 @@ def _hash(bits: int, tables: int):
 LINKS = "kind int, a long, b long"
 
 
-def _compare(cosine: float):
+#: What one bucket, or two blocks of a large one, are told by.
+TILED = ["t", "d", "sign", "i", "j"]
+
+
+def _compare(cosine: float, kind: type):
     """Links within each bucket or tile: how many each vector has (kind 0: a, b links)
     and a forest that joins the linked ones (kind 1: a, b). A pair counts in the
     first table in which it meets."""
@@ -84,21 +92,19 @@ def _compare(cosine: float):
                 fresh = np.ones(len(i), bool)
                 for k in range(0, len(i), 200_000):
                     x = slice(k, k + 200_000)
-                    fresh[x] = ~(sa[i[x], :t] == sb[j[x], :t]).any(1)
+                    fresh[x] = ~(sa[i[x]] == sb[j[x]]).any(1)
                 i, j = i[fresh], j[fresh]
             if len(i):
                 yield ia[i], ib[j], wa[i], wb[j]
 
-    def solve(rows: list[tuple]):
-        t, first, second = rows[0][1], rows[0][6], rows[0][7]
-        parts = {}
-        for r in {first, second}:
-            own = [x for x in rows if x[8] == r]
-            if not own:
-                return
-            x = np.frombuffer(b"".join(v[4] for v in own), np.float64).reshape(len(own), -1)
-            x = x / np.sqrt((x * x).sum(1, keepdims=True))
-            parts[r] = np.array([v[2] for v in own]), np.array([v[3] for v in own]), x, np.frombuffer(b"".join(v[5] for v in own), np.uint32).reshape(len(own), -1)
+    def solve(held: list[pa.RecordBatch]):
+        rows = pa.Table.from_batches(held)
+        t, first, second = (rows.column(c)[0].as_py() for c in ("t", "i", "j"))
+        own, ident, weight = (rows.column(c).to_numpy() for c in ("own", "vec_id", "weight"))
+        data, offsets = text_bytes(rows.column("vec"))
+        x = unit(data[offsets[0] : offsets[-1]].copy().view(kind).reshape(len(own), -1).astype(np.float64))
+        earlier = np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in rows.column("earlier").chunks]).reshape(len(own), t)
+        parts = {r: tuple(v[own == r] for v in (ident, weight, x, earlier)) for r in {first, second}}
         found = list(links(t, parts[first], parts[second], first == second))
         if found:
             a, b, wa, wb = (np.concatenate(x) for x in zip(*found, strict=True))
@@ -108,13 +114,17 @@ def _compare(cosine: float):
             yield 1, node, root
 
     def run(batches):
-        held: list[tuple] = []
+        held: list[pa.RecordBatch] = []
+        last = None
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if held and (row[0], row[1], row[6], row[7]) != (held[0][0], held[0][1], held[0][6], held[0][7]):
+            key = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in TILED], 1)
+            starts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1).tolist()] if len(key) else []
+            for lo, hi in zip(starts, [*starts[1:], len(key)], strict=False):
+                if held and not (key[lo] == last).all():
                     yield from pack(solve(held))
                     held = []
-                held.append(row)
+                held.append(batch.slice(lo, hi - lo))
+                last = key[lo]
         if held:
             yield from pack(solve(held))
 
@@ -125,14 +135,36 @@ def _compare(cosine: float):
     return run
 
 
+def links_of_tables(signed: DataFrame, tables: range, n: int, cosine: float, kind: type) -> DataFrame:
+    """Links of pairs that meet in one of `tables` and in none before it."""
+    some = signed.withColumn("t", F.explode(F.array(*map(F.lit, tables)))).withColumn("sign", F.get("signs", F.col("t")))
+    large = cut(some.groupBy("t", "d", "sign").count().where(F.col("count") > TILE).withColumn("blocks", F.ceil(F.col("count") / TILE).cast("int")).drop("count"), "large")
+    listed = large.count()
+    if listed:
+        some = some.join(F.broadcast(large) if listed <= LISTED else large, ["t", "d", "sign"], "left")
+    else:
+        some = some.withColumn("blocks", F.lit(1))
+    some = some.withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    some = some.withColumn("own", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    some = some.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other"), "earlier": F.slice("signs", F.lit(1), F.col("t"))})
+    some = some.select(*TILED, "own", "vec_id", "weight", "vec", "earlier")
+    parts = max(partitions(signed.sparkSession), n * len(tables) // 100_000)
+    dealt = some.repartition(parts, *TILED).sortWithinPartitions(*TILED, "vec_id")
+    found = cut(dealt.mapInArrow(_compare(cosine, kind), LINKS), "links")
+    remove(large)
+    return found
+
+
 def near_duplicates(vectors: DataFrame, ident: str = "vec_id", embedding: str = "embedding", cosine: float = COSINE, recall: float = RECALL) -> DataFrame:
     """Links between embeddings of a cosine of at least `cosine`.
 
     Returns (vec_id, n_links, component_id, kept), one row per row. Candidates meet
     in a bucket of sign bits under one of several sets of random hyperplanes; every
     pair of a bucket is compared exactly in double precision, so no link is false,
-    and a pair at the threshold is found with chance `recall`. Buckets above TILE
-    vectors are compared in tiles of blocks, each in a task of its own.
+    and a pair at the threshold is found with chance `recall`. TABLES tables are
+    compared at a time, so no more copies of the vectors are under way, however many
+    tables there are. Buckets above TILE vectors are compared in tiles of blocks,
+    each a group of its own.
 
     Null and zero vectors and those with null, NaN or infinite components link with
     nothing; so do vectors of different lengths. Equal vectors are compared as one
@@ -142,23 +174,20 @@ def near_duplicates(vectors: DataFrame, ident: str = "vec_id", embedding: str =
     """
     spark = vectors.sparkSession
     value = F.col(embedding)
-    rows = vectors.select(F.col(ident).cast("long").alias("vec_id"), value.cast("array<double>").alias("vec"))
+    real = "float" if vectors.schema[embedding].dataType.simpleString() == "array<float>" else "double"
+    rows = vectors.select(F.col(ident).cast("long").alias("vec_id"), value.cast(f"array<{real}>").alias("vec"))
     bad = F.exists("vec", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     usable = F.col("vec_id").isNotNull() & F.coalesce(~bad & F.exists("vec", lambda x: x != 0), F.lit(False))
     classes = cut(group_min(rows.where(usable), "vec", "vec_id").select("vec_id", "leader", "members", "vec"), "classes")
     leaders = classes.where("vec_id = leader").dropDuplicates(["vec_id"]).select("vec_id", "vec", "members")
     n = leaders.count()
     bits, tables = plan(n, cosine, recall)
-    hashed = cut(leaders.mapInArrow(_hash(bits, tables), "bucket long, t int, vec_id long, weight long, vec binary, signs binary"), "hashed")
-    most = max(TILE, n // OVER)
-    large = hashed.groupBy("bucket").count().where(F.col("count") > most)
-    large = F.broadcast(large.select(F.col("bucket").alias("_b"), F.ceil(F.col("count") / most).cast("int").alias("blocks")))
-    tiled = hashed.join(large, F.col("bucket") == F.col("_b"), "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    tiled = tiled.withColumn("own", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tiled = tiled.select("bucket", "t", "vec_id", "weight", "vec", "signs", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own")
-    parts = max(partitions(spark), n * tables // 100_000)
-    dealt = tiled.repartition(parts, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "vec_id")
-    found = cut(dealt.mapInArrow(_compare(cosine), LINKS), "links")
+    signed = cut(leaders.select("vec_id", "vec", "members").mapInArrow(_sign(bits, tables), "vec_id long, weight long, d int, vec binary, signs array<int>"), "signed")
+    kind = np.float32 if real == "float" else np.float64
+    found = signed.sparkSession.createDataFrame([], LINKS)
+    for lo in range(0, tables, TABLES):
+        found = found.union(links_of_tables(signed, range(lo, min(lo + TABLES, tables)), n, cosine, kind))
+    remove(signed)
     counts = found.where("kind = 0").groupBy(F.col("a").alias("_l")).agg(F.sum("b").alias("links"))
     solved = components(found.where("kind = 1").select("a", "b"))
     facts = cut(leaders.select(F.col("vec_id").alias("leader")).join(counts, F.col("leader") == F.col("_l"), "left").join(solved, F.col("leader") == F.col("node"), "left").select("leader", "links", "component"), "facts")

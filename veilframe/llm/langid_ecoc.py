@@ -3,20 +3,19 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import fold
+from veilframe.llm.common import cut, fold
 from veilframe.llm.features import dense_blocks, language_features
 
-#: Hash bits of each n-gram order; most training documents of a language and in
-#: all, the longest that are learned from, and most languages.
+#: Hash bits of each n-gram order; training documents of a language (about), in all
+#: languages where these are many, and of each at least; the most characters of one.
 BITS = 11
-PER_LANGUAGE, SAMPLE, LONGEST, LANGUAGES = 700, 6000, 1 << 15, 200
+PER_LANGUAGE, SAMPLE, LEAST, LONGEST = 700, 6000, 30, 1 << 15
 #: A document is ambiguous if its best two languages' losses differ by less than
 #: this share of the code's length.
 MARGIN = 0.1
@@ -39,7 +38,7 @@ def codewords(classes: int, seed: int = 7) -> np.ndarray:
     bits = int(np.ceil(10 * np.log2(classes)))
 
     def apart(code: np.ndarray) -> float:
-        return min((code[a] != code[b]).sum() for a, b in combinations(range(classes), 2))
+        return (bits - code @ code.T)[np.triu_indices(classes, 1)].min()
 
     drawn = [rng.choice(np.array([-1.0, 1.0], np.float32), (classes, bits)) for _ in range(20)]
     return max(drawn, key=apart)
@@ -74,10 +73,11 @@ def fit(texts: pa.Array, langs: list[str], bits: int = BITS, rounds: int = 200,
     code = codewords(len(languages))
     rows = [language_features(d, o, bits) for _, _, d, o in dense_blocks(texts)]
     x = np.concatenate(rows) if rows else np.zeros((0, 2 << bits), np.float32)
-    y = code[[languages.index(v) for v in langs]] if langs else np.zeros((0, 0), np.float32)
+    number = {v: k for k, v in enumerate(languages)}
+    own = np.array([number[v] for v in langs], np.int64)
+    y = code[own] if langs else np.zeros((0, 0), np.float32)
     w, b = np.zeros((x.shape[1], code.shape[1]), np.float32), np.zeros(code.shape[1], np.float32)
-    counts = np.array([langs.count(v) for v in languages], np.float32)
-    weight = (1 / counts)[[languages.index(v) for v in langs]][:, None] / max(len(languages), 1) if langs else None
+    weight = (1 / np.bincount(own).astype(np.float32))[own][:, None] / max(len(languages), 1) if langs else None
     m, v = np.zeros_like(w), np.zeros_like(w)
     for t in range(1, rounds + 1 if code.shape[1] else 1):
         slope = -y / (1 + np.exp(np.clip(y * (x @ w + b), -30, 30))) * weight
@@ -88,15 +88,23 @@ def fit(texts: pa.Array, langs: list[str], bits: int = BITS, rounds: int = 200,
     return Model(languages, code, w, b)
 
 
+def window(text: str, ident: str):
+    """A text's characters, or LONGEST of them from a place chosen by hash."""
+    begin = F.pmod(F.xxhash64(F.lit("window"), F.col(ident)), F.greatest(F.length(text) - LONGEST, F.lit(0)) + 1) + 1
+    return F.substr(F.col(text), begin.cast("int"), F.lit(LONGEST))
+
+
 def training_rows(docs: DataFrame, ident: str, text: str, lang: str) -> DataFrame:
-    """A bounded sample of the labelled documents outside the held-out fold: about
-    PER_LANGUAGE of each language, by a hash of the id, of at most LONGEST bytes."""
-    rows = docs.where((fold(ident, 4) != 2) & F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.octet_length(text) <= LONGEST))
-    rows = rows.select(F.col(ident).alias("_i"), F.col(text).alias("_text"), F.col(lang).alias("_lang"))
-    counts = rows.groupBy("_lang").count().orderBy(F.desc("count"), "_lang").limit(LANGUAGES)
-    share = F.broadcast(counts.select(F.col("_lang").alias("_l"), (F.lit(float(PER_LANGUAGE)) / F.col("count")).alias("_share")))
+    """A bounded sample of the labelled documents outside the held-out fold, by a hash
+    of the id: of each language about PER_LANGUAGE, or SAMPLE divided by the number of
+    languages, but LEAST at any rate. A language with fewer gives all it has."""
+    rows = docs.where((fold(ident, 4) != 2) & F.col(lang).isNotNull() & F.col(text).isNotNull())
+    rows = rows.select(F.col(ident).alias("_i"), window(text, ident).alias("_text"), F.col(lang).alias("_lang"))
+    counts = cut(rows.groupBy("_lang").count(), "languages")
+    each = max(LEAST, min(PER_LANGUAGE, SAMPLE // max(1, counts.count())))
+    share = counts.select(F.col("_lang").alias("_l"), (F.lit(float(each)) / F.col("count")).alias("_share"))
     draw = F.pmod(F.xxhash64(F.lit("sample"), F.col("_i")), F.lit(1 << 30)) / float(1 << 30)
-    return rows.join(share, F.col("_lang") == F.col("_l")).where(draw < F.col("_share")).orderBy(F.xxhash64("_i"), "_i", "_text").limit(SAMPLE).select("_text", "_lang")
+    return rows.join(share, F.col("_lang") == F.col("_l")).where(draw < F.col("_share")).select("_i", "_text", "_lang")
 
 
 def identify(docs: DataFrame, ident: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
@@ -107,11 +115,13 @@ def identify(docs: DataFrame, ident: str = "doc_id", text: str = "text", lang: s
     those without `lang`; only the text is an input. Null texts and texts without
     a letter are `und` with score 0; so is everything if nothing is labelled.
     A null id counts as held out. Repeated rows are predicted alike; other columns
-    are ignored; an empty table gives no rows. The model (at most LANGUAGES
-    languages) has a fixed size and is sent to every task.
+    are ignored; an empty table gives no rows. Every language that is labelled can be
+    predicted. The model, which grows with the languages and not with the documents,
+    is sent to every task. Of a long text a window of LONGEST characters is learned;
+    predictions read whole texts.
     """
-    sample = training_rows(docs, ident, text, lang).toArrow()
-    model = fit(sample.column(0).combine_chunks(), sample.column(1).to_pylist())
+    sample = training_rows(docs, ident, text, lang).toArrow().sort_by([("_i", "ascending"), ("_text", "ascending")])
+    model = fit(sample.column(1).combine_chunks(), sample.column(2).to_pylist())
     send = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):

@@ -9,11 +9,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import fold
+from veilframe.llm.common import cut, fold
 from veilframe.llm.features import REPETITIONS, dense_blocks, quality_features
+from veilframe.llm.langid_ecoc import window
 
 #: Hash bits of the trigrams; dimensions; most labelled documents of each label
-#: that are learned from, and the longest of them in bytes.
+#: that are learned from, and the most characters of one.
 BITS, DIMENSIONS = 11, 48
 PER_LABEL, LONGEST = 1000, 1 << 15
 #: Neighbours that vote, and the power of the similarity that weighs a vote.
@@ -76,19 +77,22 @@ def fit(texts: pa.Array, labels: np.ndarray, bits: int = BITS, dimensions: int =
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, ident: str, text: str) -> DataFrame:
-    """A bounded sample of (text, label): about PER_LABEL ids of each label, by a
-    hash of the id, outside the held-out fold; their list is broadcast."""
+    """A bounded sample of (id, text, label): PER_LABEL documents of each label, by a
+    hash of the id, outside the held-out fold. They are chosen among the documents
+    that are there and have a text; their list is broadcast. Of a long text, a window."""
     good = labels.select(F.col("doc_id").alias("_l"), F.col("quality").cast("int").alias("_q")).where((fold("_l", 5) != 0) & F.col("_q").isin(0, 1))
-    some = [good.where(F.col("_q") == q).groupBy("_l", "_q").agg(F.lit(1)).orderBy(F.xxhash64("_l"), "_l").limit(2 * PER_LABEL) for q in (0, 1)]
-    chosen = F.broadcast(some[0].union(some[1]).select("_l", "_q"))
-    rows = docs.select(F.col(ident).alias("_i"), F.col(text).alias("_text")).where(F.octet_length("_text") <= LONGEST).join(chosen, F.col("_i") == F.col("_l"))
+    there = docs.where(F.octet_length(text) > 0).select(F.col(ident).alias("_i"))
+    known = cut(there.join(good, F.col("_i") == F.col("_l")).select("_l", "_q").distinct(), "labelled")
+    some = [known.where(F.col("_q") == q).orderBy(F.xxhash64("_l"), "_l").limit(PER_LABEL) for q in (0, 1)]
+    rows = docs.where(F.octet_length(text) > 0).select(F.col(ident).alias("_i"), window(text, ident).alias("_text"))
+    rows = rows.join(F.broadcast(some[0].union(some[1])), F.col("_i") == F.col("_l"))
     one = [rows.where(F.col("_q") == q).orderBy(F.xxhash64("_i"), "_i", "_text").limit(PER_LABEL) for q in (0, 1)]
-    return one[0].union(one[1]).select("_text", "_q")
+    return one[0].union(one[1]).select("_i", "_text", "_q")
 
 
 def fit_model(docs: DataFrame, labels: DataFrame, ident: str = "doc_id", text: str = "text") -> Model:
-    sample = training_rows(docs, labels, ident, text).toArrow()
-    return fit(sample.column(0).combine_chunks(), np.asarray(sample.column(1).to_pylist(), float))
+    sample = training_rows(docs, labels, ident, text).toArrow().sort_by([("_i", "ascending"), ("_text", "ascending")])
+    return fit(sample.column(1).combine_chunks(), np.asarray(sample.column(2).to_pylist(), float))
 
 
 def classify(docs: DataFrame, labels: DataFrame, ident: str = "doc_id", text: str = "text", extra: tuple[str, ...] = ()) -> DataFrame:

@@ -27,6 +27,13 @@ def test_round_trip(spark):
     assert got == expected
 
 
+def test_null_ids_stay_null(spark):
+    long_ = "x" * 200
+    table = [(None, "u", long_, None), (-1, "u", long_, None), (None, "u", "short", None), (5, "u", long_, None), (5, "u", long_, None)]
+    got = sorted(((r.page_id, r.record_type, r.refers_to) for r in warc.archive_pages(spark.createDataFrame(table, KIND)).collect()), key=str)
+    assert got == sorted([(None, "response", None), (-1, "response", None), (None, "response", None), (5, "revisit", -1), (5, "revisit", -1)], key=str)
+
+
 def test_archive_format(spark):
     folder = new_path(spark, "warc")
     made = warc.write_archives(spark.createDataFrame(rows() * 20, KIND).coalesce(1), folder).collect()

@@ -29,20 +29,23 @@ _SPACE = 0x6F1D0C3A52B84E90 << 64
 RECORD = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
-def record_urn(page_id: int) -> str:
-    return f"<urn:uuid:{uuid.UUID(int=_SPACE | page_id & (1 << 64) - 1)}>"
+def record_urn(page_id: int | None) -> str:
+    """The id as the low half of a UUID; a null id has a high half of its own."""
+    number = _SPACE | 1 << 64 if page_id is None else _SPACE | page_id & (1 << 64) - 1
+    return f"<urn:uuid:{uuid.UUID(int=number)}>"
 
 
-def page_of(urn: str) -> int:
-    low = uuid.UUID(urn[len("<urn:uuid:") : -1]).int & (1 << 64) - 1
-    return low - (1 << 64) if low >> 63 else low
+def page_of(urn: str) -> int | None:
+    number = uuid.UUID(urn[len("<urn:uuid:") : -1]).int
+    low = number & (1 << 64) - 1
+    return None if number >> 64 & 1 else low - (1 << 64) if low >> 63 else low
 
 
 def one_line(value: str) -> str:
     return " ".join((value or "").split())
 
 
-def record(page_id: int, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
+def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
     """The bytes of a response record, or of a revisit of page `refers_to`."""
     block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {record_urn(page_id)}", f"WARC-Date: {DATE}"]
@@ -134,7 +137,7 @@ def build_dictionary(pages: DataFrame, ident: str, url: str, html: str) -> bytes
 
     near = F.pmod(F.xxhash64(F.lit("dictionary"), F.col(ident)), F.lit(1 << 30)) < F.lit(max(1, pages.count()) ** -1 * 4 * SAMPLE_RECORDS * (1 << 30))
     some = pages.where(F.coalesce(near, F.lit(False))).select(F.col(ident), F.col(url), F.substring(F.coalesce(F.col(html), F.lit("")), 1, SAMPLE_BYTES)).orderBy(F.xxhash64(F.col(ident)), F.col(ident)).limit(SAMPLE_RECORDS)
-    raws = [record(p or 0, u, h.encode(), "0" * 64, None) for p, u, h in some.collect()]
+    raws = [record(p, u, h.encode(), "0" * 64, None) for p, u, h in some.collect()]
     try:
         return zstandard.train_dictionary(min(DICTIONARY_BYTES, sum(map(len, raws)) // 8), raws).as_bytes()
     except zstandard.ZstdError:  # too little to learn from
@@ -153,7 +156,8 @@ def write_archives(pages: DataFrame, folder: str, ident: str = "page_id", url: s
 
     Null html is an empty payload. Rows with equal payloads of MIN_REVISIT bytes
     or more: the smallest id is written as a response, the others as revisits of
-    it; rows that repeat that id are responses too. An empty table writes nothing.
+    it; rows that repeat that id are responses too, and so is a row with a null id,
+    which comes back as null. An empty table writes nothing. Other columns are ignored.
     The dictionary (at most DICTIONARY_BYTES) is all that is sent to every task.
     """
     dictionary = build_dictionary(pages, ident, url, html)
@@ -167,7 +171,7 @@ def write_archives(pages: DataFrame, folder: str, ident: str = "page_id", url: s
         for batch in batches:
             for values in zip(*(c.to_pylist() for c in (batch.column(0), batch.column(1))), batch.column(2), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
                 page, link, body, digest, first = values
-                writer.write(record(page if page is not None else -1, link, body.as_buffer().to_pybytes(), digest, first))
+                writer.write(record(page, link, body.as_buffer().to_pybytes(), digest, first))
         writer.close()
         if writer.done:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*writer.done, strict=True)], names=["path", "records", "bytes"])
@@ -202,7 +206,13 @@ def read_archives(spark: SparkSession, archives: DataFrame, folder: str) -> Data
 
 
 def archive_pages(pages: DataFrame, ident: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """Write archives to the shared folder and read every record back."""
+    """Write archives to the shared folder and read every record back.
+
+    Returns (page_id, payload_bytes, payload_digest, record_type, refers_to), one row
+    per row. Null html is an empty payload, a null url is left out, null ids stay
+    null and are responses; rows that repeat an id are records of their own. Other
+    columns are ignored, whatever their names; an empty table gives no rows.
+    """
     spark = pages.sparkSession
     folder = new_path(spark, "warc")
     return read_archives(spark, write_archives(pages, folder, ident, url, html), folder)

@@ -3,10 +3,12 @@
 import math
 import random
 import re
+import struct
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -129,10 +131,55 @@ def test_overlaps():
     assert not ngram_join.overlaps(np.zeros(0, np.uint64), np.zeros(31, np.int64), one, two).any()
 
 
+def test_orders_intersect(spark):
+    """Of the pairs that share a token, those that agree under all orders: no link is
+    lost, most others go; tokens that are not seldom take part in no mark."""
+    rng = np.random.default_rng(8)
+    words = lambda n: rng.integers(1, 1 << 63, n).astype(np.uint64)
+    sets, pairs = [], []
+    for _ in range(400):
+        n, m = rng.integers(1, 300, 2)
+        both = words(rng.integers(0, min(n, m) + 1))
+        pairs.append((len(sets), len(sets) + 1))
+        sets += [np.sort(np.concatenate([both, words(n - len(both))])), np.sort(np.concatenate([both, words(max(0, m - len(both)) if rng.random() < 0.5 else 0)]))]
+    sets = [x if len(x) else words(1) for x in sets]
+    bounds, tokens = np.concatenate([[0], np.cumsum([len(x) for x in sets])]), np.concatenate(sets)
+    for steps in (np.zeros(len(tokens), np.uint64), tokens % np.uint64(3)):
+        short = ngram_join.marks(tokens, bounds, steps, (80, 100))
+        a, b = np.array(pairs).T
+        got = ngram_join.agree(pa.array([short[k] for k in a], pa.binary()), pa.array([short[k] for k in b], pa.binary()), (80, 100))
+        size = [len(np.intersect1d(sets[x], sets[y])) for x, y in pairs]
+        link = np.array([100 * c >= 80 * (len(sets[x]) + len(sets[y]) - c) for c, (x, y) in zip(size, pairs, strict=True)])
+        far = np.array([100 * c < 50 * (len(sets[x]) + len(sets[y]) - c) and len(sets[x]) > 50 for c, (x, y) in zip(size, pairs, strict=True)])
+        assert got[link].all() and link.sum() > 20
+        assert got[far].sum() <= (0.02 if not steps.any() else 0.6) * far.sum() and far.sum() > 50
+    keys = [ngram_join.order_keys(tokens, np.zeros(len(tokens), np.uint64), k) for k in range(3)]
+    heads = [{p for part in ngram_join.prefixes(tokens, bounds, k, (80, 100)) for p in part.tolist()} for k in keys]
+    assert len(heads[0] & heads[1]) < 0.2 * len(heads[0])
+
+
+def test_long_lists_are_joined(docs, monkeypatch):
+    rows, df = docs
+    monkeypatch.setattr(ngram_join, "FETCHED", 0)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(df).collect()} == brute_join(rows)
+
+
 def test_join_empty(spark):
     assert ngram_join.jaccard_components(empty(spark)).collect() == []
 
 
+def test_components_of_a_long_chain(spark, monkeypatch):
+    """Ids that rise along a chain: rounds must still shrink it."""
+    from veilframe.llm import common
+
+    turns = []
+    monkeypatch.setattr(common, "_forests", lambda hashed, f=common._forests: turns.append(hashed) or f(hashed))
+    edges = spark.range(3000).selectExpr("id + 7 as a", "id + 8 as b").repartition(4)
+    got = components(edges, limit=100).collect()
+    assert len(got) == 3001 and {r.component for r in got} == {7}
+    assert len(turns) <= 16
+
+
 def test_components_of_any_size(spark):
     rng = random.Random(1)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(100 + i, 101 + i) for i in range(40)]
@@ -206,10 +253,15 @@ def brute_rules(rows, trusted):
     for k, t, *_ in rows:
         s = slots(WORDS.findall(t or ""))
         raw.update(s)
-        if k in trusted:
+        if k in trusted and half(k) == 0:
             target.update(s)
     sums = [(sum(v for s, v in c.items() if (s >= n) == kind) + n) for c in (target, raw) for kind in (False, True)]
     log_ratio = lambda s: math.log((target[s] + 1) / sums[s >= n]) - math.log((raw[s] + 1) / sums[2 + (s >= n)])
+    ratio_of = lambda w: sum(map(log_ratio, slots(w))) / (2 * len(w)) if w else 0.0
+    split = [(k, WORDS.findall(t or "")) for k, t, *_ in rows]
+    held = [ratio_of(w) for k, w in split if k in trusted and half(k) == 1 and len(w) >= 50]
+    low, middle = np.quantile(held, [quality_rules.LOW, 0.5]) if held else (0, -math.inf)
+    floor = middle - quality_rules.TIMES * (middle - low) if held else -math.inf
     out = {}
     for k, t, *_ in rows:
         t = t or ""
@@ -218,19 +270,37 @@ def brute_rules(rows, trusted):
         seen = Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
         inside = {j for i in range(len(w) - 2) if seen[tuple(w[i : i + 3])] > 1 for j in range(i, i + 3)}
         failed = len(w) < 50 or 100 * len(inside) > 50 * len(w)
-        ratio = sum(map(log_ratio, slots(w))) / (2 * len(w)) if w else 0.0
-        kept = not failed and ratio >= quality_rules.FLOOR - quality_rules.SLACK / math.sqrt(max(len(w), 1))
+        kept = not failed and ratio_of(w) >= floor
         out[k] = (len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len(inside), failed, kept)
     return out
 
 
+def half(k):
+    return xxhash.xxh64(struct.pack("<q", k), xxhash.xxh64(b"half", 42).intdigest()).intdigest() % 2
+
+
 def test_quality_rules(spark, docs):
     rows, df = docs
     trusted = spark.createDataFrame([(k,) for k in range(13, 30)], "doc_id long")
+    assert {half(k) for k in range(13, 30)} == {0, 1}
     got = {r.doc_id: (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed, r.kept) for r in quality_rules.quality_rules(df, trusted).collect()}
     assert got == brute_rules(rows, set(range(13, 30)))
 
 
+def test_quality_rules_reject_other_text(spark):
+    """Texts unlike the trusted ones go, whatever the corpus: the threshold follows it."""
+    rng = random.Random(9)
+    good, odd = [["".join(rng.choice(x) for _ in range(5)) for _ in range(200)] for x in ("abcdefgh", "stuvwxyz")]
+    rows = [(k, " ".join(rng.choice(odd if k % 5 == 0 else good) for _ in range(120)), None, None, None, None, None) for k in range(300)]
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(300) if k % 5 and k % 2] + [(k, 1, 0) for k in range(1000, 9000)] + [(None, 1, 0)], "doc_id long, quality int, toxic int")
+    df = spark.createDataFrame(rows, KIND)
+    trusted = quality_rules.trusted_documents(labels, df)
+    assert {r.doc_id for r in trusted.collect()} == {k for k in range(300) if k % 5 and k % 2}
+    kept = {r.doc_id for r in quality_rules.quality_rules(df, trusted).where("kept").collect()}
+    assert not any(k % 5 == 0 for k in kept) and len(kept) >= 230
+    assert quality_rules.quality_rules(df, labels.limit(0)).where("kept").count() == 300
+
+
 def test_quality_rules_empty(spark):
     none = spark.createDataFrame([], "doc_id long")
     assert quality_rules.quality_rules(empty(spark), none).collect() == []
@@ -303,6 +373,65 @@ def test_language(spark):
     assert langid_ecoc.identify(empty(spark)).collect() == []
 
 
+def test_many_languages(spark):
+    """More languages than get every split, some of them rare, one with long texts only:
+    each is learned; decoding equals its definition written out."""
+    rng = random.Random(12)
+    names = [f"l{k:02d}" for k in range(12)]
+    stems = {v: ["".join(rng.choice("abcdefghijklmnop") for _ in range(3)) for _ in range(6)] for v in names}
+    text = lambda v, n=40: " ".join(rng.choice(stems[v]) + rng.choice(stems[v]) for _ in range(n))
+    rows = [(k, text(names[k % 10]), names[k % 10], None, None, None, None) for k in range(400)]
+    rows += [(1000 + k, text("l10"), "l10", None, None, None, None) for k in range(6)] + [(2000 + k, text("l11", 6000), "l11", None, None, None, None) for k in range(8)]
+    rows += [(None, text("l00"), "l00", "s", None, None, None), (3000, text("l11"), None, None, None, None, None)]
+    df = spark.createDataFrame(rows, KIND)
+    got = langid_ecoc.identify(df).collect()
+    assert len(got) == len(rows) and next(r for r in got if r.doc_id is None).held_out
+    by = {r.doc_id: r for r in got if r.doc_id is not None}
+    held = [r for r in rows if r[0] is not None and r[2] and by[r[0]].held_out]
+    assert sum(by[r[0]].lang_pred == r[2] for r in held) >= 0.95 * len(held)
+    assert by[3000].lang_pred == "l11" and {r.lang_pred for r in got} == set(names)
+
+    texts = [r[1] for r in rows[:80]] + [rows[0][1] + " " + rows[1][1]]
+    model = langid_ecoc.fit(pa.array(texts[:80]), [r[2] for r in rows[:80]])
+    features = np.concatenate([langid_ecoc.language_features(d, o, langid_ecoc.BITS) for _, _, d, o in langid_ecoc.dense_blocks(pa.array(texts))])
+    best, score, unsure = model.predict(features)
+    assert model.code.shape[1] > 7
+    for k, x in enumerate(features):
+        out = [sum(float(a) * float(b) for a, b in zip(x, w, strict=True) if a) + float(c) for w, c in zip(model.weights.T, model.bias, strict=True)]
+        loss = [sum(math.log1p(math.exp(-float(c) * o)) for c, o in zip(word, out, strict=True)) for word in model.code]
+        one, two = sorted(loss)[:2]
+        assert best[k] == loss.index(one)
+        assert score[k] == pytest.approx(1 / sum(math.exp(one - v) for v in loss), rel=1e-3)
+        assert unsure[k] == (two - one < langid_ecoc.MARGIN * len(out)) or abs(two - one - langid_ecoc.MARGIN * len(out)) < 1e-3
+    assert unsure[80] and not unsure[:80].all()
+
+
+def test_neighbours_equal_their_definition(spark):
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("abcdef !#") for _ in range(rng.randint(1, 300))) for _ in range(90)]
+    labels = np.array([k % 3 == 0 for k in range(60)], float)
+    model = quality_knn.fit(pa.array(texts[:60]), labels)
+    counts = np.concatenate([quality_knn.quality_features(d, o, quality_knn.BITS) for _, _, d, o in quality_knn.dense_blocks(pa.array(texts))])
+    got = model.score(counts)
+    unit = lambda v: v / np.linalg.norm(v)
+    place = [unit(unit(np.log1p(c) * model.idf) @ model.basis) for c in counts.astype(float)]
+    for k in range(90):
+        near = sorted(((float(place[k] @ place[j]), labels[j]) for j in range(60)), reverse=True)[: quality_knn.NEIGHBOURS]
+        votes = [(max(c, 0) ** quality_knn.POWER, y) for c, y in near]
+        assert got[k] == pytest.approx(sum(w * y for w, y in votes) / sum(w for w, _ in votes), abs=1e-3)
+
+
+def test_labels_of_absent_documents_change_nothing(spark, monkeypatch):
+    monkeypatch.setattr(quality_knn, "PER_LABEL", 20)
+    rng = random.Random(3)
+    rows = [(k, "".join(rng.choice("abcdef !#") for _ in range(120)), None, None, None, None, None) for k in range(120)] + [(None, "no id", None, None, None, None, None)]
+    df = spark.createDataFrame(rows, KIND)
+    few = [(k, k % 2, 0) for k in range(120)]
+    more = few + [(k, k % 2, 0) for k in range(5000, 9000)] + [(None, 1, 0), (7, None, 0)]
+    one, two = ({r.doc_id: r.score for r in quality_knn.classify(df, spark.createDataFrame(x, "doc_id long, quality int, toxic int")).collect()} for x in (few, more))
+    assert one == two and len(set(one.values())) > 20
+
+
 def test_quality_classifier(spark):
     rng = random.Random(4)
     text = lambda good: " ".join(w if good else w.upper() + "!!" for w in ("".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(40)))

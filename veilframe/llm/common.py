@@ -25,10 +25,13 @@ SALTS = 16
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (spark.checkpoint.dir).
 
-    Where the setting is absent, as in local tests, a temporary folder is set.
+    Where the setting is absent, a temporary folder is set in local mode, as in
+    tests; on a cluster, whose executors would not share it, that is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir is unset: name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="veilframe-")
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -101,9 +104,15 @@ def group_min(df: DataFrame, key: str, ident: str) -> DataFrame:
 # ---------------------------------------------------------------- components
 
 
-def _forest(pairs: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(node, root) for each node that is not the smallest of its component."""
+def _forest(pairs: tuple[np.ndarray, np.ndarray], hashed: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(node, root) for each node that is not the smallest of its component, or not
+    that with the smallest hash."""
     nodes, codes = np.unique(np.concatenate(pairs), return_inverse=True)
+    if hashed:
+        by = np.argsort(mix(nodes.view(np.uint64)))
+        rank = np.empty(len(nodes), np.int64)
+        rank[by] = np.arange(len(nodes))
+        nodes, codes = nodes[by], rank[codes]
     half = len(pairs[0])
     a, b = codes[:half], codes[half:]
     root = np.arange(len(nodes))
@@ -124,12 +133,15 @@ def _forest(pairs: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarra
     return nodes[child], nodes[root[child]]
 
 
-def _forests(batches):
-    got = [(x.column(0).to_numpy(), x.column(1).to_numpy()) for x in batches]
-    if got:
-        a, b = (np.concatenate(x) for x in zip(*got, strict=True))
-        node, root = _forest((a, b))
-        yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(root)], names=["node", "root"])
+def _forests(hashed: bool):
+    def run(batches):
+        got = [(x.column(0).to_numpy(), x.column(1).to_numpy()) for x in batches]
+        if got:
+            a, b = (np.concatenate(x) for x in zip(*got, strict=True))
+            node, root = _forest((a, b), hashed)
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(root)], names=["node", "root"])
+
+    return run
 
 
 def components(edges: DataFrame, limit: int = UNION_FIND_EDGES) -> DataFrame:
@@ -139,26 +151,36 @@ def components(edges: DataFrame, limit: int = UNION_FIND_EDGES) -> DataFrame:
     Up to `limit` edges are solved in one task. More are dealt over tasks, each
     replaces its share by a spanning forest, and nodes that are nobody's root
     leave the graph; what is left is a smaller graph over roots, again and again.
+    Roots are chosen by a hash: of a chain's nodes about a third leave in a round,
+    in whatever order their ids come. Each component's smallest node is found last.
     """
     spark = edges.sparkSession
     graph = cut(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b").distinct(), "edges")
     all_nodes = graph.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    kept: list[DataFrame] = []
+    if graph.count() <= limit:
+        solved = cut(graph.coalesce(1).mapInArrow(_forests(False), "node long, root long"), "solved")
+        return all_nodes.join(solved, "node", "left").select("node", F.coalesce("root", "node").alias("component"))
+    every, kept = cut(all_nodes, "nodes"), []
     while graph.count() > limit:
         dealt = graph.repartition(partitions(spark), "a", "b")
-        local = cut(dealt.mapInArrow(_forests, "node long, root long"), "forest")
-        least = cut(local.groupBy("node").agg(F.min("root").alias("root")), "least")
-        roots = cut(local.select("root").distinct(), "roots")
-        kept.append(least.join(roots.withColumnRenamed("root", "node"), "node", "left_anti"))
-        among = local.join(roots.withColumnRenamed("root", "node"), "node", "left_semi").select(F.col("node").alias("a"), F.col("root").alias("b"))
+        local = cut(dealt.mapInArrow(_forests(True), "node long, root long"), "forest")
+        least = cut(local.groupBy("node").agg(F.min_by("root", F.xxhash64("root")).alias("root")), "least")
+        roots = cut(local.select(F.col("root").alias("node")).distinct(), "roots")
+        kept.append(cut(least.join(roots, "node", "left_anti"), "leaves"))
+        among = local.join(roots, "node", "left_semi").select(F.col("node").alias("a"), F.col("root").alias("b"))
         across = local.alias("l").join(least.alias("m"), "node").where("l.root <> m.root").select(F.col("l.root").alias("a"), F.col("m.root").alias("b"))
-        graph = cut(among.union(across).distinct(), "edges")
-    solved = cut(graph.coalesce(1).mapInArrow(_forests, "node long, root long"), "solved")
+        before, graph = graph, cut(among.union(across).distinct(), "edges")
+        for done in (before, local, least, roots):
+            remove(done)
+    solved = cut(graph.coalesce(1).mapInArrow(_forests(True), "node long, root long"), "solved")
     for leaves in reversed(kept):
-        leaves = cut(leaves, "leaves")
-        lifted = leaves.alias("x").join(solved.select(F.col("node").alias("_n"), F.col("root").alias("_r")), F.col("root") == F.col("_n"), "left")
-        solved = cut(solved.union(lifted.select("node", F.coalesce("_r", "root"))), "solved")
-    return all_nodes.join(solved, "node", "left").select("node", F.coalesce("root", "node").alias("component"))
+        lifted = leaves.join(solved.select(F.col("node").alias("_n"), F.col("root").alias("_r")), F.col("root") == F.col("_n"), "left")
+        before, solved = solved, cut(solved.union(lifted.select("node", F.coalesce("_r", "root"))), "solved")
+        for done in (before, leaves):
+            remove(done)
+    placed = cut(every.join(solved, "node", "left").select("node", F.coalesce("root", "node").alias("root")), "placed")
+    least = placed.groupBy(F.col("root").alias("_r")).agg(F.min("node").alias("component"))
+    return placed.join(least, F.col("root") == F.col("_r")).select("node", "component")
 
 
 # ---------------------------------------------------------------- byte kernels

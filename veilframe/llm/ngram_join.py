@@ -16,8 +16,17 @@ WIDTH = 5
 SHARE = (80, 100)
 #: Counters of the frequency sketch, and the parts in which it is summed.
 SKETCH, SLICES = 1 << 23, 64
-#: Token orders that a pair must agree under.
+#: Token orders that a pair must agree under: by a ring of token hashes, begun at
+#: another third of it in each order.
 ORDERS = 3
+_RING = 57
+_THIRD = np.uint64((1 << _RING) // ORDERS)
+#: Values of a token's place in its third, as documents are marked with it.
+_PLACES = 1 << 16
+#: Documents whose list may be broadcast to fetch their texts; more are joined by shuffle.
+FETCHED = 100_000
+#: Bytes of marks, and of zipped texts, of the pairs that are compared at once.
+MARKED, ZIPPED = 1 << 20, 1 << 18
 #: Rounds in which documents of a token meet one of another component, before all
 #: pairs that are still open are compared.
 ROUNDS = 2
@@ -49,6 +58,21 @@ def token_sets(data: np.ndarray, offsets: np.ndarray, width: int = WIDTH) -> tup
     return every[new], np.concatenate([[0], np.cumsum(new)])[at]
 
 
+def many_token_sets(column: pa.Array, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
+    """`token_sets` of a column of texts, a block of bytes at a time."""
+    data, offsets = text_bytes(column)
+    got = [token_sets(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], width) for lo, hi in blocks(offsets)]
+    sizes = [np.diff(b) for _, b in got]
+    return np.concatenate([t for t, _ in got] or [np.zeros(0, np.uint64)]), np.concatenate([[0], np.cumsum(np.concatenate(sizes or [np.zeros(0, np.int64)]))])
+
+
+def by_bytes(batch: pa.RecordBatch, columns: tuple[int, ...], limit: int):
+    """Slices of a batch with about `limit` bytes in `columns`, at least one row."""
+    total = sum(np.diff(text_bytes(batch.column(k))[1]) for k in columns)
+    for lo, hi in blocks(np.concatenate([[0], np.cumsum(total)]), limit):
+        yield batch.slice(lo, hi - lo)
+
+
 def steps(counts: np.ndarray) -> np.ndarray:
     """For each counter 0, or how many times its excess over what other tokens put
     there can be halved, plus 1."""
@@ -61,10 +85,77 @@ def step_of(tokens: np.ndarray, sketch: np.ndarray) -> np.ndarray:
     return sketch[(tokens & np.uint64(SKETCH - 1)).astype(np.int64)].astype(np.uint64)
 
 
+def ring(tokens: np.ndarray) -> np.ndarray:
+    return mix(tokens ^ _SEEDS[0]) >> np.uint64(64 - _RING)
+
+
 def order_keys(tokens: np.ndarray, step: np.ndarray, order: int) -> np.ndarray:
     """Ranks of tokens under one global order: seldom tokens first, in steps of a
-    power of two of the excess; ties by a hash that differs from order to order."""
-    return step << np.uint64(57) | mix(tokens ^ _SEEDS[order]) >> np.uint64(7)
+    power of two of the excess; then along the ring from the order's own third, so
+    that prefixes under different orders hold different tokens."""
+    with np.errstate(over="ignore"):
+        turned = (ring(tokens) - np.uint64(order) * _THIRD) & np.uint64((1 << _RING) - 1)
+    return step << np.uint64(_RING) | turned
+
+
+def marks(tokens: np.ndarray, bounds: np.ndarray, step: np.ndarray, share: tuple[int, int]) -> list[bytes]:
+    """Each document's prefixes under all orders in short: its set size, and for each
+    order a limit, a count and the places of the prefix's tokens of step 0 in the
+    order's third. A document's tokens of step 0 in a third, below that limit, are
+    all among them."""
+    n = np.diff(bounds)
+    length = n - needed(n, share) + 1
+    own = np.repeat(np.arange(len(n)), n)[step == 0]
+    at = ring(tokens[step == 0])
+    third = np.minimum(at // _THIRD, np.uint64(ORDERS - 1))
+    inside = at - third * _THIRD < _THIRD
+    own, third, at = own[inside], third[inside].astype(np.int64), at[inside]
+    place = ((at - third.astype(np.uint64) * _THIRD) * np.uint64(ORDERS) >> np.uint64(_RING - 16)).astype(np.int64)
+    code = np.sort((own * ORDERS + third) * _PLACES + place)
+    slot, place = code // _PLACES, code % _PLACES
+    begin = np.searchsorted(slot, np.arange(len(n) * ORDERS + 1))
+    total = np.diff(begin)
+    kept = np.minimum(total, np.repeat(length, ORDERS))
+    limit = np.full(len(total), _PLACES)
+    more = np.flatnonzero(total > kept)
+    limit[more] = place[begin[more] + kept[more]]
+    take = np.arange(len(code)) - begin[slot] < kept[slot]
+    flat = place[take].astype(np.uint16)
+    to = np.concatenate([[0], np.cumsum(kept)])[::ORDERS]
+    heads = np.concatenate([n[:, None], limit.reshape(-1, ORDERS), kept.reshape(-1, ORDERS)], 1).astype(np.uint32)
+    return [heads[d].tobytes() + flat[to[d] : to[d + 1]].tobytes() for d in range(len(n))]
+
+
+def read_marks(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(set sizes, limits, codes, owners) of a column of `marks`; a code is an order
+    and a place in one number."""
+    raw, offsets = text_bytes(column)
+    wide = 4 * (1 + 2 * ORDERS)
+    head = raw[offsets[:-1][:, None] + np.arange(wide)].reshape(-1).view(np.uint32).reshape(-1, 1 + 2 * ORDERS).astype(np.int64)
+    n, limit, kept = head[:, 0], head[:, 1 : 1 + ORDERS], head[:, 1 + ORDERS :]
+    own = kept.sum(1)
+    at = np.repeat(offsets[:-1] + wide - 2 * (np.cumsum(own) - own), own) + 2 * np.arange(own.sum())
+    place = raw[at].astype(np.int64) | raw[at + 1].astype(np.int64) << 8
+    order = np.repeat(np.tile(np.arange(ORDERS), len(n)), kept.reshape(-1))
+    return n, limit, order * _PLACES + place, np.repeat(np.arange(len(n)), own)
+
+
+def agree(one: pa.Array, two: pa.Array, share: tuple[int, int]) -> np.ndarray:
+    """Which pairs of `marks` can link. Below the smaller of two documents' limits,
+    the tokens of both are known under every order, and the thirds are apart; so the
+    overlap is at most what is equal there and what either has elsewhere. A pair
+    without an equal prefix token under some order cannot reach what it needs."""
+    (na, la, ca, oa), (nb, lb, cb, ob) = read_marks(one), read_marks(two)
+    least = np.minimum(la, lb)
+    known = []
+    for code, own in ((ca, oa), (cb, ob)):
+        low = code % _PLACES < least[own, code // _PLACES]
+        known.append((np.bincount(own[low], minlength=len(na)), *np.unique(own[low] * (ORDERS * _PLACES) + code[low], return_counts=True)))
+    (ka, xa, ta), (kb, xb, tb) = known
+    both, i, j = np.intersect1d(xa, xb, assume_unique=True, return_indices=True)
+    common = np.bincount(both // (ORDERS * _PLACES), np.minimum(ta[i], tb[j]), len(na)).astype(np.int64)
+    most = common + np.minimum(na - ka, nb - kb)
+    return most * (share[0] + share[1]) >= share[0] * (na + nb)
 
 
 def prefixes(tokens: np.ndarray, bounds: np.ndarray, keys: np.ndarray, share: tuple[int, int]) -> list[np.ndarray]:
@@ -128,14 +219,14 @@ def frequency_sketch(docs: DataFrame) -> np.ndarray:
 
 
 def describe(docs: DataFrame, sketch, share: tuple[int, int]) -> DataFrame:
-    """(doc_id, n, key, prefix): set size, a 128-bit signature of the set, and the
-    prefix tokens under the first order."""
+    """(doc_id, n, key, prefix, mark): set size, a 128-bit signature of the set, the
+    prefix tokens under the first order, and the prefixes under all orders in short."""
 
     def run(batches):
         counts = sketch.value
         for batch in batches:
             data, offsets = text_bytes(batch.column(1))
-            sizes, keys, heads = [], [], []
+            sizes, keys, heads, short = [], [], [], []
             for lo, hi in blocks(offsets):
                 tokens, bounds = token_sets(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
                 n = np.diff(bounds)
@@ -143,13 +234,15 @@ def describe(docs: DataFrame, sketch, share: tuple[int, int]) -> DataFrame:
                     a = np.concatenate([[0], np.cumsum(mix(tokens ^ _SEEDS[3]))]).astype(np.uint64)
                     b = np.concatenate([[0], np.cumsum(mix(tokens * np.uint64(3) + np.uint64(1)))]).astype(np.uint64)
                     sign = np.stack([a[bounds[1:]] - a[bounds[:-1]], b[bounds[1:]] - b[bounds[:-1]]], 1)
-                ranks = order_keys(tokens, step_of(tokens, counts), 0)
+                step = step_of(tokens, counts)
+                ranks = order_keys(tokens, step, 0)
+                short += marks(tokens, bounds, step, share)
                 sizes += n.tolist()
                 keys += [s.tobytes() for s in sign]
                 heads += [tokens[p].tobytes() for p in prefixes(tokens, bounds, ranks, share)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(heads, pa.binary())], names=["doc_id", "n", "key", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(heads, pa.binary()), pa.array(short, pa.binary())], names=["doc_id", "n", "key", "prefix", "mark"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, key binary, prefix binary")
+    return docs.mapInArrow(run, "doc_id long, n long, key binary, prefix binary, mark binary")
 
 
 def postings(described: DataFrame, sketch, buckets: int) -> DataFrame:
@@ -239,36 +332,51 @@ def zipped(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, text binary")
 
 
-def verify(pairs: DataFrame, texts: DataFrame, sketch, share: tuple[int, int], width: int = WIDTH) -> DataFrame:
-    """The pairs (a, b) that link; `texts` are zipped. A pair goes on to the exact count only if it
-    shares a prefix token under each of the other orders too."""
+def texts_of(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, text) of the documents in `ids` (doc_id, distinct), zipped, one row an
+    id. A list of at most FETCHED ids is broadcast, a longer one joined."""
+    if ids.count() <= FETCHED:
+        return zipped(rows.join(F.broadcast(ids), "doc_id", "left_semi")).dropDuplicates(["doc_id"])
+    return zipped(rows).join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+
+
+def screen(pairs: DataFrame, short: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """The pairs (a, b) that agree under all orders; `short` is (doc_id, mark)."""
 
     def run(batches):
-        import zstandard
+        for batch in batches:
+            for part in by_bytes(batch, (2, 3), MARKED):
+                keep = pa.array(agree(part.column(2), part.column(3), share))
+                yield pa.RecordBatch.from_arrays([part.column(0).filter(keep), part.column(1).filter(keep)], names=["a", "b"])
+
+    left = short.select(F.col("doc_id").alias("a"), F.col("mark").alias("mark_a"))
+    right = short.select(F.col("doc_id").alias("b"), F.col("mark").alias("mark_b"))
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "mark_a", "mark_b")
+    return both.mapInArrow(run, "a long, b long")
 
-        counts = sketch.value
 
-        def prepare(column):
-            data, offsets = text_bytes(pa.array([unzip(x) for x in column.to_pylist()], pa.binary()))
-            tokens, bounds = token_sets(data, offsets, width)
-            step = step_of(tokens, counts)
-            heads = [prefixes(tokens, bounds, order_keys(tokens, step, k), share) for k in range(1, ORDERS)]
-            return tokens, bounds, heads
+def verify(pairs: DataFrame, rows: DataFrame, share: tuple[int, int], width: int = WIDTH) -> DataFrame:
+    """The pairs (a, b) that link, by exact counts of their texts' shingles; `pairs`
+    is a table, `rows` all documents (doc_id, text)."""
+
+    def run(batches):
+        import zstandard
 
         unzip = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            for lo in range(0, batch.num_rows, 128):
-                part = batch.slice(lo, 128)
-                (ta, ba, ha), (tb, bb, hb) = prepare(part.column(2)), prepare(part.column(3))
+            for part in by_bytes(batch, (2, 3), ZIPPED):
+                ids = np.concatenate([part.column(0).to_numpy(), part.column(1).to_numpy()])
+                _, first, where = np.unique(ids, return_index=True, return_inverse=True)  # each text is read once
+                texts = [unzip(part.column(2 + k // part.num_rows)[k % part.num_rows].as_py()) for k in first.tolist()]
+                tokens, bounds = many_token_sets(pa.array(texts, pa.large_binary()), width)
                 keep = np.zeros(part.num_rows, bool)
-                for d in range(part.num_rows):
-                    if any(not len(np.intersect1d(ta[x[d]], tb[y[d]], True)) for x, y in zip(ha, hb, strict=True)):
-                        continue
-                    one, two = ta[ba[d] : ba[d + 1]], tb[bb[d] : bb[d + 1]]
+                for d, (x, y) in enumerate(zip(where[: part.num_rows].tolist(), where[part.num_rows :].tolist(), strict=True)):
+                    one, two = tokens[bounds[x] : bounds[x + 1]], tokens[bounds[y] : bounds[y + 1]]
                     common = len(np.intersect1d(one, two, True))
                     keep[d] = common * share[1] >= share[0] * (len(one) + len(two) - common)
                 yield pa.RecordBatch.from_arrays([part.column(0).filter(pa.array(keep)), part.column(1).filter(pa.array(keep))], names=["a", "b"])
 
+    texts = texts_of(rows, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
     left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
@@ -332,8 +440,7 @@ def compare_blocks(sketch, share: tuple[int, int], width: int = WIDTH):
         counts, unzip = sketch.value, zstandard.ZstdDecompressor().decompress
         left, right = (k.as_py() for k in key)
         cell, doc, part = (group.column(c).to_numpy() for c in ("cell", "doc", "part"))
-        data, offsets = text_bytes(pa.array([unzip(x) for x in group.column("text").to_pylist()], pa.large_binary()))
-        tokens, bounds = token_sets(data, offsets, width)
+        tokens, bounds = many_token_sets(pa.array([unzip(x) for x in group.column("text").to_pylist()], pa.large_binary()), width)
         size = np.diff(bounds)
         one, two = np.flatnonzero(cell == left), np.flatnonzero(cell == right)
         n, m = size[one][:, None], size[two][None, :]
@@ -356,7 +463,7 @@ def compare_blocks(sketch, share: tuple[int, int], width: int = WIDTH):
     return run
 
 
-def by_blocks(open_: DataFrame, texts: DataFrame, sketch, share: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
+def by_blocks(open_: DataFrame, rows: DataFrame, sketch, share: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
     """Links between documents of different components that share a crowded token,
     and the rows of `open_` (token, doc, n, part) of the other tokens.
 
@@ -377,6 +484,7 @@ def by_blocks(open_: DataFrame, texts: DataFrame, sketch, share: tuple[int, int]
     l, r = where.alias("l"), where.alias("r")
     meet = (F.col("l.token") == F.col("r.token")) & (F.col("l.cell") <= F.col("r.cell")) & (F.abs(F.col("l.grade") - F.col("r.grade")) <= 1)
     both = cut(l.join(r, meet).select(F.col("l.cell").alias("left"), F.col("r.cell").alias("right")).distinct(), "both")
+    texts = texts_of(rows, cells.select(F.col("doc").alias("doc_id")))
     full = cut(cells.join(texts, F.col("doc") == F.col("doc_id")).select("cell", "doc", "part", "text"), "full")
     sent = both.select("left", "right", F.explode(F.array_distinct(F.array("left", "right"))).alias("cell")).join(full, "cell")
     links = cut(sent.groupBy("left", "right").applyInArrow(compare_blocks(sketch, share), "a long, b long"), "block_links")
@@ -394,12 +502,15 @@ def jaccard_components(docs: DataFrame, ident: str = "doc_id", text: str = "text
     than ASCII white space). component_id is the smallest id reachable.
 
     Documents with equal sets are one document from the start. Tokens are ordered
-    by a sketch of their frequency, so that prefixes hold seldom tokens. Of the
-    documents that share a prefix token, each is compared with the smallest, then
-    in a few rounds with one of another component; then all documents that share a
-    token and are not in one component yet are compared, by blocks where many share
-    it, so no link between components is lost, a large group of copies costs as many
-    comparisons as it has members, and no pairs of a large group are made.
+    by a sketch of their frequency, so that prefixes hold seldom tokens. Candidates
+    share a prefix token under the first order; they go on only if their prefixes
+    under all orders, held in short, allow the overlap that a link needs; only then
+    are texts fetched and counted. Of the documents that share a token, each is
+    paired with the smallest, then in a few rounds with one of another component;
+    then all documents that share a token and are not in one component yet are
+    compared, by blocks where many share it, so no link between components is lost,
+    a large group of copies costs as many comparisons as it has members, and no
+    pairs of a large group are made.
 
     Null and empty texts have size 0 and link with nothing; with fewer words than
     WIDTH the whole sequence is the one shingle. Shingles are 64-bit hashes. Rows
@@ -418,44 +529,49 @@ def jaccard_components(docs: DataFrame, ident: str = "doc_id", text: str = "text
     posts = postings(described.where("n > 0").join(leaders, "doc_id", "left_semi").select("doc_id", "n", "prefix"), sketch, 4 * parts)
     found = cut(posts.repartition(parts, "bucket").mapInArrow(gather(share), "kind int, x long, y long, z long"), "found")
     sizes = cut(described.select("doc_id", F.col("n").alias("n_shingles")), "sizes")
-    remove(described)
+    short = described.where("n > 0 and doc_id is not null").select("doc_id", "mark").dropDuplicates(["doc_id"])
+
+    def linked(candidates: DataFrame) -> DataFrame:
+        agreed = cut(screen(candidates, short, share), "agreed")
+        out = cut(verify(agreed, rows, share), "links")
+        remove(agreed)
+        return out
 
     members = found.where(f"kind = {MEMBER}").select(F.col("x").alias("token"), F.col("y").alias("doc"), F.col("z").alias("n"))
     tops = found.where(f"kind = {HEAD}").select(F.col("x").alias("token"), F.col("y").alias("doc")).distinct()
     top = tops.groupBy("token").agg(F.min("doc").alias("least"))
     across = tops.join(top, "token").where("doc <> least").select(F.col("least").alias("a"), F.col("doc").alias("b"))
     pairs = cut(found.where(f"kind = {PAIR}").select(F.col("x").alias("a"), F.col("y").alias("b")).union(across).distinct(), "pairs")
-    candidates = members.select(F.col("doc").alias("doc_id")).union(pairs.select("a")).union(pairs.select("b")).distinct()
-    texts = cut(zipped(rows).join(candidates, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
-    links = cut(verify(pairs, texts, sketch, share), "links")
+    links = linked(pairs)
     known = cut(components(links), "known")
 
     fits = lambda a, b: F.least(a, b) * share[1] >= F.greatest(a, b) * share[0]
     ordered = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
-    open_, spent = members, [found, texts]
+    open_, spent = members, found
     for turn in range(ROUNDS + 1):
         placed = open_.join(known, open_["doc"] == known["node"], "left").select("token", "doc", "n", F.coalesce("component", "doc").alias("part"))
         hub = F.min_by(F.struct("doc", "n", "part"), F.xxhash64(F.lit(turn), "doc"))
         mixed = placed.groupBy("token").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), hub.alias("hub")).where("lo < hi").select("token", "hub")
         open_ = cut(placed.join(mixed, "token"), "open")
-        spent.append(open_)
+        remove(spent)
+        spent = open_
         if turn == ROUNDS:
             break
         met = open_.where((F.col("part") != F.col("hub.part")) & fits("n", "hub.n")).select(*ordered("doc", "hub.doc")).distinct()
         met = cut(met.join(pairs, ["a", "b"], "left_anti"), "met")
-        links = cut(links.union(verify(met, texts, sketch, share)), "links")
+        links = cut(links.union(linked(met)), "links")
         pairs = cut(pairs.union(met), "pairs")
         known = cut(components(links), "known")
         open_ = open_.select("token", "doc", "n")
-    blocked, open_ = by_blocks(open_.select("token", "doc", "n", "part"), texts, sketch, share)
+    blocked, open_ = by_blocks(open_.select("token", "doc", "n", "part"), rows, sketch, share)
     one, two = open_.alias("l"), open_.alias("r")
     near = fits("l.n", "r.n") & (F.col("l.part") < F.col("r.part"))
     rest = one.join(two, F.col("l.token") == F.col("r.token")).where(near)
-    rest = rest.select(*ordered("l.doc", "r.doc")).distinct().join(pairs, ["a", "b"], "left_anti")
-    more = cut(verify(cut(rest, "rest"), texts, sketch, share).union(blocked), "more")
+    rest = cut(rest.select(*ordered("l.doc", "r.doc")).distinct().join(pairs, ["a", "b"], "left_anti"), "rest")
+    remove(spent)
+    more = cut(linked(rest).union(blocked), "more")
+    remove(described)
     solved = known if more.isEmpty() else cut(components(links.union(more)), "solved")
-    for done in spent:
-        remove(done)
     return place(sizes, classes, solved)
 
 

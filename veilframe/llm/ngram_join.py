@@ -27,6 +27,8 @@ _PLACES = 1 << 16
 FETCHED = 100_000
 #: Bytes of marks, and of zipped texts, of the pairs that are compared at once.
 MARKED, ZIPPED = 1 << 20, 1 << 18
+#: Bytes by which prefix tokens are told apart; equal ones make candidates, not links.
+SHORT = 6
 #: Rounds in which documents of a token meet one of another component, before all
 #: pairs that are still open are compared.
 ROUNDS = 2
@@ -219,14 +221,14 @@ def frequency_sketch(docs: DataFrame) -> np.ndarray:
 
 
 def describe(docs: DataFrame, sketch, share: tuple[int, int]) -> DataFrame:
-    """(doc_id, n, key, prefix, mark): set size, a 128-bit signature of the set, the
-    prefix tokens under the first order, and the prefixes under all orders in short."""
+    """(doc_id, n, key, prefix): set size, a 128-bit signature of the set, and the
+    prefix tokens under the first order, by SHORT bytes each."""
 
     def run(batches):
         counts = sketch.value
         for batch in batches:
             data, offsets = text_bytes(batch.column(1))
-            sizes, keys, heads, short = [], [], [], []
+            sizes, keys, heads = [], [], []
             for lo, hi in blocks(offsets):
                 tokens, bounds = token_sets(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
                 n = np.diff(bounds)
@@ -234,15 +236,49 @@ def describe(docs: DataFrame, sketch, share: tuple[int, int]) -> DataFrame:
                     a = np.concatenate([[0], np.cumsum(mix(tokens ^ _SEEDS[3]))]).astype(np.uint64)
                     b = np.concatenate([[0], np.cumsum(mix(tokens * np.uint64(3) + np.uint64(1)))]).astype(np.uint64)
                     sign = np.stack([a[bounds[1:]] - a[bounds[:-1]], b[bounds[1:]] - b[bounds[:-1]]], 1)
-                step = step_of(tokens, counts)
-                ranks = order_keys(tokens, step, 0)
-                short += marks(tokens, bounds, step, share)
+                ranks = order_keys(tokens, step_of(tokens, counts), 0)
                 sizes += n.tolist()
                 keys += [s.tobytes() for s in sign]
-                heads += [tokens[p].tobytes() for p in prefixes(tokens, bounds, ranks, share)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(heads, pa.binary()), pa.array(short, pa.binary())], names=["doc_id", "n", "key", "prefix", "mark"])
+                heads += [_bytes_of(tokens[p])[:, :SHORT].tobytes() for p in prefixes(tokens, bounds, ranks, share)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(heads, pa.binary())], names=["doc_id", "n", "key", "prefix"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, key binary, prefix binary, mark binary")
+    return docs.mapInArrow(run, "doc_id long, n long, key binary, prefix binary")
+
+
+def marked(docs: DataFrame, sketch, share: tuple[int, int]) -> DataFrame:
+    """(doc_id, mark) of documents (doc_id, text): see `marks`."""
+
+    def run(batches):
+        counts = sketch.value
+        for batch in batches:
+            data, offsets = text_bytes(batch.column(1))
+            short = []
+            for lo, hi in blocks(offsets):
+                tokens, bounds = token_sets(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+                short += marks(tokens, bounds, step_of(tokens, counts), share)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(short, pa.binary())], names=["doc_id", "mark"])
+
+    return docs.mapInArrow(run, "doc_id long, mark binary")
+
+
+def _bytes_of(x: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize)
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """First bytes, then second bytes and so on: high bytes of small numbers compress."""
+    return _bytes_of(x).T.tobytes()
+
+
+def _numbers(raw: bytes, kind: type, n: int, at: int) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * size, at).reshape(size, n).T).reshape(-1).view(kind)
+
+
+def _tokens(raw: np.ndarray) -> np.ndarray:
+    wide = np.zeros((len(raw) // SHORT, 8), np.uint8)
+    wide[:, :SHORT] = raw.reshape(-1, SHORT)
+    return wide.reshape(-1).view(np.uint64)
 
 
 def postings(described: DataFrame, sketch, buckets: int) -> DataFrame:
@@ -255,8 +291,8 @@ def postings(described: DataFrame, sketch, buckets: int) -> DataFrame:
             raw, offsets = text_bytes(batch.column(2))
             if not len(raw):
                 continue
-            tokens = raw[offsets[0] : offsets[-1]].copy().view(np.uint64)
-            each = np.diff(offsets) // 8
+            tokens = _tokens(raw[offsets[0] : offsets[-1]])
+            each = np.diff(offsets) // SHORT
             doc = np.repeat(batch.column(0).to_numpy(), each)
             size = np.repeat(batch.column(1).to_numpy(), each)
             pieces = (np.uint64(1) << step_of(tokens, counts)) // np.uint64(2 * PIECE) + np.uint64(1)
@@ -266,7 +302,7 @@ def postings(described: DataFrame, sketch, buckets: int) -> DataFrame:
             to = np.searchsorted(bucket[by], np.arange(buckets + 1))
             full = np.flatnonzero(np.diff(to))
             parts = [by[to[k] : to[k + 1]] for k in full]
-            posts = [tokens[i].tobytes() + doc[i].tobytes() + size[i].astype(np.uint32).tobytes() + (pieces[i] > 1).tobytes() for i in parts]
+            posts = [b"".join([_bytes_of(tokens[i])[:, :SHORT].tobytes(), _planes(doc[i]), _planes(size[i].astype(np.uint32)), (pieces[i] > 1).tobytes()]) for i in parts]
             for lo in range(0, len(full), 64):
                 yield pa.RecordBatch.from_arrays([pa.array(full[lo : lo + 64], pa.int64()), pa.array(posts[lo : lo + 64], pa.binary())], names=["bucket", "posts"])
 
@@ -274,8 +310,9 @@ def postings(described: DataFrame, sketch, buckets: int) -> DataFrame:
 
 
 def _unpack(raw: bytes) -> tuple[np.ndarray, ...]:
-    n = len(raw) // 21
-    return np.frombuffer(raw, np.uint64, n), np.frombuffer(raw, np.int64, n, 8 * n), np.frombuffer(raw, np.uint32, n, 16 * n).astype(np.int64), np.frombuffer(raw, bool, n, 20 * n)
+    n = len(raw) // (SHORT + 13)
+    tokens = _tokens(np.frombuffer(raw, np.uint8, SHORT * n))
+    return tokens, _numbers(raw, np.int64, n, SHORT * n), _numbers(raw, np.uint32, n, (SHORT + 8) * n).astype(np.int64), np.frombuffer(raw, bool, n, (SHORT + 12) * n)
 
 
 #: What `gather` gives: pairs of documents to compare, the documents of a token,
@@ -285,8 +322,8 @@ PAIR, MEMBER, HEAD = 0, 1, 2
 
 def gather(share: tuple[int, int]):
     """Of each token with several documents: pairs of every document with the
-    smallest - a number linear in its documents - and the documents themselves, to
-    find the pairs that these leave open."""
+    smallest - a number linear in its documents - and, where these leave other pairs
+    open (three documents or more), the documents themselves."""
 
     def run(batches):
         got = [_unpack(x.as_py()) for batch in batches for x in batch.column(1)]
@@ -305,7 +342,7 @@ def gather(share: tuple[int, int]):
         star = some & near & (doc != head)
         pairs = np.unique(np.stack([head[star], doc[star]], 1), axis=0)
         signed = token.view(np.int64)
-        member = some | spread
+        member = (np.repeat(count, count) > 2) | spread
         heads = first[spread[first]]
         rows = [(PAIR, pairs[:, 0], pairs[:, 1], None), (MEMBER, signed[member], doc[member], size[member]), (HEAD, signed[heads], least[spread[first]], None)]
         for kind, x, y, z in rows:
@@ -341,7 +378,11 @@ def texts_of(rows: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def screen(pairs: DataFrame, short: DataFrame, share: tuple[int, int]) -> DataFrame:
-    """The pairs (a, b) that agree under all orders; `short` is (doc_id, mark)."""
+    """The pairs (a, b) that agree under all orders; `short` is (doc_id, mark). Rows
+    that repeat an id count once."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    few = ids.count() <= FETCHED
+    short = short.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
 
     def run(batches):
         for batch in batches:
@@ -525,11 +566,11 @@ def jaccard_components(docs: DataFrame, ident: str = "doc_id", text: str = "text
     classes = cut(group_min(described.where("n > 0 and doc_id is not null"), "key", "doc_id").select("doc_id", "leader"), "classes")
     leaders = classes.where("doc_id = leader").select("doc_id").distinct()
     total = described.agg(F.sum(F.octet_length("prefix"))).first()[0] or 0
-    parts = max(partitions(spark), total // 8 // POSTINGS + 1)
+    parts = max(partitions(spark), total // SHORT // POSTINGS + 1)
     posts = postings(described.where("n > 0").join(leaders, "doc_id", "left_semi").select("doc_id", "n", "prefix"), sketch, 4 * parts)
     found = cut(posts.repartition(parts, "bucket").mapInArrow(gather(share), "kind int, x long, y long, z long"), "found")
     sizes = cut(described.select("doc_id", F.col("n").alias("n_shingles")), "sizes")
-    short = described.where("n > 0 and doc_id is not null").select("doc_id", "mark").dropDuplicates(["doc_id"])
+    remove(described)
 
     def linked(candidates: DataFrame) -> DataFrame:
         agreed = cut(screen(candidates, short, share), "agreed")
@@ -542,6 +583,8 @@ def jaccard_components(docs: DataFrame, ident: str = "doc_id", text: str = "text
     top = tops.groupBy("token").agg(F.min("doc").alias("least"))
     across = tops.join(top, "token").where("doc <> least").select(F.col("least").alias("a"), F.col("doc").alias("b"))
     pairs = cut(found.where(f"kind = {PAIR}").select(F.col("x").alias("a"), F.col("y").alias("b")).union(across).distinct(), "pairs")
+    asked = found.where(f"kind = {MEMBER}").select(F.col("y").alias("doc_id")).union(pairs.select("a")).union(pairs.select("b")).distinct()
+    short = cut(marked(rows, sketch, share).join(asked, "doc_id", "left_semi"), "marks")
     links = linked(pairs)
     known = cut(components(links), "known")
 
@@ -570,7 +613,7 @@ def jaccard_components(docs: DataFrame, ident: str = "doc_id", text: str = "text
     rest = cut(rest.select(*ordered("l.doc", "r.doc")).distinct().join(pairs, ["a", "b"], "left_anti"), "rest")
     remove(spent)
     more = cut(linked(rest).union(blocked), "more")
-    remove(described)
+    remove(short)
     solved = known if more.isEmpty() else cut(components(links.union(more)), "solved")
     return place(sizes, classes, solved)
 

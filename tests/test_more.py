@@ -138,3 +138,10 @@ def test_stream_cells(spark, tmp_path):
     run.processAllAvailable()
     run.stop()
     assert [r.n_rows for r in out] == [9, 3]
+
+
+def test_scrub_reaches_rows_without_an_id(spark):
+    registry = spark.createDataFrame([("ABC123XYZ",), ("SECOND99",)], "token string")
+    rows = [(None, "id ABC123XYZ"), (None, "or SECOND99"), (1, "id ABC123XYZ"), (1, "SECOND99 too"), (2, None), (2, ""), (None, "12345678901")]
+    got = guard.scrub(spark.createDataFrame(rows, "id long, text string"), "id", "text", registry).collect()
+    assert sorted((r.id is None, r.text) for r in got) == sorted([(True, "id [REDACTED]"), (True, "or [REDACTED]"), (False, "id [REDACTED]"), (False, "[REDACTED] too"), (False, ""), (False, ""), (True, "[DIGITS]")])

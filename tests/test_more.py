@@ -145,3 +145,61 @@ def test_scrub_reaches_rows_without_an_id(spark):
     rows = [(None, "id ABC123XYZ"), (None, "or SECOND99"), (1, "id ABC123XYZ"), (1, "SECOND99 too"), (2, None), (2, ""), (None, "12345678901")]
     got = guard.scrub(spark.createDataFrame(rows, "id long, text string"), "id", "text", registry).collect()
     assert sorted((r.id is None, r.text) for r in got) == sorted([(True, "id [REDACTED]"), (True, "or [REDACTED]"), (False, "id [REDACTED]"), (False, "[REDACTED] too"), (False, ""), (False, ""), (True, "[DIGITS]")])
+
+
+def test_sinks_replace_and_wipe(spark, registry, tmp_path):
+    path = str(tmp_path / "t")
+    for n in (1, 2):
+        guard.write_table(spark.range(n).withColumnRenamed("id", "n"), path, registry)
+    assert spark.read.parquet(path).count() == 2
+    with pytest.raises(LeakError):
+        guard.write_table(spark.createDataFrame([("358401234567",)], "x string"), path, registry)
+    assert spark.read.parquet(path).count() == 2  # what was there stays
+    guard.write_text("héllo\n", str(tmp_path / "r.md"), registry)
+    assert (tmp_path / "r.md").read_text() == "héllo\n"
+    (tmp_path / ".stage-left").mkdir()
+    assert guard.wipe(spark, str(tmp_path)) == 1 and guard.wipe(spark, str(tmp_path)) == 0
+
+
+def test_digits_of_other_scripts(spark, registry):
+    wide = "call ０１２３４５６７８９ now"
+    rows = spark.createDataFrame([(1, wide)], "i int, t string")
+    assert guard.scrub(rows, "i", "t", registry).first()["t"] == "call [DIGITS] now"
+    assert [(r.kind, r.n) for r in guard.scan_text(rows, "i", "t", registry).collect()] == [("long_digit_run", 1)]
+
+
+def test_reports(spark, registry, tmp_path):
+    from veilframe.operators import reports
+    from veilframe.operators.transforms import ReleaseConfig
+
+    r1 = spark.createDataFrame([("b|c", 2.0), ("a", None)], "quasi string, pct double")
+    text = reports.risk_report({"r1": r1})
+    assert text.index("| a | not measured |") < text.index("| b\\|c | 2 |")
+    assert text.count("\n## ") == len(reports.RISKS)
+    config = ReleaseConfig(salt="secret")
+    made = reports.transformations_report(config, 1440, r1)
+    assert "secret" not in made and "| effective_bucket_minutes | 1440 |" in made
+    assert "| k | 10 |" in made
+    assert "| leak scan |" in reports.compliance_report(config, {"findings": 0})
+    assert reports.utility_report({}).count("not measured") == len(reports.USES)
+    with pytest.raises(ValueError):
+        reports.utility_report({"u9": r1})
+    with pytest.raises(ValueError):
+        reports.frame(spark.range(reports.ROWS + 1))
+    fields = spark.createDataFrame([("f", "drop"), ("g", "keep")], "field string, treatment string")
+    put = reports.treatments(fields, spark.createDataFrame([("g", "bucket")], "field string, treatment string"))
+    assert sorted(map(tuple, put.collect())) == [("f", "drop"), ("g", "bucket")]
+    guard.write_text(made, str(tmp_path / "t.md"), registry)
+
+
+def test_releases_are_checked_for_k(spark, monkeypatch):
+    from veilframe.operators import release
+    from veilframe.operators.roles import Roles
+    from veilframe.operators.transforms import ReleaseConfig
+
+    roles = Roles()
+    row = spark.createDataFrame([("s1",)], f"{roles.key} string").withColumns({q: F.lit("x") for q in roles.quasi})
+    monkeypatch.setattr(release, "k_anonymise", lambda df, roles, k: df)  # as if suppression failed
+    for make in (release.record_release, release.session_release):
+        with pytest.raises(LeakError):
+            make(row, roles, ReleaseConfig(k=2))

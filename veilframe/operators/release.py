@@ -52,12 +52,18 @@ def k_statistics(marked: DataFrame, roles: Roles, k: int) -> DataFrame:
 
 
 def record_release(prepared: DataFrame, roles: Roles, config: ReleaseConfig) -> DataFrame:
-    return k_anonymise(prepared, roles, config.k).drop(roles.key)
+    """Records without their key. That every group has k subscribers is counted anew
+    first; with the key gone it no longer can be."""
+    kept = k_anonymise(prepared, roles, config.k)
+    assert_k(kept, roles, config.k, roles.key)
+    return kept.drop(roles.key)
 
 
 def session_release(prepared: DataFrame, roles: Roles, config: ReleaseConfig, key: bytes | None = None) -> DataFrame:
-    """Records with a pseudonym under a key that is drawn here and kept nowhere."""
+    """Records with a pseudonym under a key that is drawn here and kept nowhere. That
+    every group has k subscribers is counted anew first."""
     kept = k_anonymise(prepared, roles, config.k)
+    assert_k(kept, roles, config.k, roles.key)
     return kept.withColumn("session_id", session_label(key or os.urandom(32), F.col(roles.key))).drop(roles.key)
 
 

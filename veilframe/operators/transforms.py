@@ -127,9 +127,7 @@ def top_code(df: DataFrame, columns: list[str], q: float, digits: int) -> DataFr
 
 def prepare(df: DataFrame, roles: Roles, config: ReleaseConfig) -> DataFrame:
     """All six transforms in order. The bucket is not made finer than the data's own."""
-    minutes = config.bucket_minutes
-    if minutes is None or minutes < 1440:
-        minutes = effective_bucket(df, roles.time, minutes).first()["effective"]
+    minutes = effective_bucket(df, roles.time, config.bucket_minutes).first()["effective"]
     qualities, volumes = roles.qualities(df), roles.volumes(df)
     return (
         df.transform(drop_identifiers, roles)

@@ -164,6 +164,28 @@ def test_long_lists_are_joined(docs, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(df).collect()} == brute_join(rows)
 
 
+def test_busy_documents_are_dealt(docs, monkeypatch):
+    """With portions of one pair each end is dealt; the links stay the same."""
+    rows, df = docs
+    monkeypatch.setattr(ngram_join, "PORTION", 1)
+    for fetched in (0, 100_000):
+        monkeypatch.setattr(ngram_join, "FETCHED", fetched)
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(df).collect()} == brute_join(rows)
+
+
+def test_pairs_of_a_busy_document(spark):
+    """500 of 540 pairs have one document: it is listed, and each pair is met once."""
+    pairs = [(k, 500) for k in range(500)] + [(k, k + 1000) for k in range(40)]
+    df = spark.createDataFrame(pairs, "a long, b long")
+    hot = ngram_join.busy(df)
+    assert [tuple(r) for r in hot.collect()] == [(500, 8)]
+    ids = sorted({x for p in pairs for x in p})
+    side = ngram_join.spread(spark.createDataFrame([(x, f"t{x}") for x in ids], "doc_id long, mark string"), hot)
+    assert side.where("doc_id = 500").count() == 8 and side.count() == len(ids) + 7
+    got = ngram_join.beside(df, side, hot, "mark").collect()
+    assert sorted(tuple(r) for r in got) == sorted((a, b, f"t{a}", f"t{b}") for a, b in pairs)
+
+
 def test_join_empty(spark):
     assert ngram_join.jaccard_components(empty(spark)).collect() == []
 

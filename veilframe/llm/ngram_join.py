@@ -23,6 +23,8 @@ _RING = 57
 _THIRD = np.uint64((1 << _RING) // ORDERS)
 #: Values of a token's place in its third, as documents are marked with it.
 _PLACES = 1 << 16
+#: A document's pairs are dealt by portions: a share of all pairs, or so many if that is more.
+PORTIONS, PORTION = 1024, 64
 #: Documents whose list may be broadcast to fetch their texts; more are joined by shuffle.
 FETCHED = 100_000
 #: Bytes of marks, and of zipped texts, of the pairs that are compared at once.
@@ -369,20 +371,53 @@ def zipped(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, text binary")
 
 
-def texts_of(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """(doc_id, text) of the documents in `ids` (doc_id, distinct), zipped, one row an
-    id. A list of at most FETCHED ids is broadcast, a longer one joined."""
+def busy(pairs: DataFrame) -> DataFrame:
+    """(doc_id, ways) of documents that more than one portion of the pairs (a, b)
+    lies at: over so many keys they are dealt. As a portion is a PORTIONS-th of the
+    pairs, no more than 4 * PORTIONS documents are listed, whatever the input."""
+    portion = max(PORTION, pairs.count() // PORTIONS)
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).groupBy("doc_id")
+    return ends.agg(F.ceil(F.count(F.lit(1)) / portion).cast("int").alias("ways")).where("ways > 1")
+
+
+def spread(rows: DataFrame, hot: DataFrame | None) -> DataFrame:
+    """A row of `rows` (doc_id, ...) for each way of its document, numbered `way`: one
+    for documents that `hot` (doc_id, ways) does not list."""
+    if hot is None:
+        return rows.withColumn("way", F.lit(0))
+    ways = F.sequence(F.lit(0), F.coalesce("ways", F.lit(1)) - 1)
+    return rows.join(F.broadcast(hot), "doc_id", "left").withColumn("way", F.explode(ways)).drop("ways")
+
+
+def beside(pairs: DataFrame, side: DataFrame, hot: DataFrame, value: str) -> DataFrame:
+    """(a, b, value_a, value_b): `pairs` with the values of both documents in `side`
+    (doc_id, way, value). A document's pairs go to a way by their other end, so that
+    one which is in a large share of all pairs is met in many tasks."""
+    for end, other in (("a", "b"), ("b", "a")):
+        ways = hot.select(F.col("doc_id").alias(end), "ways")
+        way = F.pmod(F.xxhash64(other), F.coalesce("ways", F.lit(1))).cast("int")
+        dealt = pairs.join(F.broadcast(ways), end, "left").withColumn("way", way).drop("ways")
+        pairs = dealt.join(side.select(F.col("doc_id").alias(end), "way", F.col(value).alias(f"{value}_{end}")), [end, "way"]).drop("way")
+    return pairs.select("a", "b", f"{value}_a", f"{value}_b")
+
+
+def texts_of(rows: DataFrame, ids: DataFrame, hot: DataFrame | None = None) -> DataFrame:
+    """(doc_id, text, way) of the documents in `ids` (doc_id, distinct), zipped, one
+    row an id and way. A list of at most FETCHED ids is broadcast, a longer one joined."""
     if ids.count() <= FETCHED:
-        return zipped(rows.join(F.broadcast(ids), "doc_id", "left_semi")).dropDuplicates(["doc_id"])
-    return zipped(rows).join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+        return spread(zipped(rows.join(F.broadcast(ids), "doc_id", "left_semi")), hot).dropDuplicates(["doc_id", "way"])
+    return spread(zipped(rows), hot).join(spread(ids, hot), ["doc_id", "way"], "left_semi").dropDuplicates(["doc_id", "way"])
 
 
 def screen(pairs: DataFrame, short: DataFrame, share: tuple[int, int]) -> DataFrame:
     """The pairs (a, b) that agree under all orders; `short` is (doc_id, mark). Rows
     that repeat an id count once."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    few = ids.count() <= FETCHED
-    short = short.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    hot = cut(busy(pairs), "busy")
+    if ids.count() <= FETCHED:
+        asked = spread(short.join(F.broadcast(ids), "doc_id", "left_semi"), hot)
+    else:
+        asked = spread(short, hot).join(spread(ids, hot), ["doc_id", "way"], "left_semi")
 
     def run(batches):
         for batch in batches:
@@ -390,9 +425,7 @@ def screen(pairs: DataFrame, short: DataFrame, share: tuple[int, int]) -> DataFr
                 keep = pa.array(agree(part.column(2), part.column(3), share))
                 yield pa.RecordBatch.from_arrays([part.column(0).filter(keep), part.column(1).filter(keep)], names=["a", "b"])
 
-    left = short.select(F.col("doc_id").alias("a"), F.col("mark").alias("mark_a"))
-    right = short.select(F.col("doc_id").alias("b"), F.col("mark").alias("mark_b"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "mark_a", "mark_b")
+    both = beside(pairs, asked.dropDuplicates(["doc_id", "way"]), hot, "mark")
     return both.mapInArrow(run, "a long, b long")
 
 
@@ -417,10 +450,9 @@ def verify(pairs: DataFrame, rows: DataFrame, share: tuple[int, int], width: int
                     keep[d] = common * share[1] >= share[0] * (len(one) + len(two) - common)
                 yield pa.RecordBatch.from_arrays([part.column(0).filter(pa.array(keep)), part.column(1).filter(pa.array(keep))], names=["a", "b"])
 
-    texts = texts_of(rows, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-    left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
+    hot = cut(busy(pairs), "busy")
+    texts = texts_of(rows, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), hot)
+    both = beside(pairs, texts, hot, "text")
     return both.mapInArrow(run, "a long, b long")
 
 

@@ -43,3 +43,9 @@ def test_attacks_use_the_whole_samples(spark):
         for row in equal_sql(spark, name, larger):
             assert row.n_sampled == min(1000, row.n_eligible)
     equal_sql(spark, "risk_a6_full")
+
+
+def test_headline_has_seven_figures(spark):
+    """No cell of the smallest tables is published: that figure is null, the row stays."""
+    (row,) = equal_sql(spark, "headline")
+    assert len(row) == 7 and [c for c, v in row.asDict().items() if v is None] == ["u1_headline_pct"]

@@ -1045,25 +1045,29 @@ def story_export(spark, d):
     return pub.agg(F.count(F.lit(1)).alias("n_cells"), N.report(F.median("n_subscribers")).alias("median_cell"), F.countDistinct("time_bucket").alias("n_windows")).crossJoin(F.broadcast(top))
 
 
-@register("headline", f"SELECT (SELECT pct_subscribers_with_unique_row FROM ({ORACLE_SQL['risk_r1']}) WHERE qi = 'D') AS baseline_unique_pct, (SELECT pct_unique FROM ({ORACLE_SQL['risk_r2']}) WHERE p = 4) AS baseline_4point_pct, (SELECT pct_subscribers FROM ({ORACLE_SQL['util_u2']}) WHERE scope = 'all') AS coverage_subscribers_pct, (SELECT pct_within FROM ({ORACLE_SQL['util_u1']}) WHERE metric = 'tp_dl_avg' AND statistic = 'median') AS u1_headline_pct, (SELECT pct_rows_in_groups_of_1 FROM ({ORACLE_SQL['risk_a1']})) AS a1_unique_rows_pct")
+@register("headline", f"SELECT (SELECT pct_subscribers_with_unique_row FROM ({ORACLE_SQL['risk_r1']}) WHERE qi = 'D') AS baseline_unique_pct, (SELECT pct_unique FROM ({ORACLE_SQL['risk_r2']}) WHERE p = 4) AS baseline_4point_pct, (SELECT pct_subscribers FROM ({ORACLE_SQL['util_u2']}) WHERE scope = 'all') AS coverage_subscribers_pct, (SELECT pct_within FROM ({ORACLE_SQL['util_u1']}) WHERE metric = 'tp_dl_avg' AND statistic = 'median') AS u1_headline_pct, (SELECT pct_rows_in_groups_of_1 FROM ({ORACLE_SQL['risk_a1']})) AS a1_unique_rows_pct, (SELECT accuracy_pct FROM ({ORACLE_SQL['risk_a6']}) WHERE epsilon = '1') AS a6_accuracy_pct, (SELECT bound_pct FROM ({ORACLE_SQL['risk_a6']}) WHERE epsilon = '1') AS a6_bound_pct")
 def headline(spark, d):
-    return headlines(spark, d, risk_r2(spark, d))
+    return headlines(spark, d, risk_r2(spark, d), risk_a6(spark, d))
 
 
-@register("headline_full", ORACLE_SQL["headline"].replace(ORACLE_SQL["risk_r2"], ORACLE_SQL["risk_r2_full"]))
+@register("headline_full", ORACLE_SQL["headline"].replace(ORACLE_SQL["risk_r2"], ORACLE_SQL["risk_r2_full"]).replace(ORACLE_SQL["risk_a6"], ORACLE_SQL["risk_a6_full"]))
 def headline_full(spark, d):
-    return headlines(spark, d, risk_r2_full(spark, d))
+    return headlines(spark, d, risk_r2_full(spark, d), risk_a6_full(spark, d))
 
 
-def headlines(spark, d, r2):
+def headlines(spark, d, r2, a6):
+    """One row of the seven headline figures, those of membership at epsilon 1; a
+    figure without a source is null."""
     parts = [
         risk_r1(spark, d).where("qi = 'D'").select(F.col("pct_subscribers_with_unique_row").alias("baseline_unique_pct")),
         r2.where("p = 4").select(F.col("pct_unique").alias("baseline_4point_pct")),
         util_u2(spark, d).where("scope = 'all'").select(F.col("pct_subscribers").alias("coverage_subscribers_pct")),
         util_u1(spark, d).where("metric = 'tp_dl_avg' and statistic = 'median'").select(F.col("pct_within").alias("u1_headline_pct")),
         risk_a1(spark, d).select(F.col("pct_rows_in_groups_of_1").alias("a1_unique_rows_pct")),
+        a6.where("epsilon = '1'").select(F.col("accuracy_pct").alias("a6_accuracy_pct"), F.col("bound_pct").alias("a6_bound_pct")),
     ]
-    return reduce(lambda x, y: x.crossJoin(F.broadcast(y)), parts)
+    rows = [p.agg(*[F.max(c).alias(c) for c in p.columns]) for p in parts]  # one row, even of none
+    return reduce(lambda x, y: x.crossJoin(F.broadcast(y)), rows)
 
 
 @register("event_cells", "SELECT (floor(epoch(ts) / 21600) * 21600)::BIGINT AS time_bucket, event_type, count(DISTINCT user_id) AS n_subscribers, count(*) AS n_rows FROM events GROUP BY ALL")

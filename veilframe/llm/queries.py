@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilframe.llm import embed_dedup, langid_ecoc, mixing, ngram_join, packing, ppm, quality_knn, quality_rules, suffix_dedup, warc
+from veilframe.llm import conversation_repair, embed_dedup, langid_ecoc, mixing, ngram_join, packing, ppm, quality_knn, quality_rules, suffix_dedup, warc
 from veilframe.llm.common import table
 
 
@@ -52,6 +52,10 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair_damaged(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_embedding_dedup": op2_embedding_dedup,
@@ -63,6 +67,7 @@ QUERIES = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_packing": op9_packing,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_conversation_repair": op11_conversation_repair,
 }
 
 ORACLE_SQL = {

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilframe.llm import conversation_repair, embed_dedup, langid_ecoc, mixing, ngram_join, packing, ppm, quality_knn, quality_rules, suffix_dedup, warc
+from veilframe.llm import conversation_repair, embed_dedup, langid_ecoc, merkle, mixing, ngram_join, packing, ppm, quality_knn, quality_rules, suffix_dedup, warc
 from veilframe.llm.common import table
 
 
@@ -56,6 +56,10 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.repair_damaged(table(spark, sf_dir, "conversations"))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verify_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_embedding_dedup": op2_embedding_dedup,
@@ -68,9 +72,11 @@ QUERIES = {
     "op9_packing": op9_packing,
     "op10_suffix_dedup": op10_suffix_dedup,
     "op11_conversation_repair": op11_conversation_repair,
+    "op12_merkle_manifest": op12_merkle_manifest,
 }
 
 ORACLE_SQL = {
     "op4_warc_archives": warc.ORACLE_SQL,
     "op5_mix_sources": mixing.ORACLE_SQL,
+    "op12_merkle_manifest": merkle.ORACLE_SQL,
 }

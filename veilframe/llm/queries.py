@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilframe.llm import conversation_repair, embed_dedup, langid_ecoc, merkle, mixing, ngram_join, packing, ppm, quality_knn, quality_rules, suffix_dedup, warc
+from veilframe.llm import conversation_repair, embed_dedup, langid_ecoc, merkle, mixing, ngram_join, packing, pii_boost, ppm, quality_knn, quality_rules, suffix_dedup, warc
 from veilframe.llm.common import table
 
 
@@ -60,6 +60,10 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verify_documents(table(spark, sf_dir, "documents"))
 
 
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_boost.personal_data(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_embedding_dedup": op2_embedding_dedup,
@@ -73,6 +77,7 @@ QUERIES = {
     "op10_suffix_dedup": op10_suffix_dedup,
     "op11_conversation_repair": op11_conversation_repair,
     "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_personal_data": op13_personal_data,
 }
 
 ORACLE_SQL = {

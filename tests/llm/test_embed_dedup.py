@@ -87,3 +87,27 @@ def test_recall_of_pairs_at_the_limit(spark):
     rows = [(2 * k + j, x.tolist()) for k in range(n) for j, x in enumerate((one[k], two[k]))]
     got = {r.vec_id: r.n_links for r in embed_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
     assert sum(got[2 * k] > 0 for k in range(n)) >= 0.99 * n
+
+
+def test_repeated_ids_with_unlike_vectors(spark):
+    """Every row is a vector of its own: one row out for each row in."""
+    rng = np.random.default_rng(8)
+    base = rng.standard_normal((4, 16))
+    rows = [(int(rng.integers(12)) if k % 9 else None, (base[rng.integers(4)] + rng.choice([0.0, 0.1]) * rng.standard_normal(16)).astype(np.float32).tolist()) for k in range(120)]
+    rows += [(5, base[0].tolist()), (5, base[1].tolist()), (5, None), (5, [0.0] * 16)] + rows[:30]
+    whole = [(k, v, 1) for k, v in enumerate([v if i is not None else None for i, v in rows])]
+    by_row = brute(whole)
+    ids = dict(enumerate(i for i, _ in rows))
+    part = {}
+    for k, (_, c, _) in by_row.items():
+        part[c] = min(part.get(c, ids[k]), ids[k]) if ids[k] is not None else None
+    want = sorted(str((ids[k], n, part[c], True if ids[k] is None else ids[k] == part[c])) for k, (n, c, _) in by_row.items())
+    got = embed_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), recall=0.999999).collect()
+    assert sorted(str((r.vec_id, r.n_links, r.component_id, r.kept)) for r in got) == want
+
+
+def test_many_copies_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(embed_dedup, "SPREAD", 8)
+    rows = [(k, [1.0, 0.0, 0.5], 1) for k in range(40)] + [(100 + k, [0.0, 1.0, 0.1 * k], 1) for k in range(6)]
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embed_dedup.near_duplicates(spark.createDataFrame(rows, KIND), recall=0.999999).collect()}
+    assert got == brute(rows)

@@ -72,6 +72,14 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """`name`, or one like it that no column of `df` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def fold(col: str, modulus: int):
     """crc32 of the id as text, modulo `modulus`."""
     return F.crc32(F.col(col).cast("string").cast("binary")) % modulus

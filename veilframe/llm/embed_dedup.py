@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import _forest, components, cut, group_min, partitions, remove, text_bytes
+from veilframe.llm.common import SALTS, _forest, components, cut, group_min, partitions, remove, text_bytes
 
 #: Least cosine of a link, and the share of pairs at just that cosine that a set of
 #: tables must bring together.
@@ -20,6 +20,8 @@ BUCKET, TILE = 256, 2048
 TABLES = 2
 #: Buckets above TILE whose list may be broadcast; a longer one is joined by shuffle.
 LISTED = 100_000
+#: Copies of a vector above which their rows are dealt over SALTS tasks.
+SPREAD = 1024
 
 
 def plan(n: int, cosine: float = COSINE, recall: float = RECALL) -> tuple[int, int]:
@@ -168,21 +170,22 @@ def near_duplicates(vectors: DataFrame, ident: str = "vec_id", embedding: str =
 
     Null and zero vectors and those with null, NaN or infinite components link with
     nothing; so do vectors of different lengths. Equal vectors are compared as one
-    and count as links of each other. Rows that repeat an id count as copies. Rows
-    with a null id link with nothing and have a null component. Other columns are
-    ignored; an empty table gives no rows.
+    and count as links of each other. Every row is a vector of its own, whatever its
+    id: rows that repeat an id with one vector are copies, those with unlike vectors
+    link each for itself. Rows with a null id link with nothing and have a null
+    component. Other columns are ignored; an empty table gives no rows.
     """
     spark = vectors.sparkSession
-    value = F.col(embedding)
     real = "float" if vectors.schema[embedding].dataType.simpleString() == "array<float>" else "double"
-    rows = vectors.select(F.col(ident).cast("long").alias("vec_id"), value.cast(f"array<{real}>").alias("vec"))
+    rows = vectors.select(F.col(ident).cast("long").alias("vec_id"), F.col(embedding).cast(f"array<{real}>").alias("vec"))
     bad = F.exists("vec", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     usable = F.col("vec_id").isNotNull() & F.coalesce(~bad & F.exists("vec", lambda x: x != 0), F.lit(False))
-    classes = cut(group_min(rows.where(usable), "vec", "vec_id").select("vec_id", "leader", "members", "vec"), "classes")
-    leaders = classes.where("vec_id = leader").dropDuplicates(["vec_id"]).select("vec_id", "vec", "members")
+    rows = cut(rows.select(F.monotonically_increasing_id().alias("row"), "vec_id", F.when(usable, F.col("vec")).alias("vec")), "rows")
+    classes = cut(group_min(rows.where("vec is not null"), "vec", "row").select("row", "leader", "members", "vec"), "classes")
+    leaders = classes.where("row = leader").select(F.col("row").alias("vec_id"), "vec", "members")
     n = leaders.count()
     bits, tables = plan(n, cosine, recall)
-    signed = cut(leaders.select("vec_id", "vec", "members").mapInArrow(_sign(bits, tables), "vec_id long, weight long, d int, vec binary, signs array<int>"), "signed")
+    signed = cut(leaders.mapInArrow(_sign(bits, tables), "vec_id long, weight long, d int, vec binary, signs array<int>"), "signed")
     kind = np.float32 if real == "float" else np.float64
     found = signed.sparkSession.createDataFrame([], LINKS)
     for lo in range(0, tables, TABLES):
@@ -190,9 +193,14 @@ def near_duplicates(vectors: DataFrame, ident: str = "vec_id", embedding: str =
     remove(signed)
     counts = found.where("kind = 0").groupBy(F.col("a").alias("_l")).agg(F.sum("b").alias("links"))
     solved = components(found.where("kind = 1").select("a", "b"))
-    facts = cut(leaders.select(F.col("vec_id").alias("leader")).join(counts, F.col("leader") == F.col("_l"), "left").join(solved, F.col("leader") == F.col("node"), "left").select("leader", "links", "component"), "facts")
-    whole = cut(classes.select("vec_id", "leader", "members").distinct(), "whole").join(facts, "leader")
-    whole = cut(whole.select(F.col("vec_id").alias("_v"), (F.col("members") - 1 + F.coalesce("links", F.lit(0))).alias("n"), F.coalesce("component", "leader").alias("c")), "found")
-    out = vectors.select(F.col(ident).cast("long").alias("vec_id")).join(whole, F.col("vec_id") == F.col("_v"), "left")
+    members = classes.select("row", "leader").join(rows.select("row", "vec_id"), "row")
+    least = members.groupBy("leader").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("members"))
+    facts = least.join(counts, F.col("leader") == F.col("_l"), "left").join(solved, F.col("leader") == F.col("node"), "left")
+    facts = cut(facts.select("leader", "least", (F.col("members") - 1 + F.coalesce("links", F.lit(0))).alias("n"), "members", F.coalesce("component", "leader").alias("part")), "facts")
+    lowest = facts.groupBy("part").agg(F.min("least").alias("c"))
+    facts = facts.join(lowest, "part").withColumn("salt", F.explode(F.when(F.col("members") > SPREAD, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    dealt = classes.select("row", "leader", F.when(F.col("members") > SPREAD, F.pmod(F.xxhash64("row"), F.lit(SALTS))).otherwise(0).cast("int").alias("salt"))
+    placed = dealt.join(facts, ["leader", "salt"]).select(F.col("row").alias("_r"), "n", "c")
+    out = rows.select("row", "vec_id").join(placed, F.col("row") == F.col("_r"), "left")
     component = F.coalesce("c", "vec_id")
     return out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))

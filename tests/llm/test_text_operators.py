@@ -309,6 +309,14 @@ def test_quality_rules(spark, docs):
     assert got == brute_rules(rows, set(range(13, 30)))
 
 
+@pytest.mark.parametrize("ids", [[3], [4], [5], [6]])
+def test_quality_rules_with_one_trusted_document(spark, ids):
+    """In whichever half it falls, it cannot set a threshold: the base rules decide."""
+    rows = [(k, " ".join(f"w{k * 7 % 11 + j}" for j in range(60))) for k in range(12)]
+    df, trusted = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(k,) for k in ids], "doc_id long")
+    assert all(r.kept == (not r.base_failed) for r in quality_rules.quality_rules(df, trusted).collect())
+
+
 def test_quality_rules_reject_other_text(spark):
     """Texts unlike the trusted ones go, whatever the corpus: the threshold follows it."""
     rng = random.Random(9)

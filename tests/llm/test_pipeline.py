@@ -65,3 +65,27 @@ def test_empty_documents(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, SF)
     assert docs.collect() == []
+
+
+CLASH = "doc_id long, text string, lang string, source string, n_chars long, _left string, _d long, _mix_n int, _mix_id int, _mix_k int, _gone long, _key string, token int"
+
+
+def test_clashing_names_nulls_and_repeats(spark):
+    """Every stage that returns documents keeps all columns, null ids and repeated rows."""
+    long_ = " ".join(f"word{k} of the text" for k in range(60)) + "."
+    texts = [None, "", " ", "few words here", long_, long_ + " and an end of its own", "x" * 50_000]
+    rows = [(k if k % 5 else None, t, "en", None if k % 3 else "web", len(t or ""), "left", 1, 2, 3, 4, 5, "k", 6) for k, t in enumerate(texts * 3)]
+    docs = spark.createDataFrame(rows + rows[-2:], CLASH)
+    names = ("keep_good", "keep_one", "cut_repeats", "take_mix")
+    for (_, stage), name in zip(corpus_pipeline.STAGES, names, strict=False):
+        out = stage(spark, docs, SF)
+        assert out.schema.names == docs.schema.names, name
+        found = out.collect()
+        assert all((r._left, r._d, r._mix_n, r._mix_id, r._mix_k, r._gone, r._key, r.token) == ("left", 1, 2, 3, 4, 5, "k", 6) for r in found), name
+        if name == "keep_one":  # copies of long_ go, its repeated rows with them; the rest stays
+            kept = sorted(str(r.doc_id) for r in found)
+            assert kept.count("None") == sum(r[0] is None for r in rows + rows[-2:])
+            assert {r.doc_id for r in found if r.text == long_} - {None} == {min(r[0] for r in rows if r[0] is not None and r[1] == long_)}
+        if name == "cut_repeats":
+            assert sum(r.doc_id is None for r in found) == sum(r[0] is None for r in rows + rows[-2:])
+            assert all(r.n_chars == len(r.text or "") for r in found)

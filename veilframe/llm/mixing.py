@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import cut
+from veilframe.llm.common import cut, free_name
 
 #: Bits of the hash that one histogram resolves, and bits of the hash.
 BITS, HASH_BITS = 8, 56
@@ -124,13 +124,15 @@ def mix_sources(docs: DataFrame, ident: str = "doc_id", text: str = "text", sour
 def take_mix(docs: DataFrame, ident: str = "doc_id", text: str = "text", source: str = "source", repeats: int = REPEATS) -> DataFrame:
     """`docs` with each row as often as the mix takes it (see `mix_sources`).
 
-    Decisions are by id: rows with one id are alike. Documents without words are
-    taken `copies` times like others of their source. Columns stay as they are.
+    Decisions are by id: rows with one id are alike, null ids too. Documents without
+    words are taken `copies` times like others of their source. Columns stay as they
+    are, whatever their names. An empty table stays empty.
     """
-    ids = mix_sources(docs, ident, text, source, repeats).select(F.col("doc_id").alias("_mix_id"), F.col("copies").alias("_mix_n")).dropDuplicates(["_mix_id"])
-    joined = docs.join(ids, docs[ident].eqNullSafe(F.col("_mix_id")))
-    repeated = joined.where("_mix_n > 0").withColumn("_mix_k", F.explode(F.sequence(F.lit(1), F.col("_mix_n"))))
-    return repeated.drop("_mix_id", "_mix_n", "_mix_k")
+    by, times, turn = (free_name(docs, x) for x in ("_mix_id", "_mix_n", "_mix_k"))
+    ids = mix_sources(docs, ident, text, source, repeats).select(F.col("doc_id").alias(by), F.col("copies").alias(times)).dropDuplicates([by])
+    joined = docs.join(ids, docs[ident].eqNullSafe(F.col(by)))
+    repeated = joined.where(F.col(times) > 0).withColumn(turn, F.explode(F.sequence(F.lit(1), F.col(times))))
+    return repeated.drop(by, times, turn)
 
 
 ORACLE_SQL = """

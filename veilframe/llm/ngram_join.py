@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import LOWER, _forest, blocks, components, cut, group_min, mix, partitions, remove, shingles, text_bytes, words
+from veilframe.llm.common import LOWER, _forest, blocks, components, cut, free_name, group_min, mix, partitions, remove, shingles, text_bytes, words
 
 #: Words of a shingle, and the similarity of a link as a fraction.
 WIDTH = 5
@@ -657,6 +657,9 @@ def place(sizes: DataFrame, classes: DataFrame, solved: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, ident: str = "doc_id", text: str = "text", share: tuple[int, int] = SHARE) -> DataFrame:
-    """The rows of `docs` whose id is the smallest of its component; a null id stays."""
-    found = jaccard_components(docs, ident, text, share).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(found, docs[ident] == F.col("_gone"), "left_anti")
+    """The rows of `docs` whose id is the smallest of its component, each as often as it
+    is there; null ids and texts without words stay. Other columns are not looked at,
+    whatever their names. An empty table stays empty."""
+    gone = free_name(docs, "_gone")
+    found = jaccard_components(docs, ident, text, share).where("doc_id <> component_id").select(F.col("doc_id").alias(gone)).distinct()
+    return docs.join(found, docs[ident] == F.col(gone), "left_anti")

@@ -127,7 +127,10 @@ def classify(docs: DataFrame, labels: DataFrame, ident: str = "doc_id", text: st
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of `docs` that the classifier accepts, with their own columns."""
+    """The rows of `docs` that the classifier accepts, with their own columns, whatever
+    their names. Null and empty texts score the labels' mean and stay or go by that;
+    repeated rows and ids are judged by their texts, null ids too. An empty table
+    stays empty."""
     model = fit_model(docs, labels, ident, text)
     send = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import BYTE_CODE, cut, group_min, mix, partitions, remove, text_bytes
+from veilframe.llm.common import BYTE_CODE, cut, free_name, group_min, mix, partitions, remove, text_bytes
 from veilframe.llm.gsaca import suffix_array
 
 #: Bytes of a repeated string, and of the anchor within it.
@@ -531,15 +531,18 @@ def cut_repeats(docs: DataFrame, ident: str = "doc_id", text: str = "text", size
     """`docs` with repeated strings taken out of the text, and without the documents
     of which no word is left. Half characters at the cuts go too. `size`, where it
     is a column, gets the new number of characters. Null and empty texts that were
-    so before, and null ids, stay."""
+    so before, and null ids, stay. Rows that repeat an id (with one text) are cut
+    alike; all other columns stay as they are, whatever their names. An empty table
+    stays empty."""
     rows = docs.select(F.col(ident).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).where("doc_id is not null")
     found = _copies(rows.select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("sha"), F.octet_length("text").alias("n_bytes")))
     copies = found.select(F.col("doc_id").alias("_d"), F.lit("").alias("_left"))
     changed = _with_runs(rows, found).mapInArrow(_rewrite, "_d long, _left string")
     changed = cut(changed.join(copies.select("_d"), "_d", "left_anti").union(copies).dropDuplicates(["_d"]), "changed")
-    out = docs.join(changed, docs[ident] == F.col("_d"), "left")
-    out = out.where(F.col("_left").isNull() | F.col("_left").rlike("[^\\x20\\x09-\\x0D]"))
-    new = {text: F.coalesce("_left", text)}
+    by, left = free_name(docs, "_d"), free_name(docs, "_left")
+    out = docs.join(changed.withColumnsRenamed({"_d": by, "_left": left}), docs[ident] == F.col(by), "left")
+    out = out.where(F.col(left).isNull() | F.col(left).rlike("[^\\x20\\x09-\\x0D]"))
+    new = {text: F.coalesce(left, text)}
     if size in docs.columns:
-        new[size] = F.when(F.col("_left").isNull(), F.col(size)).otherwise(F.length("_left")).cast(docs.schema[size].dataType)
-    return out.withColumns(new).drop("_d", "_left")
+        new[size] = F.when(F.col(left).isNull(), F.col(size)).otherwise(F.length(left)).cast(docs.schema[size].dataType)
+    return out.withColumns(new).drop(by, left)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilframe.functions.numeric import clean, quantile, report
+from veilframe.operators.ordered import quantiles
 from veilframe.operators.relational import mode_of, value_counts
 
 
@@ -28,11 +29,13 @@ def identifiers(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def numerics(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(column, p1, p5, p50, p95, p99, min, max, share_zero), in one pass."""
+    """(column, p1, p5, p50, p95, p99, min, max, share_zero)."""
     out = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), clean(F.col(c)).alias("v")) for c in columns])))
-    named = (("p1", 0.01), ("p5", 0.05), ("p50", 0.5), ("p95", 0.95), ("p99", 0.99))
-    at = F.percentile(F.col("v"), F.array(*[F.lit(q) for _, q in named]))  # one buffer for all
-    return out.groupBy("column").agg(*[report(F.get(at, F.lit(k))).alias(n) for k, (n, _) in enumerate(named)], report(F.min("v")).alias("min"), report(F.max("v")).alias("max"), report(F.avg((F.col("v") == 0).cast("double"))).alias("share_zero"))
+    named = ("p1", "p5", "p50", "p95", "p99")
+    found = quantiles(out, ["column"], "v", [int(n[1:]) / 100 for n in named]).select(F.col("column").alias("_c"), "at")
+    facts = out.groupBy("column").agg(report(F.min("v")).alias("min"), report(F.max("v")).alias("max"), report(F.avg((F.col("v") == 0).cast("double"))).alias("share_zero"))
+    joined = facts.join(found, F.col("column") == F.col("_c"), "left")
+    return joined.select("column", *[report(F.get("at", F.lit(k))).alias(n) for k, n in enumerate(named)], "min", "max", "share_zero")
 
 
 def categoricals(df: DataFrame, columns: list[str]) -> DataFrame:

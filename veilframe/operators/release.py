@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilframe.functions.keyed import session_label
-from veilframe.functions.numeric import clean, draw_key, noisy_count, percent, quantile, report, significant, uniform
-from veilframe.operators.relational import distinct_per_row, null_safe_join
+from veilframe.functions.numeric import clean, draw_key, noisy_count, percent, report, significant, uniform
+from veilframe.operators.ordered import column_quantiles
+from veilframe.operators.relational import null_safe_join
 from veilframe.operators.roles import Roles
 from veilframe.operators.transforms import ReleaseConfig
+from veilframe.storage import cut
 
 
 class LeakError(Exception):
@@ -21,17 +23,31 @@ class LeakError(Exception):
 # ---------------------------------------------------------------- records
 
 
+def group_sizes(df: DataFrame, roles: Roles, k: int) -> DataFrame:
+    """(quasi, region, _escalated, area_, _n): what becomes of each group, by its region
+    too, since an area gives way to the region of its rows.
+
+    The rows are read once, for the distinct subscribers of each group; those of the
+    groups that escalate are merged from there, exactly, and the rows are not read again."""
+    key, rest = roles.key, [c for c in roles.quasi if c != "area"]
+    region = F.coalesce(F.col(roles.region).cast("string"), F.lit("UNKNOWN"))
+    pairs = cut(df.select(*roles.quasi, region.alias("_region"), key).distinct(), "pairs")
+    first = pairs.groupBy(*roles.quasi).agg((F.countDistinct(key) < k).alias("_escalated"))
+    moved = null_safe_join(pairs, first, roles.quasi).withColumn("area_", F.when(F.col("_escalated"), F.col("_region")).otherwise(F.col("area")))
+    final = [*rest, "area_"]
+    second = moved.groupBy(*final).agg(F.countDistinct(key).alias("_n"))
+    return null_safe_join(moved.select(*roles.quasi, "_region", "_escalated", "area_").distinct(), second, final)
+
+
 def mark_k(df: DataFrame, roles: Roles, k: int) -> DataFrame:
     """Rows with _escalated (area became the region) and _suppressed, before removal.
 
     A group counts distinct subscribers. Groups below k give up their area; groups
     that are still below k are suppressed."""
-    first = distinct_per_row(df, roles.quasi, roles.key, "_n")
-    first = first.withColumn("_escalated", F.col("_n") < k).drop("_n")
     region = F.coalesce(F.col(roles.region).cast("string"), F.lit("UNKNOWN"))
-    moved = first.withColumn("area", F.when(F.col("_escalated"), region).otherwise(F.col("area")))
-    second = distinct_per_row(moved, roles.quasi, roles.key, "_n")
-    return second.withColumn("_suppressed", F.col("_n") < k)
+    sizes = cut(group_sizes(df, roles, k), "sizes")
+    marked = null_safe_join(df.withColumn("_region", region), sizes, [*roles.quasi, "_region"])
+    return marked.withColumn("area", F.col("area_")).withColumn("_suppressed", F.col("_n") < k).drop("_region", "area_")
 
 
 def k_anonymise(df: DataFrame, roles: Roles, k: int) -> DataFrame:
@@ -133,7 +149,8 @@ def mark_suppressed(df: DataFrame, roles: Roles, minimum: int, secondary: bool =
 def contribution_bound(prepared: DataFrame, roles: Roles, q: float = 0.99) -> DataFrame:
     """One row (bound): cells that one subscriber is in, at the quantile; 1 at least."""
     per = prepared.where(F.col(roles.key).isNotNull()).select(roles.key, *roles.cell).distinct().groupBy(roles.key).agg(F.count(F.lit(1)).alias("n"))
-    return per.agg(F.greatest(F.lit(1), F.coalesce(F.floor(quantile(F.col("n"), q)), F.lit(1)).cast("int")).alias("bound"))
+    found = column_quantiles(cut(per, "per"), {"n": F.col("n")}, [q])["n"][0]
+    return prepared.sparkSession.createDataFrame([(max(1, int(found or 1)),)], "bound int")
 
 
 def clip_contributions(prepared: DataFrame, roles: Roles, bound: int, salt: str) -> DataFrame:
@@ -190,22 +207,6 @@ def count_error(marked: DataFrame) -> DataFrame:
     return kept.agg(report(F.median(error)).alias("median_error"), report(F.avg(error)).alias("mean_error"))
 
 
-def transform_log(raw: DataFrame, prepared: DataFrame, roles: Roles, config: ReleaseConfig) -> DataFrame:
-    """(field, action, rows_affected): what preparing changed, counted in one pass
-    over each of the two tables."""
-    named = {f"{c}": F.count_if(F.col(c) == "OTHER") for c in roles.categories}
-    named["area"] = F.count_if(F.col("area").endswith("_OTHER"))
-    one = prepared.agg(F.count(F.lit(1)).alias("rows"), *[v.alias(f"n_{c}") for c, v in named.items()])
-    bounds = raw.agg(*[F.percentile(clean(F.col(c)), F.array(*map(F.lit, config.winsorise))).alias(f"b_{c}") for c in roles.qualities(raw)], *[F.coalesce(quantile(F.when(clean(F.col(c)) > 0, clean(F.col(c))), config.top_code), F.lit(0.0)).alias(f"b_{c}") for c in roles.volumes(raw)])
-    outside = {c: F.count_if((clean(F.col(c)) < F.col(f"b_{c}")[0]) | (clean(F.col(c)) > F.col(f"b_{c}")[1])) for c in roles.qualities(raw)}
-    outside |= {c: F.count_if(clean(F.col(c)) > F.col(f"b_{c}")) for c in roles.volumes(raw)}
-    two = raw.crossJoin(F.broadcast(bounds)).agg(*[v.alias(f"n_{c}") for c, v in outside.items()])
-    entries = [(roles.subscriber, "dropped", "rows"), (roles.time, "floored", "rows"), (roles.place, "folded", "n_area")]
-    entries += [(c, "folded", f"n_{c}") for c in roles.categories] + [(c, "winsorised", f"n_{c}") for c in roles.qualities(raw)] + [(c, "top-coded", f"n_{c}") for c in roles.volumes(raw)]
-    listed = F.array(*[F.struct(F.lit(f).alias("field"), F.lit(a).alias("action"), F.col(n).cast("long").alias("rows_affected")) for f, a, n in entries])
-    return one.crossJoin(F.broadcast(two)).select(F.inline(listed))
-
-
 def treatments(log: DataFrame) -> DataFrame:
     """(field, treatment): each field's actions, joined."""
     return log.groupBy("field").agg(F.array_join(F.array_sort(F.array_distinct(F.collect_list("action"))), "; ").alias("treatment"))
@@ -215,13 +216,16 @@ def treatments(log: DataFrame) -> DataFrame:
 
 
 def record_sweep(prepared: DataFrame, roles: Roles, ks: list[int]) -> DataFrame:
-    """Rows kept, escalated and suppressed for each k, in one pass over the groups."""
+    """Rows kept, escalated and suppressed for each k; the rows are read once, for each
+    group's subscribers and how many rows they have there."""
+    key, rest = roles.key, [c for c in roles.quasi if c != "area"]
     steps = prepared.sparkSession.createDataFrame([(k,) for k in ks], "k int")
-    first = distinct_per_row(prepared, roles.quasi, roles.key, "_n").crossJoin(F.broadcast(steps))
     region = F.coalesce(F.col(roles.region).cast("string"), F.lit("UNKNOWN"))
-    moved = first.withColumn("_e", F.col("_n") < F.col("k")).withColumn("area", F.when(F.col("_e"), region).otherwise(F.col("area"))).drop("_n")
-    second = distinct_per_row(moved, ["k", *roles.quasi], roles.key, "_n")
-    out = second.groupBy("k").agg(F.count(F.lit(1)).alias("rows_in"), F.count_if("_e").alias("rows_escalated"), F.count_if(F.col("_n") < F.col("k")).alias("rows_suppressed"))
+    pairs = cut(prepared.groupBy(*roles.quasi, region.alias("_region"), key).agg(F.count(F.lit(1)).alias("_rows")), "pairs")
+    first = null_safe_join(pairs, pairs.groupBy(*roles.quasi).agg(F.countDistinct(key).alias("_n")), roles.quasi).crossJoin(F.broadcast(steps))
+    moved = first.withColumn("_e", F.col("_n") < F.col("k")).withColumn("area", F.when(F.col("_e"), F.col("_region")).otherwise(F.col("area")))
+    second = moved.groupBy("k", *rest, "area").agg(F.countDistinct(key).alias("_m"), F.sum("_rows").alias("rows"), F.sum(F.when(F.col("_e"), F.col("_rows")).otherwise(0)).alias("escalated"))
+    out = second.groupBy("k").agg(F.sum("rows").alias("rows_in"), F.sum("escalated").alias("rows_escalated"), F.sum(F.when(F.col("_m") < F.col("k"), F.col("rows")).otherwise(0)).alias("rows_suppressed"))
     return out.withColumn("pct_suppressed", percent(F.col("rows_suppressed"), F.col("rows_in")))
 
 

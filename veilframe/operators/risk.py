@@ -6,10 +6,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilframe.functions.numeric import SALT, clean, draw_key, laplace, noisy_count, percent, quantile, report, tenth, uniform
+from veilframe.functions.numeric import SALT, clean, draw_key, laplace, noisy_count, percent, report, tenth, uniform
+from veilframe.operators.ordered import column_quantiles
 from veilframe.operators.relational import null_safe_join
 from veilframe.operators.release import cell_key, mark_suppressed
 from veilframe.operators.roles import Roles
+from veilframe.storage import cut
 
 # ---------------------------------------------------------------- raw data
 
@@ -67,7 +69,8 @@ def trajectories(df: DataFrame, subscriber: str, columns: list, lengths: tuple[i
 def outliers(df: DataFrame, subscriber: str, volume: str, sparse: str, device: str) -> DataFrame:
     """R3, one row: subscribers that stand out by volume, tethering or device."""
     per = df.where(F.col(subscriber).isNotNull()).groupBy(subscriber).agg(F.coalesce(F.sum(clean(F.col(volume))), F.lit(0.0)).alias("total"), F.max(clean(F.col(sparse))).alias("most"))
-    bound = per.agg(quantile(F.col("total"), 0.99).alias("p99"))
+    per = cut(per, "per")
+    bound = one_quantile(per, "total", 0.99, "p99")
     alone = per.groupBy(tenth(F.col("total")).alias("t")).agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.sum(F.when(F.col("n") == 1, 1)), F.lit(0)).alias("alone"))
     devices = df.where(F.col(device).isNotNull()).groupBy(device).agg(F.countDistinct(subscriber).alias("n"))
     thin = devices.agg(F.count(F.lit(1)).alias("n_devices"), F.count_if(F.col("n") < 5).alias("n_thin"))
@@ -118,7 +121,13 @@ def a3_homogeneity(record: DataFrame, roles: Roles, flags: dict) -> DataFrame:
 
 
 def raw_quantile(raw: DataFrame, column: str, q: float) -> DataFrame:
-    return raw.agg(quantile(clean(F.col(column)), q).alias("threshold"))
+    return one_quantile(raw, column, q, "threshold")
+
+
+def one_quantile(df: DataFrame, column: str, q: float, name: str) -> DataFrame:
+    """One row: an exact quantile of a whole column, null without values."""
+    found = column_quantiles(df, {column: clean(F.col(column))}, [q])[column]
+    return df.sparkSession.createDataFrame([(found[0],)], f"{name} double")
 
 
 def a4_caps(record: DataFrame, volumes: list[str]) -> DataFrame:

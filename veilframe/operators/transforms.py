@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from veilframe.functions.numeric import SALT, clean, quantile, significant
+from veilframe.functions.numeric import SALT, clean, significant
+from veilframe.operators.ordered import column_quantiles, running
 from veilframe.operators.relational import mode_of
 from veilframe.operators.roles import Roles
+from veilframe.storage import cut
 
 OTHER = "OTHER"
 
@@ -73,67 +75,111 @@ def bucket_time(df: DataFrame, roles: Roles, minutes: int) -> DataFrame:
     return df.withColumn("time_bucket", floor_time(roles.time, minutes)).drop(roles.time)
 
 
-def subscribers_by(df: DataFrame, column: str, key: str) -> DataFrame:
-    """(value, subs) of non-null values."""
-    return df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.countDistinct(key).alias("subs"))
+def subscribers_by(df: DataFrame, columns: list[str], key: str) -> DataFrame:
+    """(column, value, subs): subscribers of each value that is not null, of all columns
+    in one pass over the rows."""
+    sets = df.groupingSets([[c] for c in columns], *columns).agg(*[F.grouping(c).alias(f"_g_{c}") for c in columns], F.countDistinct(key).alias("subs"))
+    shown = [F.when(F.col(f"_g_{c}") == 0, F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value"))) for c in columns]
+    return sets.select(F.coalesce(*shown).alias("_x"), "subs").select("_x.column", "_x.value", "subs").where("value is not null")
 
 
-def area_tokens(df: DataFrame, roles: Roles, minimum: int, salt: str = SALT) -> DataFrame:
-    """(value, token) of the places that keep a token of their own, in hashed order."""
-    kept = subscribers_by(df, roles.place, roles.key).where(F.col("subs") >= minimum)
-    order = Window.orderBy(F.md5(F.concat(F.lit(salt + "|"), F.col("value").cast("string")).cast("binary")), "value")
-    return kept.select("value", F.format_string("A%04d", F.row_number().over(order)).alias("token"))
+def area_tokens(counts: DataFrame, place: str, minimum: int, salt: str = SALT) -> DataFrame:
+    """(value, token) of the places that keep a token of their own, numbered in hashed
+    order by running totals over ranges of it. `counts` is a result of `subscribers_by`."""
+    kept = counts.where((F.col("column") == place) & (F.col("subs") >= minimum))
+    digest = F.md5(F.concat(F.lit(salt + "|"), F.col("value")).cast("binary"))
+    numbered = running(kept.select("value", digest.alias("_h"), F.lit(1).alias("_one")), [], ["_h", "value"], ["_one"])
+    return numbered.select("value", F.format_string("A%04d", F.col("run__one")).alias("token"))
 
 
-def build_area(df: DataFrame, roles: Roles, mode: str, minimum: int, salt: str = SALT) -> DataFrame:
+def build_area(df: DataFrame, roles: Roles, mode: str, minimum: int, salt: str = SALT, counts: DataFrame | None = None) -> DataFrame:
     """place -> area: a token, or <region>_OTHER where it has few subscribers. A null
     place has a null area; a null region reads UNKNOWN. In province mode the region."""
     region = F.coalesce(F.col(roles.region).cast("string"), F.lit("UNKNOWN"))
     if mode == "province":
         return df.withColumn("area", region).drop(roles.place)
-    tokens = area_tokens(df, roles, minimum, salt)
-    joined = df.join(tokens, df[roles.place] == tokens["value"], "left")
+    counts = subscribers_by(df, [roles.place], roles.key) if counts is None else counts
+    tokens = area_tokens(counts, roles.place, minimum, salt)
+    joined = df.join(tokens, df[roles.place].cast("string") == tokens["value"], "left")
     area = F.when(F.col(roles.place).isNotNull(), F.coalesce("token", F.concat(region, F.lit("_" + OTHER))))
     return joined.withColumn("area", area).drop("value", "token", roles.place)
 
 
-def fold_rare(df: DataFrame, roles: Roles, minimum: int) -> DataFrame:
+def fold_rare(df: DataFrame, roles: Roles, minimum: int, counts: DataFrame | None = None) -> DataFrame:
     """Category values with fewer than `minimum` subscribers become OTHER."""
+    counts = subscribers_by(df, list(roles.categories), roles.key) if counts is None else counts
     for column in roles.categories:
-        rare = subscribers_by(df, column, roles.key).where(F.col("subs") < minimum).select("value")
-        joined = df.join(rare, df[column] == rare["value"], "left")
+        rare = counts.where((F.col("column") == column) & (F.col("subs") < minimum)).select("value")
+        joined = df.join(rare, df[column].cast("string") == rare["value"], "left")
         df = joined.withColumn(column, F.when(F.col("value").isNotNull(), F.lit(OTHER)).otherwise(F.col(column))).drop("value")
     return df
 
 
+#: The least and the greatest value that a column may keep; None where it has none.
+Limits = dict[str, tuple[float | None, float | None]]
+
+
+def find_limits(df: DataFrame, qualities: list[str], volumes: list[str], low: float, high: float, cap: float) -> Limits:
+    """Limits of all metrics, found together: quantiles of qualities, and of the volumes
+    above 0 (a volume without any is capped at 0)."""
+    wanted = {c: clean(F.col(c)) for c in qualities} | {c: F.when(clean(F.col(c)) > 0, clean(F.col(c))) for c in volumes}
+    found = column_quantiles(df, wanted, [low, high, cap]) if wanted else {}
+    return {c: (found[c][0], found[c][1]) for c in qualities} | {c: (None, 0.0 if found[c][2] is None else found[c][2]) for c in volumes}
+
+
+def outside(column: str, limits: Limits) -> Column:
+    """Whether a value will be changed by its limits."""
+    low, high = (F.lit(x).cast("double") for x in limits[column])
+    return F.coalesce(clean(F.col(column)) < low, F.lit(False)) | F.coalesce(clean(F.col(column)) > high, F.lit(False))
+
+
+def limited(df: DataFrame, limits: Limits, digits: int) -> DataFrame:
+    """Each column within its limits, and rounded; NaN becomes null."""
+    new = {}
+    for c, (low, high) in limits.items():
+        value = clean(F.col(c))
+        value = value if low is None else F.greatest(value, F.lit(low))
+        value = value if high is None else F.least(value, F.lit(high))
+        new[c] = F.when(clean(F.col(c)).isNotNull(), significant(value, digits))
+    return df.withColumns(new) if new else df
+
+
 def winsorise(df: DataFrame, columns: list[str], low: float, high: float, digits: int) -> DataFrame:
-    """Clip each column to its own quantiles, all found in one pass, and round."""
-    if not columns:
-        return df
-    bounds = df.agg(*[F.percentile(clean(F.col(c)), F.array(F.lit(low), F.lit(high))).alias(f"_{c}") for c in columns])
-    clipped = {c: significant(F.least(F.greatest(clean(F.col(c)), F.col(f"_{c}")[0]), F.col(f"_{c}")[1]), digits) for c in columns}
-    clipped = {c: F.when(clean(F.col(c)).isNotNull(), v) for c, v in clipped.items()}
-    return df.crossJoin(F.broadcast(bounds)).withColumns(clipped).drop(*[f"_{c}" for c in columns])
+    """Clip each column to its own quantiles, all found together, and round."""
+    return limited(df, find_limits(df, columns, [], low, high, high), digits)
 
 
 def top_code(df: DataFrame, columns: list[str], q: float, digits: int) -> DataFrame:
     """Cap each column at the quantile of its values above 0 (0 if it has none), and round."""
-    if not columns:
-        return df
-    caps = df.agg(*[F.coalesce(quantile(F.when(clean(F.col(c)) > 0, clean(F.col(c))), q), F.lit(0.0)).alias(f"_{c}") for c in columns])
-    capped = {c: F.when(clean(F.col(c)).isNotNull(), significant(F.least(clean(F.col(c)), F.col(f"_{c}")), digits)) for c in columns}
-    return df.crossJoin(F.broadcast(caps)).withColumns(capped).drop(*[f"_{c}" for c in columns])
+    return limited(df, find_limits(df, [], columns, q, q, q), digits)
 
 
 def prepare(df: DataFrame, roles: Roles, config: ReleaseConfig) -> DataFrame:
-    """All six transforms in order. The bucket is not made finer than the data's own."""
-    minutes = effective_bucket(df, roles.time, config.bucket_minutes).first()["effective"]
-    qualities, volumes = roles.qualities(df), roles.volumes(df)
-    return (
-        df.transform(drop_identifiers, roles)
-        .transform(bucket_time, roles, minutes)
-        .transform(build_area, roles, config.area_mode, config.min_subscribers_area, config.salt)
-        .transform(fold_rare, roles, config.min_subscribers_category)
-        .transform(winsorise, qualities, *config.winsorise, config.digits)
-        .transform(top_code, volumes, config.top_code, config.digits)
+    """All six transforms in order. The bucket is not made finer than the data's own.
+
+    The source is read once: it is written without its identifiers, and statistics are
+    read from there. The result is a written table too, for all releases of it."""
+    return prepare_logged(df, roles, config)[0]
+
+
+def prepare_logged(df: DataFrame, roles: Roles, config: ReleaseConfig) -> tuple[DataFrame, DataFrame]:
+    """`prepare`, and (field, action, rows_affected): what it changed. The counts are
+    observed while the prepared table is written, so that the log costs no job."""
+    spark, qualities, volumes = df.sparkSession, roles.qualities(df), roles.volumes(df)
+    base = cut(drop_identifiers(df, roles), "base")
+    minutes = effective_bucket(base, roles.time, config.bucket_minutes).first()["effective"]
+    counts = cut(subscribers_by(base, [roles.place, *roles.categories], roles.key), "counts")
+    limits = find_limits(base, qualities, volumes, *config.winsorise, config.top_code)
+    placed = (
+        base.transform(bucket_time, roles, minutes)
+        .transform(build_area, roles, config.area_mode, config.min_subscribers_area, config.salt, counts)
+        .transform(fold_rare, roles, config.min_subscribers_category, counts)
     )
+    seen = Observation()
+    named = {"area": F.col("area").endswith("_" + OTHER)} | {c: F.col(c) == OTHER for c in roles.categories} | {c: outside(c, limits) for c in limits}
+    watched = placed.observe(seen, F.count(F.lit(1)).alias("rows"), *[F.count_if(v).alias(f"n_{c}") for c, v in named.items()])
+    prepared = cut(limited(watched, limits, config.digits), "prepared")
+    n = seen.get
+    entries = [(roles.subscriber, "dropped", n["rows"]), (roles.time, "floored", n["rows"]), (roles.place, "folded", n["n_area"])]
+    entries += [(c, "folded", n[f"n_{c}"]) for c in roles.categories] + [(c, "winsorised", n[f"n_{c}"]) for c in qualities] + [(c, "top-coded", n[f"n_{c}"]) for c in volumes]
+    return prepared, spark.createDataFrame(entries, "field string, action string, rows_affected long")

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilframe.functions.numeric import SALT, clean, noisy_count, percent, quantile, report
+from veilframe.operators.ordered import quantiles, running
 from veilframe.operators.relational import null_safe_join, weighted_mean
 from veilframe.operators.release import cell_key
 from veilframe.operators.roles import Roles
+from veilframe.storage import cut
 
 WITHIN, TARGET = 0.05, 90.0
 FLAG, SEVERE = 5.0, 25.0
@@ -30,13 +32,11 @@ def describe_error(error: Column) -> list[Column]:
 def cumulative(left: DataFrame, right: DataFrame) -> DataFrame:
     """(v, l, r, next) of two samples (one column v each): both empirical
     distributions at every value, and the value that follows. Values are counted
-    first, so the ordered window runs over distinct values."""
+    first, then totals run over ranges of values; no task sees all of them."""
     both = left.select(clean(F.col("v")).alias("v"), F.lit(1).alias("a"), F.lit(0).alias("b")).union(right.select(clean(F.col("v")).alias("v"), F.lit(0).alias("a"), F.lit(1).alias("b")))
     counted = both.where("v is not null").groupBy("v").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    run = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy()
-    share = lambda c: F.try_divide(F.sum(c).over(run).cast("double"), F.sum(c).over(whole).cast("double"))
-    return counted.select("v", share("a").alias("l"), share("b").alias("r"), F.lead("v").over(Window.orderBy("v")).alias("next"))
+    share = lambda c: F.try_divide(F.col(f"run_{c}").cast("double"), F.col(f"all_{c}").cast("double"))
+    return running(counted, [], ["v"], ["a", "b"]).select("v", share("a").alias("l"), share("b").alias("r"), "next")
 
 
 def wasserstein(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -49,15 +49,18 @@ def ks(left: DataFrame, right: DataFrame) -> DataFrame:
     return cumulative(left, right).agg(F.max(F.abs(F.col("l") - F.col("r"))).alias("ks"))
 
 
-def average_rank(column: str) -> Column:
-    """Ranks in which ties share their mean."""
-    return F.rank().over(Window.orderBy(column)) + (F.count(F.lit(1)).over(Window.partitionBy(column)) - 1) / 2.0
+def average_ranks(df: DataFrame, column: str, name: str) -> DataFrame:
+    """df plus ranks in which ties share their mean; nulls come first. Values are counted,
+    their counts run over ranges, and the ranks are joined back."""
+    counted = running(df.groupBy(F.col(column).alias("_v")).agg(F.count(F.lit(1)).alias("_n")), [], ["_v"], ["_n"])
+    ranks = counted.select(F.col("_v").alias(column), (F.col("run__n") - (F.col("_n") - 1) / 2.0).alias(name))
+    return null_safe_join(df, ranks, [column])
 
 
 def spearman(df: DataFrame, left: str, right: str) -> DataFrame:
     """One row (spearman): Pearson of average ranks; null for fewer than two rows or no variance."""
-    kept = df.where(clean(F.col(left)).isNotNull() & clean(F.col(right)).isNotNull())
-    ranked = kept.select(average_rank(left).alias("a"), average_rank(right).alias("b"))
+    kept = df.where(clean(F.col(left)).isNotNull() & clean(F.col(right)).isNotNull()).select(clean(F.col(left)).alias("_l"), clean(F.col(right)).alias("_r"))
+    ranked = average_ranks(average_ranks(kept, "_l", "a"), "_r", "b")
     spread = F.stddev_pop("a") * F.stddev_pop("b")
     return ranked.agg(F.when(F.count(F.lit(1)) >= 2, F.try_divide(F.covar_pop("a", "b"), F.when(spread > 0, spread))).alias("spearman"))
 
@@ -134,19 +137,19 @@ def u4_counts(joined: DataFrame, roles: Roles, bound: int, epsilons: list[float]
 
 def u5_fidelity(raw: DataFrame, record: DataFrame, metrics: list[str]) -> DataFrame:
     """One row for each metric: distances between its two distributions, and how far
-    its mean and quantiles moved. All metrics go through one pass."""
+    its mean and quantiles moved. All metrics are treated together."""
     tall = lambda df, side: df.select(F.lit(side).alias("side"), F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), clean(F.col(m)).alias("v")) for m in metrics]))).where("v is not null")
-    both = tall(raw, "raw").union(tall(record, "rel"))
+    both = cut(tall(raw, "raw").union(tall(record, "rel")), "tall")
     on = lambda side, value: F.when(F.col("side") == side, value)
     stats = both.groupBy("metric").agg(
-        *[f(on(s, F.col("v"))).alias(f"{n}_{s}") for s in ("raw", "rel") for n, f in (("mean", F.avg), ("p50", F.median), ("p95", lambda x: quantile(x, 0.95)), ("p99", lambda x: quantile(x, 0.99)))],
-        *[report(F.avg(on(s, (F.col("v") == 0).cast("double")))).alias(f"share_zero_{s}") for s in ("raw", "rel")],
+        *[F.avg(on(s, F.col("v"))).alias(f"mean_{s}") for s in ("raw", "rel")], *[report(F.avg(on(s, (F.col("v") == 0).cast("double")))).alias(f"share_zero_{s}") for s in ("raw", "rel")],
     )
+    found = quantiles(both, ["metric", "side"], "v", [0.5, 0.95, 0.99])
+    at = [F.max(on(s, F.get("at", F.lit(k)))).alias(f"{n}_{s}") for s in ("raw", "rel") for k, n in enumerate(("p50", "p95", "p99"))]
+    stats = stats.join(found.groupBy("metric").agg(*at), "metric", "left")
     counted = both.groupBy("metric", "v").agg(F.count_if(F.col("side") == "raw").alias("a"), F.count_if(F.col("side") == "rel").alias("b"))
-    run = Window.partitionBy("metric").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy("metric")
-    share = lambda c: F.try_divide(F.sum(c).over(run).cast("double"), F.sum(c).over(whole).cast("double"))
-    gaps = counted.select("metric", "v", F.abs(share("a") - share("b")).alias("gap"), F.lead("v").over(Window.partitionBy("metric").orderBy("v")).alias("next"))
+    share = lambda c: F.try_divide(F.col(f"run_{c}").cast("double"), F.col(f"all_{c}").cast("double"))
+    gaps = running(counted, ["metric"], ["v"], ["a", "b"]).select("metric", "v", F.abs(share("a") - share("b")).alias("gap"), "next")
     far = gaps.groupBy("metric").agg(report(F.coalesce(F.sum(F.col("gap") * (F.col("next") - F.col("v"))), F.lit(0.0))).alias("wasserstein"), report(F.max("gap")).alias("ks"))
     change = lambda n: F.try_divide(100.0 * (F.col(f"{n}_rel") - F.col(f"{n}_raw")), F.when(F.col(f"{n}_raw") != 0, F.col(f"{n}_raw")))
     moved = lambda n: report(F.rint(change(n) * 1e6) / 1e6 + 0.0)

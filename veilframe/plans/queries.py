@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 from veilframe.functions import numeric as N
 from veilframe.functions.keyed import hmac_sha256
-from veilframe.operators import guard, profile, query, relational, release, risk, transforms, utility, verdict
+from veilframe.operators import guard, ordered, profile, query, relational, release, risk, transforms, utility, verdict
 from veilframe.plans import bindings as B
 from veilframe.plans.bindings import CELL, CELL_KEY, CELLS, METRICS, NOISED, QUASI, RECORDS, ROLES, USAGE, VOLUMES, cell_sql, epochs, noise, noisy, pct, prepared, r6, read, sig, suppressed, usage
+from veilframe.storage import cut
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -167,7 +168,8 @@ def join_coverage(spark, d):
 
 @register("join_lookup", f"WITH {prepared(CELLS)} SELECT te AS value, token FROM tok")
 def join_lookup(spark, d):
-    return transforms.area_tokens(transforms.drop_identifiers(usage(spark, d), ROLES), ROLES, 25)
+    counts = transforms.subscribers_by(transforms.drop_identifiers(usage(spark, d), ROLES), ["enb"], ROLES.key)
+    return transforms.area_tokens(counts, "enb", 25)
 
 
 @register("semi_isin", f"WITH {USAGE} SELECT enb, count(*) AS n FROM u WHERE enb IN (SELECT enb FROM u GROUP BY enb HAVING count(DISTINCT msisdn) < 25) GROUP BY enb")
@@ -222,8 +224,8 @@ def agg_sum_max_min_mean(spark, d):
 @register("agg_quantile", f"WITH {USAGE} SELECT province, " + ", ".join(r6(f"quantile_cont(data_GB_sum, {q})") + f" AS q{int(q * 100)}" for q in (0.01, 0.1, 0.5, 0.9, 0.99)) + " FROM u GROUP BY province")
 def agg_quantile(spark, d):
     shares = (0.01, 0.1, 0.5, 0.9, 0.99)
-    at = F.percentile(F.col("data_GB_sum"), F.array(*map(F.lit, shares)))  # one buffer for all
-    return usage(spark, d).groupBy("province").agg(*[N.report(F.get(at, F.lit(k))).alias(f"q{int(q * 100)}") for k, q in enumerate(shares)])
+    values = cut(usage(spark, d).select("province", "data_GB_sum"), "values")
+    return ordered.quantiles(values, ["province"], "data_GB_sum", shares).select("province", *[N.report(F.get("at", F.lit(k))).alias(f"q{int(q * 100)}") for k, q in enumerate(shares)])
 
 
 @register("agg_mode", "SELECT l_quantity AS mode FROM (SELECT l_quantity, count(*) AS n FROM lineitem GROUP BY 1 ORDER BY n DESC, l_quantity LIMIT 1)")
@@ -300,7 +302,7 @@ def win_lag_gap(spark, d):
 
 @register("win_rank_avg", "SELECT s_suppkey, rank() OVER (ORDER BY s_nationkey) + (count(*) OVER (PARTITION BY s_nationkey) - 1) / 2.0::DOUBLE AS r FROM supplier")
 def win_rank_avg(spark, d):
-    return read(spark, d, "supplier").select("s_suppkey", utility.average_rank("s_nationkey").alias("r"))
+    return utility.average_ranks(read(spark, d, "supplier"), "s_nationkey", "r").select("s_suppkey", "r")
 
 
 @register("win_min_survivor", f"WITH {prepared(CELLS)}, c AS ({cell_sql('p')}), s AS ({suppressed('c', 10)}) SELECT {CELL}, n_subscribers FROM s WHERE sec")
@@ -517,7 +519,7 @@ def log_sql() -> str:
 @register("anon_log", f"WITH {prepared(CELLS)} {log_sql()}")
 def anon_log(spark, d):
     raw = usage(spark, d)
-    return release.transform_log(raw, transforms.prepare(raw, ROLES, CELLS), ROLES, CELLS)
+    return transforms.prepare_logged(raw, ROLES, CELLS)[1]
 
 
 @register("sink_treatment", f"WITH {prepared(CELLS)}, l AS ({log_sql()}) SELECT field, array_to_string(list_sort(list_distinct(list(action))), '; ') AS treatment FROM l GROUP BY field")

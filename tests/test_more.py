@@ -77,6 +77,26 @@ def test_scan_folder_reads_files_by_kind(spark, registry, tmp_path):
     assert found == {("parquet", "x", "registered_id"), ("csv", "<header>", "registered_id"), ("csv", "358401234567", "registered_id"), ("ipynb", "part 1", "registered_id"), ("txt", "line 2", "long_digit_run")}
 
 
+def test_folder_plan_does_not_grow_with_its_files(spark, registry, tmp_path):
+    """Files of one schema are one scan, and each keeps its own name in the findings."""
+
+    def nodes(df):
+        return df._jdf.queryExecution().optimizedPlan().toString().count("Relation")
+
+    for k in range(2):
+        (tmp_path / f"a{k}.csv").write_text(f"id,said\n1,{'358401234567' if k else 'x'}\n")
+        (tmp_path / f"n{k}.ipynb").write_text(json.dumps({"cells": [{"source": f"12345678901{k}"}]}))
+    few = nodes(guard.scan_folder(spark, str(tmp_path), registry))
+    for k in range(2, 30):
+        (tmp_path / f"a{k}.csv").write_text("id,said\n1,358401234567\n")
+        (tmp_path / f"n{k}.ipynb").write_text("358401234567")
+    many = guard.scan_folder(spark, str(tmp_path), registry)
+    assert nodes(many) == few
+    found = [(r.source.rsplit("/", 1)[-1], r.location, r.kind) for r in many.collect()]
+    assert sorted(f for f in found if f[0].endswith("csv")) == sorted((f"a{k}.csv", "said", "registered_id") for k in range(1, 30))
+    assert sorted(f for f in found if f[0].endswith("ipynb")) == sorted((f"n{k}.ipynb", "part 1", "long_digit_run" if k < 2 else "registered_id") for k in range(30))
+
+
 def release(spark):
     return spark.createDataFrame([("2027-04-30 12:00:00", "P", "4G", 30, 1.0), ("2027-04-30 12:15:00", "P", "5G", 5, 3.0)], "t string, province string, radio string, n_subscribers long, m double").withColumn("t", F.to_timestamp("t"))
 
@@ -108,7 +128,7 @@ def test_proposals():
     good = '```json\n[{"field": "a", "class": "non_identifying", "confidence": 0.5, "rationale": "' + "w " * 40 + '"}]\n```'
     (row,) = verdict.validate_proposal(good, ["a"])
     assert len(row["rationale"].split()) == verdict.RATIONALE_WORDS
-    for wrong in ("x", "{}", "[]", '[{"field": "a", "class": "z", "confidence": 1}]', '[{"field": "a", "class": "non_identifying", "confidence": 2}]'):
+    for wrong in ("x", "{}", "[]", '[{"field": "a", "class": "z", "confidence": 1}]', '[{"field": "a", "class": "non_identifying", "confidence": 2}]', good.strip("`")[5:-1] + " and more", '[{"field": "a", "class": "non_identifying", "confidence": 1}] []'):
         with pytest.raises(verdict.InvalidProposal):
             verdict.validate_proposal(wrong, ["a"])
     assert verdict.review([row], {"a": "quasi_identifier"})[0]["decision"] == "override"
@@ -137,7 +157,7 @@ def test_stream_cells(spark, tmp_path):
     run = stream.writeStream.outputMode("append").foreachBatch(cells.publish(2, lambda df, n: out.extend(df.collect()))).option("checkpointLocation", str(tmp_path / "c")).start()
     run.processAllAvailable()
     run.stop()
-    assert [r.n_rows for r in out] == [9, 3]
+    assert [(r.n_rows, r.n_subscribers, r.total) for r in out] == [(9, 3, 9.0), (3, 3, 3.0)]
 
 
 def test_scrub_reaches_rows_without_an_id(spark):

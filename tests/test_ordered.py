@@ -31,7 +31,7 @@ def test_quantiles_of_any_shape(spark, monkeypatch, held):
 
 def test_whole_columns_and_empty_ones(spark):
     df = spark.range(1001).select(F.col("id").cast("double").alias("a"), F.lit(None).cast("double").alias("b"))
-    assert ordered.column_quantiles(df, {"a": F.col("a"), "b": F.col("b")}, [0.5, 0.9995]) == {"a": [500.0, 999.5], "b": [None, None]}
+    assert ordered.column_quantiles(df, {"a": (F.col("a"), [0.5, 0.9995]), "b": (F.col("b"), [0.5]), "c": (-F.col("a"), [0.9995])}) == {"a": [500.0, 999.5], "b": [None], "c": [-0.5]}
     assert ordered.quantiles(df.where("a < 0"), [], "a", [0.5]).collect() == []
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from veilframe.operators.relational import null_safe_join
@@ -31,41 +31,53 @@ def _range(cuts: Column, rank: Column, after: Column, rows: Column, low: Column,
     return F.when(from_ < 0, low).otherwise(F.get(cuts, from_)), F.when(to > RANGES, high).otherwise(F.get(cuts, to))
 
 
-def quantiles(df: DataFrame, by: list[str], value: str, shares: list[float]) -> DataFrame:
+def quantiles(df: DataFrame, by: list[str], value: str, shares: list[float], only: Column | None = None) -> DataFrame:
     """(by, n, at): exact quantiles of `value` by linear interpolation, in the order of
-    `shares`, for each group. Nulls do not count; a group of nulls only has no row.
+    `shares`, for each group. Nulls do not count; a group of nulls only has no row. Of
+    all shares, numbered by `t`, only those are found for which `only` holds; the others
+    are null.
 
     The rows are read a few times. Each time every quantile that is still open has one
     range of values: how many values lie below it and in it is counted, and a sketch of
     fixed size cuts it further. A range of at most HELD values is sorted. So buffers do
     not grow with the data, and no values are shuffled. Ends of ranges are counted by
-    themselves, so values that fill many ranges end the search."""
+    themselves, so values that fill many ranges end the search. Only the first two reads
+    look at all rows; later ones look at those of the ranges that are left."""
     rows = df.select(*by, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
     first = rows.groupBy(*by).agg(F.count("_v").alias("n"), F.min("_v").alias("low"), F.max("_v").alias("high"), _cuts("_v").alias("cuts")).where("n > 0")
     each = first.withColumn("_q", F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.lit(float(q)).alias("share")) for t, q in enumerate(shares)])))
     place = F.col("_q.share") * (F.col("n") - 1)
     each = each.select(*by, "n", "low", "high", "cuts", "_q.t", F.floor(place).alias("k"), (place - F.floor(place)).alias("f")).withColumn("j", F.least(F.col("k") + 1, F.col("n") - 1))
+    each = each if only is None else each.where(only)
     a, b = _range(F.col("cuts"), F.col("k"), F.col("j"), F.col("n"), F.col("low"), F.col("high"))
     none = F.lit(None).cast("double")
-    state = cut(each.select(*by, "t", "n", "low", "high", "k", "j", "f", a.alias("a"), b.alias("b"), F.lit(False).alias("held"), none.alias("x"), none.alias("y")), "ranges")
-    while not state.where("x IS NULL").isEmpty():
-        state = cut(state.where("x IS NOT NULL").union(_narrow(rows, by, state.where("x IS NULL")).select(state.columns)), "ranges")
+    state, left = _open(each.select(*by, "t", "n", "low", "high", "k", "j", "f", F.col("low").alias("p"), F.lit(0).cast("long").alias("under"), a.alias("a"), b.alias("b"), F.lit(False).alias("held"), none.alias("x"), none.alias("y")))
+    while left:
+        state, left = _open(state.where("x IS NOT NULL").union(_narrow(rows, by, state.where("x IS NULL")).select(state.columns)))
     between = F.when(F.col("f") > 0, F.col("x") * (1 - F.col("f")) + F.col("y") * F.col("f")).otherwise(F.col("x"))
-    listed = state.groupBy(*by).agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("t", between.alias("value")))).alias("x"))
-    return listed.where("n > 0").select(*by, "n", F.col("x.value").alias("at"))
+    listed = state.groupBy(*by).agg(F.max("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("t", between.alias("value")))).alias("x"))
+    return listed.where("n > 0").select(*by, "n", F.array(*[F.element_at("x", F.lit(t)) for t in range(len(shares))]).alias("at"))
+
+
+def _open(state: DataFrame) -> tuple[DataFrame, int]:
+    """The state as a written table, and how many quantiles are still open in it."""
+    seen = Observation()
+    return cut(state.observe(seen, F.count_if(F.col("x").isNull()).alias("open")), "ranges"), seen.get["open"]
 
 
 def _narrow(rows: DataFrame, by: list[str], state: DataFrame) -> DataFrame:
-    """One pass: the open quantiles found, or in smaller ranges."""
+    """One pass: the open quantiles found, or in smaller ranges. `under` rows are known to
+    lie below p; those from p to a, and those of the range, are counted."""
     joined = null_safe_join(rows, state, by) if by else rows.crossJoin(F.broadcast(state))
     v, a, b = F.col("_v"), F.col("a"), F.col("b")
-    in_ = v >= a
-    counted = joined.where(v <= b).groupBy(*by, "t").agg(
-        F.count_if(v < a).alias("below"), F.count_if(in_).alias("rows"), F.count_if(v == a).alias("ones"), F.count_if(v == b).alias("tops"),
-        F.min(F.when(v > a, v)).alias("next"), F.max(F.when(in_ & (v < b), v)).alias("last"), _cuts("CASE WHEN _v >= a THEN _v END").alias("cuts"),
-        F.sort_array(F.collect_list(F.when(in_ & F.col("held"), v))).alias("values"),
+    before = joined.where((v >= F.col("p")) & (v < a)).groupBy(*by, "t").agg(F.count(F.lit(1)).alias("before"))
+    counted = joined.where((v >= a) & (v <= b)).groupBy(*by, "t").agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if(v == a).alias("ones"), F.count_if(v == b).alias("tops"),
+        F.min(F.when(v > a, v)).alias("next"), F.max(F.when(v < b, v)).alias("last"), _cuts("_v").alias("cuts"),
+        F.sort_array(F.collect_list(F.when(F.col("held"), v))).alias("values"),
     )
-    both = null_safe_join(state, counted, [*by, "t"])
+    both = null_safe_join(null_safe_join(state, before, [*by, "t"], "left"), counted, [*by, "t"])
+    both = both.withColumn("below", F.col("under") + F.coalesce("before", F.lit(0)))
     k, j, below, inside = (F.col(c) for c in ("k", "j", "below", "rows"))
     missed = (k < below) | (j >= below + inside)
     begin, end = below + F.col("ones"), below + inside - F.col("tops")
@@ -79,16 +91,24 @@ def _narrow(rows: DataFrame, by: list[str], state: DataFrame) -> DataFrame:
     small = inside <= HELD
     one = F.when(missed, F.col("low")).when(small, a).when((k >= begin) & (one <= a), F.col("next")).otherwise(one)
     two = F.when(missed, F.col("high")).when(small, b).when((j < end) & (two >= b), F.col("last")).otherwise(two)
-    facts = both.withColumns({"x": F.when(found, x), "y": F.when(found, y), "a": one, "b": two, "held": small & ~missed})
-    return facts.drop("below", "rows", "ones", "tops", "next", "last", "cuts", "values")
-
-
-def column_quantiles(df: DataFrame, wanted: dict[str, Column], shares: list[float]) -> dict[str, list[float | None]]:
-    """Exact quantiles of whole columns, all of them found together; a few numbers, so
-    they come to the driver. Columns without values have nulls."""
-    long_ = df.select(F.inline(F.array(*[F.struct(F.lit(name).alias("name"), value.cast("double").alias("v")) for name, value in wanted.items()])))
-    found = {r["name"]: list(r["at"]) for r in quantiles(long_, ["name"], "v", shares).collect()}
-    return {name: found.get(name, [None] * len(shares)) for name in wanted}
+    under, from_ = F.when(missed, F.lit(0)).otherwise(below), F.when(missed, F.col("low")).otherwise(a)
+    facts = both.withColumns({"x": F.when(found, x), "y": F.when(found, y), "a": one, "b": two, "held": small & ~missed, "under": under, "p": from_})
+    return facts.drop("before", "below", "rows", "ones", "tops", "next", "last", "cuts", "values")
+
+
+def column_quantiles(df: DataFrame, wanted: dict[str, tuple[Column, list[float]]]) -> dict[str, list[float | None]]:
+    """Exact quantiles of whole columns, each at its own shares, all of them found
+    together; a few numbers, so they come to the driver. Columns without values have
+    nulls."""
+    if not wanted:
+        return {}
+    shares = sorted({q for _, asked in wanted.values() for q in asked})
+    long_ = df.select(F.inline(F.array(*[F.struct(F.lit(name).alias("name"), value.cast("double").alias("v")) for name, (value, _) in wanted.items()])))
+    only = F.lit(False)
+    for name, (_, asked) in wanted.items():
+        only |= (F.col("name") == name) & F.col("t").isin([shares.index(q) for q in asked])
+    found = {r["name"]: r["at"] for r in quantiles(long_, ["name"], "v", shares, only).collect()}
+    return {name: [found[name][shares.index(q)] if name in found else None for q in asked] for name, (_, asked) in wanted.items()}
 
 
 # ---------------------------------------------------------------- running totals

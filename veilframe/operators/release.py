@@ -149,7 +149,7 @@ def mark_suppressed(df: DataFrame, roles: Roles, minimum: int, secondary: bool =
 def contribution_bound(prepared: DataFrame, roles: Roles, q: float = 0.99) -> DataFrame:
     """One row (bound): cells that one subscriber is in, at the quantile; 1 at least."""
     per = prepared.where(F.col(roles.key).isNotNull()).select(roles.key, *roles.cell).distinct().groupBy(roles.key).agg(F.count(F.lit(1)).alias("n"))
-    found = column_quantiles(cut(per, "per"), {"n": F.col("n")}, [q])["n"][0]
+    found = column_quantiles(cut(per, "per"), {"n": (F.col("n"), [q])})["n"][0]
     return prepared.sparkSession.createDataFrame([(max(1, int(found or 1)),)], "bound int")
 
 

@@ -3,7 +3,7 @@ input; a figure that has no input is null."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilframe.functions.numeric import SALT, clean, draw_key, laplace, noisy_count, percent, report, tenth, uniform
@@ -31,39 +31,52 @@ def row_uniqueness(df: DataFrame, quasi: list[str], subscriber: str) -> DataFram
     )
 
 
-def chosen_points(pairs: DataFrame, p: int, sample: int, salt: str = SALT) -> DataFrame:
-    """`p` points of each of `sample` subscribers that have so many, both by hash."""
-    have = pairs.groupBy("sub").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= p)
-    key = F.md5(F.concat_ws("|", F.lit(salt), F.lit(str(p)), "sub").cast("binary"))
-    some = have.orderBy(key, "sub").limit(sample).select("sub")
-    order = Window.partitionBy("sub").orderBy(F.md5(F.concat_ws("|", F.lit(salt), F.lit(str(p)), "sub", "point").cast("binary")), "point")
-    return pairs.join(F.broadcast(some), "sub").withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= p).select("sub", "point")
-
-
 def points(df: DataFrame, subscriber: str, columns: list) -> DataFrame:
     """Distinct (sub, point) pairs; a point is a text key of its columns."""
     return df.select(F.col(subscriber).cast("string").alias("sub"), draw_key(*columns).alias("point")).where("sub is not null").distinct()
 
 
+def _drawn(salt: str, *columns: Column) -> Column:
+    return F.md5(F.concat_ws("|", F.lit(salt), *columns).cast("binary"))
+
+
+def chosen_points(pairs: DataFrame, have: DataFrame, lengths: tuple[int, ...], sample: int, salt: str = SALT) -> DataFrame:
+    """(p, target, point): for each p, `p` points of each of `sample` subscribers that
+    have so many, both by hash. `have` is (sub, n), the number of points of each."""
+    some = None
+    for p in lengths:
+        one = have.where(F.col("n") >= p).orderBy(_drawn(salt, F.lit(str(p)), F.col("sub")), "sub").limit(sample).select(F.lit(p).alias("p"), F.col("sub").alias("target"))
+        some = one if some is None else some.union(one)
+    met = pairs.join(F.broadcast(some), F.col("sub") == F.col("target"))
+    order = Window.partitionBy("p", "target").orderBy(_drawn(salt, F.col("p").cast("string"), F.col("target"), F.col("point")), "point")
+    return met.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= F.col("p")).select("p", "target", "point")
+
+
 def trajectories(df: DataFrame, subscriber: str, columns: list, lengths: tuple[int, ...] = (1, 2, 3, 4), sample: int = 1000, salt: str = SALT) -> DataFrame:
     """R2 and A2: how far p known points narrow the candidates, one row for each p.
 
-    A candidate fits if it has all p points, i.e. meets the target p times."""
-    pairs = points(df, subscriber, columns)
-    out = None
-    for p in lengths:
-        known = chosen_points(pairs, p, sample, salt).withColumnRenamed("sub", "target")
-        near = known.join(pairs, "point")
-        fits = near.groupBy("target", "sub").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == p).groupBy("target").agg(F.count(F.lit(1)).alias("all_points"))
-        least = near.groupBy("target", "point").agg(F.count(F.lit(1)).alias("n")).groupBy("target").agg(F.min("n").alias("per_point"))
-        eligible = pairs.groupBy("sub").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= p).agg(F.count(F.lit(1)).alias("n_eligible"))
-        one = fits.join(least, "target").agg(
-            F.count(F.lit(1)).alias("n_sampled"), report(F.median("per_point")).alias("median_per_point"), report(F.median("all_points")).alias("median_all_points"),
-            percent(F.count_if(F.col("all_points") == 1), F.count(F.lit(1))).alias("pct_unique"), report(F.avg(1.0 / F.greatest("all_points", F.lit(1)))).alias("p_target"),
-        )
-        row = eligible.crossJoin(F.broadcast(one)).select(F.lit(p).alias("p"), "*")
-        out = row if out is None else out.union(row)
-    return out
+    The pairs of subscribers and points are written once, and all p share them. How many
+    subscribers a point has is counted for known points only; candidates are those of a
+    target's rarest point, and only they are asked for its other points."""
+    pairs = cut(points(df, subscriber, columns), "points")
+    have = cut(pairs.groupBy("sub").agg(F.count(F.lit(1)).alias("n")), "have")
+    known = cut(chosen_points(pairs, have, lengths, sample, salt), "known")
+    often = pairs.join(known.select("point").distinct(), "point", "left_semi").groupBy("point").agg(F.count(F.lit(1)).alias("n"))
+    rarest = known.join(often, "point").groupBy("p", "target").agg(F.min("n").alias("per_point"), F.min_by("point", F.struct("n", "point")).alias("point"))
+    rarest = cut(rarest, "rarest")
+    candidates = rarest.select("p", "target", "point").join(pairs, "point").select("p", "target", "sub")
+    asked = candidates.join(known, ["p", "target"])
+    fits = asked.join(pairs, ["sub", "point"], "left_semi").groupBy("p", "target", "sub").agg(F.count(F.lit(1)).alias("n")).where("n = p")
+    fits = fits.groupBy("p", "target").agg(F.count(F.lit(1)).alias("all_points"))
+    one = fits.join(rarest.select("p", "target", "per_point"), ["p", "target"]).groupBy("p").agg(
+        F.count(F.lit(1)).alias("n_sampled"), report(F.median("per_point")).alias("median_per_point"), report(F.median("all_points")).alias("median_all_points"),
+        percent(F.count_if(F.col("all_points") == 1), F.count(F.lit(1))).alias("pct_unique"), report(F.avg(1.0 / F.greatest("all_points", F.lit(1)))).alias("p_target"),
+    )
+    steps = F.explode(F.array(*map(F.lit, lengths)))
+    eligible = have.select("n", steps.alias("p")).groupBy("p").agg(F.count_if(F.col("n") >= F.col("p")).alias("n_eligible"))
+    every = df.sparkSession.createDataFrame([(p,) for p in lengths], "p int")
+    out = every.join(eligible, "p", "left").join(one, "p", "left")
+    return out.select("p", F.coalesce("n_eligible", F.lit(0)).alias("n_eligible"), F.coalesce("n_sampled", F.lit(0)).alias("n_sampled"), "median_per_point", "median_all_points", "pct_unique", "p_target")
 
 
 def outliers(df: DataFrame, subscriber: str, volume: str, sparse: str, device: str) -> DataFrame:
@@ -126,7 +139,7 @@ def raw_quantile(raw: DataFrame, column: str, q: float) -> DataFrame:
 
 def one_quantile(df: DataFrame, column: str, q: float, name: str) -> DataFrame:
     """One row: an exact quantile of a whole column, null without values."""
-    found = column_quantiles(df, {column: clean(F.col(column))}, [q])[column]
+    found = column_quantiles(df, {column: (clean(F.col(column)), [q])})[column]
     return df.sparkSession.createDataFrame([(found[0],)], f"{name} double")
 
 

@@ -122,9 +122,9 @@ Limits = dict[str, tuple[float | None, float | None]]
 def find_limits(df: DataFrame, qualities: list[str], volumes: list[str], low: float, high: float, cap: float) -> Limits:
     """Limits of all metrics, found together: quantiles of qualities, and of the volumes
     above 0 (a volume without any is capped at 0)."""
-    wanted = {c: clean(F.col(c)) for c in qualities} | {c: F.when(clean(F.col(c)) > 0, clean(F.col(c))) for c in volumes}
-    found = column_quantiles(df, wanted, [low, high, cap]) if wanted else {}
-    return {c: (found[c][0], found[c][1]) for c in qualities} | {c: (None, 0.0 if found[c][2] is None else found[c][2]) for c in volumes}
+    wanted = {c: (clean(F.col(c)), [low, high]) for c in qualities} | {c: (F.when(clean(F.col(c)) > 0, clean(F.col(c))), [cap]) for c in volumes}
+    found = column_quantiles(df, wanted)
+    return {c: (found[c][0], found[c][1]) for c in qualities} | {c: (None, 0.0 if found[c][0] is None else found[c][0]) for c in volumes}
 
 
 def outside(column: str, limits: Limits) -> Column:

@@ -620,10 +620,10 @@ o{p} AS (SELECT target, min(n) AS perp FROM (SELECT target, point, count(*) AS n
     return f"WITH {base}, x AS (SELECT DISTINCT {pairs}), {', '.join(parts)} {' UNION ALL '.join(rows)}"
 
 
-@register("risk_r2", trajectory_sql(USAGE, "msisdn AS sub, enb || '|' || (floor(ts / 3600.0) * 3600)::BIGINT AS point FROM u", 300))
+@register("risk_r2", trajectory_sql(USAGE, "msisdn AS sub, enb || '|' || (floor(ts / 3600.0) * 3600)::BIGINT AS point FROM u", 1000))
 def risk_r2(spark, d):
     df = usage(spark, d)
-    return risk.trajectories(df, "msisdn", [F.col("enb"), F.unix_timestamp(F.date_trunc("hour", "time_start"))], sample=300)
+    return risk.trajectories(df, "msisdn", [F.col("enb"), F.unix_timestamp(F.date_trunc("hour", "time_start"))])
 
 
 @register("risk_r3", f"""WITH {USAGE}, s AS (SELECT msisdn, sum(data_GB_sum) AS total, max(tethering_data_GB_dl_sum) AS most FROM u GROUP BY 1), q AS (SELECT quantile_cont(total, 0.99) AS p99 FROM s),
@@ -651,12 +651,12 @@ def risk_a1(spark, d):
     return risk.a1_uniqueness(keyed_record(spark, d), ROLES, 10)
 
 
-@register("risk_a2", trajectory_sql(NATION, "_subscriber AS sub, area || '|' || time_bucket AS point FROM rec", 300))
+@register("risk_a2", trajectory_sql(NATION, "_subscriber AS sub, area || '|' || time_bucket AS point FROM rec", 1000))
 def risk_a2(spark, d):
-    return risk.trajectories(keyed_record(spark, d), "_subscriber", [F.col("area"), F.unix_timestamp("time_bucket")], sample=300)
+    return risk.trajectories(keyed_record(spark, d), "_subscriber", [F.col("area"), F.unix_timestamp("time_bucket")])
 
 
-@register("risk_a3", f"""WITH {NATION}, th AS (SELECT quantile_cont(data_GB_sum, 0.95) AS t FROM u), l AS (SELECT _subscriber, {QUASI}, 'tethering' AS attribute, tethering_data_GB_dl_sum > 0 AS flag FROM rec UNION ALL SELECT _subscriber, {QUASI}, 'heavy_user', data_GB_sum > t FROM rec, th),
+@register("risk_a3", f"""WITH {NATION}, th AS (SELECT quantile_cont(data_GB_sum, 0.95) AS t FROM u), l AS (SELECT _subscriber, {QUASI}, 'tethering' AS attribute, tethering_data_GB_dl_sum > 0 AS flag FROM rec UNION ALL SELECT _subscriber, {QUASI}, 'video', cont_rtt_radio_avg > 0 FROM rec UNION ALL SELECT _subscriber, {QUASI}, 'heavy_user', data_GB_sum > t FROM rec, th),
 gg AS (SELECT attribute, {QUASI}, count(DISTINCT _subscriber) AS s, count(DISTINCT flag) AS l, bool_or(flag) AS top FROM l GROUP BY ALL),
 ex AS (SELECT attribute, count(DISTINCT _subscriber) AS x FROM l JOIN (SELECT * FROM gg WHERE l.l <= 1 AND top) b USING (attribute, {QUASI}) GROUP BY 1),
 ww AS (SELECT attribute, count(DISTINCT _subscriber) AS people, {r6('avg(flag::INT)')} AS share_true FROM l GROUP BY 1)
@@ -666,7 +666,7 @@ FROM gg JOIN ww USING (attribute) LEFT JOIN ex USING (attribute) GROUP BY attrib
 def risk_a3(spark, d):
     t = risk.raw_quantile(usage(spark, d), "data_GB_sum", 0.95)
     record = keyed_record(spark, d).crossJoin(F.broadcast(t))
-    return risk.a3_homogeneity(record, ROLES, {"tethering": F.col("tethering_data_GB_dl_sum") > 0, "heavy_user": F.col("data_GB_sum") > F.col("threshold")})
+    return risk.a3_homogeneity(record, ROLES, {"tethering": F.col("tethering_data_GB_dl_sum") > 0, "video": F.col("cont_rtt_radio_avg") > 0, "heavy_user": F.col("data_GB_sum") > F.col("threshold")})
 
 
 @register("risk_a4_caps", f"WITH {NATION} " + " UNION ALL ".join(f"SELECT '{c}' AS metric, {r6(f'max({c})')} AS cap, {pct(f'count(*) FILTER ({c} >= (SELECT max({c}) FROM rec))', 'count(*)')} AS pct_rows_at_cap FROM rec" for c in VOLUMES))
@@ -707,52 +707,34 @@ ac AS (SELECT epsilon, scale, count(*) FILTER ((round_even((i - o) * 1e6, 0) <=
 SELECT epsilon, {r6('scale')} AS noise_scale, {r6('a')} AS accuracy_pct, {r6('(2 * a - 100.0)')} AS advantage_pct, {r6('coalesce(100.0 * exp(39 / scale) / (1.0 + exp(39 / scale)), 100.0)')} AS bound_pct FROM ac"""
 
 
-@register("risk_a6", a6_sql(40, 25))
+@register("risk_a6", a6_sql(200, 100))
 def risk_a6(spark, d):
-    return risk.a6_membership(prep(spark, d), ROLES, 39, list(EPSILONS), 40, 25)
+    return risk.a6_membership(prep(spark, d), ROLES, 39, list(EPSILONS))
 
 
 # the same with the operators' own samples, and with the second kind of points
 
 
-@register("risk_r2_full", trajectory_sql(USAGE, "msisdn AS sub, enb || '|' || (floor(ts / 3600.0) * 3600)::BIGINT AS point FROM u", 1000))
-def risk_r2_full(spark, d):
-    return risk.trajectories(usage(spark, d), "msisdn", [F.col("enb"), F.unix_timestamp(F.date_trunc("hour", "time_start"))])
-
-
 @register("risk_r2_date", trajectory_sql(USAGE, "msisdn AS sub, province || '|' || (floor(ts / 86400.0) * 86400)::BIGINT AS point FROM u", 1000))
 def risk_r2_date(spark, d):
     return risk.trajectories(usage(spark, d), "msisdn", [F.col("province"), F.unix_timestamp(F.date_trunc("day", "time_start"))])
 
 
-@register("risk_a2_full", trajectory_sql(NATION, "_subscriber AS sub, area || '|' || time_bucket AS point FROM rec", 1000))
-def risk_a2_full(spark, d):
-    return risk.trajectories(keyed_record(spark, d), "_subscriber", [F.col("area"), F.unix_timestamp("time_bucket")])
-
-
 @register("risk_a2_province", trajectory_sql(NATION, "_subscriber AS sub, province || '|' || time_bucket AS point FROM rec", 1000))
 def risk_a2_province(spark, d):
     return risk.trajectories(keyed_record(spark, d), "_subscriber", [F.col("province"), F.unix_timestamp("time_bucket")])
 
 
-@register("risk_a6_full", a6_sql(200, 100))
-def risk_a6_full(spark, d):
-    return risk.a6_membership(prep(spark, d), ROLES, 39, list(EPSILONS))
-
-
 # ---------------------------------------------------------------- guard
 
 PAGES = "documents"
-KNOWN = "k AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z0-9]{6,}')) AS token FROM documents WHERE doc_id % 2 = 0), kn AS (SELECT token FROM k WHERE regexp_matches(token, '[0-9]{8,}'))"
-
-
-KNOWN_ALL = KNOWN.replace(" WHERE doc_id % 2 = 0", "")
+KNOWN = "k AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z0-9]{6,}')) AS token FROM documents), kn AS (SELECT token FROM k WHERE regexp_full_match(token, '[0-9]{8,}'))"
 
 
-def known_tokens(spark, d, whole: bool = False):
-    """Tokens with eight digits in a row, of all documents or of those with even ids."""
-    docs = read(spark, d, "documents").where("true" if whole else "doc_id % 2 = 0")
-    return docs.select(F.explode(guard.tokens(F.col("text"))).alias("token")).where(F.col("token").rlike("[0-9]{8,}")).distinct()
+def known_tokens(spark, d):
+    """Tokens of eight digits or more, of all documents."""
+    docs = read(spark, d, "documents")
+    return docs.select(F.explode(guard.tokens(F.col("text"))).alias("token")).where(F.col("token").rlike("^[0-9]{8,}$")).distinct()
 
 
 @register("guard_register", f"WITH {USAGE} SELECT count(*) AS n FROM (SELECT msisdn FROM u UNION SELECT imsi FROM u)")
@@ -770,52 +752,29 @@ def guard_scan_text(spark, d):
     return guard.scan_text(read(spark, d, "documents"), "doc_id", "text", known_tokens(spark, d))
 
 
-@register("guard_scan_table", f"""WITH {KNOWN}, v AS (SELECT DISTINCT 'c_name' AS location, c_name AS v FROM customer UNION SELECT DISTINCT 'c_mktsegment', c_mktsegment FROM customer), tk AS (SELECT location, unnest(regexp_extract_all(v, '[A-Za-z0-9]{{6,}}')) AS token FROM v),
+@register("guard_scan_table", f"""WITH {KNOWN}, v AS (SELECT DISTINCT 'url' AS location, url AS v FROM pages UNION SELECT DISTINCT 'html', html FROM pages), tk AS (SELECT location, unnest(regexp_extract_all(v, '[A-Za-z0-9]{{6,}}')) AS token FROM v),
 f AS (SELECT location, 'registered_id' AS kind, 1 AS c FROM tk WHERE token IN (SELECT token FROM kn) UNION ALL SELECT location, 'long_digit_run', len(regexp_extract_all(token, '[0-9]{{10,}}')) FROM tk WHERE token NOT IN (SELECT token FROM kn))
-SELECT 'customer' AS source, location, kind, sum(c)::BIGINT AS n FROM f WHERE c > 0 GROUP BY ALL""")
+SELECT 'pages' AS source, location, kind, sum(c)::BIGINT AS n FROM f WHERE c > 0 GROUP BY ALL""")
 def guard_scan_table(spark, d):
-    return guard.scan_table(read(spark, d, "customer").select("c_name", "c_mktsegment"), "customer", known_tokens(spark, d))
+    return guard.scan_table(read(spark, d, "pages").select("url", "html"), "pages", known_tokens(spark, d))
 
 
-@register("guard_scrub")
-def guard_scrub(spark, d):
-    return scrubbed(spark, d, True)
+PIECES = "list_transform(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9]+|[^A-Za-z0-9]+'), lambda x: CASE WHEN length(x) >= 6 AND coalesce(list_contains(kl, x), false) THEN '[REDACTED]' ELSE x END)"
 
 
-def scrubbed(spark, d, whole: bool):
-    return guard.scrub(read(spark, d, "documents").select("doc_id", "text"), "doc_id", "text", known_tokens(spark, d, whole))
+@register("guard_scrub", f"WITH {KNOWN} SELECT doc_id, regexp_replace(array_to_string({PIECES}, ''), '\\p{{Nd}}{{10,}}', '[DIGITS]', 'g') AS text FROM documents, (SELECT list(token) AS kl FROM kn)")
+def guard_scrub(spark, d):
+    return guard.scrub(read(spark, d, "documents").select("doc_id", "text"), "doc_id", "text", known_tokens(spark, d))
 
 
 @register("guard_scrub_counts", f"WITH {KNOWN}, tk AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9]{{6,}}')) AS token FROM documents) SELECT doc_id, count(*) FILTER (token IN (SELECT token FROM kn)) AS redacted, coalesce(sum(len(regexp_extract_all(token, '[0-9]{{10,}}'))) FILTER (token NOT IN (SELECT token FROM kn)), 0)::BIGINT AS digits FROM tk GROUP BY doc_id")
 def guard_scrub_counts(spark, d):
-    return scrub_counts(spark, d, False)
-
-
-def scrub_counts(spark, d, whole: bool):
-    clean = scrubbed(spark, d, whole)
+    clean = guard_scrub(spark, d)
     docs = read(spark, d, "documents").where(F.size(guard.tokens(F.col("text"))) > 0).select("doc_id")
     counts = clean.select("doc_id", F.regexp_count("text", F.lit("\\[REDACTED\\]")).cast("long").alias("redacted"), F.regexp_count("text", F.lit("\\[DIGITS\\]")).cast("long").alias("digits"))
     return counts.join(docs, "doc_id", "left_semi")
 
 
-# the same with the registry of all documents
-
-
-@register("guard_scan_text_all", ORACLE_SQL["guard_scan_text"].replace(KNOWN, KNOWN_ALL))
-def guard_scan_text_all(spark, d):
-    return guard.scan_text(read(spark, d, "documents"), "doc_id", "text", known_tokens(spark, d, True))
-
-
-@register("guard_scan_table_all", ORACLE_SQL["guard_scan_table"].replace(KNOWN, KNOWN_ALL))
-def guard_scan_table_all(spark, d):
-    return guard.scan_table(read(spark, d, "customer").select("c_name", "c_mktsegment"), "customer", known_tokens(spark, d, True))
-
-
-@register("guard_scrub_counts_all", ORACLE_SQL["guard_scrub_counts"].replace(KNOWN, KNOWN_ALL))
-def guard_scrub_counts_all(spark, d):
-    return scrub_counts(spark, d, True)
-
-
 # ---------------------------------------------------------------- utility
 
 
@@ -986,7 +945,7 @@ def facts(spark, d) -> DataFrame:
     a3 = risk_a3(spark, d).agg(F.max("pct_subscribers_disclosed").alias("disclosed"), F.max("pct_homogeneous").alias("homogeneous"))
     a4 = risk_a4(spark, d).select(F.col("pct_rows_below_k").alias("below_k"))
     a5 = risk_a5(spark, d).where("epsilon = '1' and secondary").select(F.col("pct_recovered").alias("recovered"))
-    a6 = risk_a6_full(spark, d).where("epsilon = '1'").select(F.col("accuracy_pct").alias("accuracy"), F.col("bound_pct").alias("bound"))
+    a6 = risk_a6(spark, d).where("epsilon = '1'").select(F.col("accuracy_pct").alias("accuracy"), F.col("bound_pct").alias("bound"))
     return reduce(lambda x, y: x.crossJoin(F.broadcast(y)), [a1, a3, a4, a5, a6])
 
 
@@ -1005,16 +964,6 @@ def risk_threshold(spark, d):
     return verdict.releasable(risk_a6(spark, d).select("epsilon", F.col("accuracy_pct").alias("a6_accuracy_pct")))
 
 
-@register("risk_counterfactual_full", ORACLE_SQL["risk_counterfactual"].replace(ORACLE_SQL["risk_a2"], ORACLE_SQL["risk_a2_full"]))
-def risk_counterfactual_full(spark, d):
-    return verdict.counterfactual(risk_a2_full(spark, d))
-
-
-@register("risk_threshold_full", ORACLE_SQL["risk_threshold"].replace(ORACLE_SQL["risk_a6"], ORACLE_SQL["risk_a6_full"]))
-def risk_threshold_full(spark, d):
-    return verdict.releasable(risk_a6_full(spark, d).select("epsilon", F.col("accuracy_pct").alias("a6_accuracy_pct")))
-
-
 GRID_BUCKETS = (91, 364)
 GRID = [(k, b, m, e) for k in KS for b in GRID_BUCKETS for m in AREA_MODES for e in (0.5, 1.0, 2.0)]
 
@@ -1052,11 +1001,6 @@ def headline(spark, d):
     return headlines(spark, d, risk_r2(spark, d), risk_a6(spark, d))
 
 
-@register("headline_full", ORACLE_SQL["headline"].replace(ORACLE_SQL["risk_r2"], ORACLE_SQL["risk_r2_full"]).replace(ORACLE_SQL["risk_a6"], ORACLE_SQL["risk_a6_full"]))
-def headline_full(spark, d):
-    return headlines(spark, d, risk_r2_full(spark, d), risk_a6_full(spark, d))
-
-
 def headlines(spark, d, r2, a6):
     """One row of the seven headline figures, those of membership at epsilon 1; a
     figure without a source is null."""

@@ -3,18 +3,15 @@ grouping, connected components, and byte-level text kernels on Arrow buffers."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veilframe.storage import cut, new_path, shared_dir  # noqa: F401
+
 #: Edges that one union-find task may take; larger graphs are contracted first.
 UNION_FIND_EDGES = 1 << 18
-#: With this setting, a query's shuffle files go when it ends, not some time later.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Ways in which a key's rows are dealt out before they are grouped.
 SALTS = 16
 
@@ -22,38 +19,6 @@ SALTS = 16
 # ---------------------------------------------------------------- storage
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir).
-
-    Where the setting is absent, a temporary folder is set in local mode, as in
-    tests; on a cluster, whose executors would not share it, that is an error.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("spark.checkpoint.dir is unset: name a folder that driver and executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="veilframe-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/veilframe/{name}-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame, name: str = "cut") -> DataFrame:
-    """Write `df` to the shared folder and read it back: lineage ends there, so a
-    lost executor costs a re-read and not a recomputation."""
-    path, conf = new_path(df.sparkSession, name), df.sparkSession.conf
-    before = conf.get(CLEANUP, "false")
-    conf.set(CLEANUP, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        conf.set(CLEANUP, before)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def remove(df: DataFrame) -> None:
     """Delete the files of a `cut` that nothing will read again."""
     spark = df.sparkSession

@@ -92,14 +92,14 @@ def area_tokens(counts: DataFrame, place: str, minimum: int, salt: str = SALT) -
     return numbered.select("value", F.format_string("A%04d", F.col("run__one")).alias("token"))
 
 
-def build_area(df: DataFrame, roles: Roles, mode: str, minimum: int, salt: str = SALT, counts: DataFrame | None = None) -> DataFrame:
+def build_area(df: DataFrame, roles: Roles, mode: str, minimum: int, salt: str = SALT, tokens: DataFrame | None = None) -> DataFrame:
     """place -> area: a token, or <region>_OTHER where it has few subscribers. A null
     place has a null area; a null region reads UNKNOWN. In province mode the region."""
     region = F.coalesce(F.col(roles.region).cast("string"), F.lit("UNKNOWN"))
     if mode == "province":
         return df.withColumn("area", region).drop(roles.place)
-    counts = subscribers_by(df, [roles.place], roles.key) if counts is None else counts
-    tokens = area_tokens(counts, roles.place, minimum, salt)
+    if tokens is None:
+        tokens = area_tokens(subscribers_by(df, [roles.place], roles.key), roles.place, minimum, salt)
     joined = df.join(tokens, df[roles.place].cast("string") == tokens["value"], "left")
     area = F.when(F.col(roles.place).isNotNull(), F.coalesce("token", F.concat(region, F.lit("_" + OTHER))))
     return joined.withColumn("area", area).drop("value", "token", roles.place)
@@ -154,26 +154,50 @@ def top_code(df: DataFrame, columns: list[str], q: float, digits: int) -> DataFr
     return limited(df, find_limits(df, [], columns, q, q, q), digits)
 
 
+@dataclass(frozen=True)
+class Source:
+    """A usage log without its identifiers, written once, and what preparing needs to
+    know of it: the native gap in minutes, subscribers by place and category, tokens of
+    places, and limits of metrics. Releases that differ in bucket or area mode share it."""
+
+    rows: DataFrame
+    native: int
+    counts: DataFrame
+    tokens: DataFrame
+    limits: Limits
+    qualities: list[str]
+    volumes: list[str]
+
+
+def read_source(df: DataFrame, roles: Roles, config: ReleaseConfig) -> Source:
+    """One read of `df`; the statistics are read from what it wrote."""
+    qualities, volumes = roles.qualities(df), roles.volumes(df)
+    rows = cut(drop_identifiers(df, roles), "base")
+    native = native_gap(rows, roles.time).first()["minutes"]
+    counts = cut(subscribers_by(rows, [roles.place, *roles.categories], roles.key), "counts")
+    tokens = cut(area_tokens(counts, roles.place, config.min_subscribers_area, config.salt), "tokens")
+    limits = find_limits(rows, qualities, volumes, *config.winsorise, config.top_code)
+    return Source(rows, native, counts, tokens, limits, qualities, volumes)
+
+
 def prepare(df: DataFrame, roles: Roles, config: ReleaseConfig) -> DataFrame:
     """All six transforms in order. The bucket is not made finer than the data's own.
 
     The source is read once: it is written without its identifiers, and statistics are
     read from there. The result is a written table too, for all releases of it."""
-    return prepare_logged(df, roles, config)[0]
+    return prepare_from(read_source(df, roles, config), roles, config)[0]
 
 
-def prepare_logged(df: DataFrame, roles: Roles, config: ReleaseConfig) -> tuple[DataFrame, DataFrame]:
-    """`prepare`, and (field, action, rows_affected): what it changed. The counts are
-    observed while the prepared table is written, so that the log costs no job."""
-    spark, qualities, volumes = df.sparkSession, roles.qualities(df), roles.volumes(df)
-    base = cut(drop_identifiers(df, roles), "base")
-    minutes = effective_bucket(base, roles.time, config.bucket_minutes).first()["effective"]
-    counts = cut(subscribers_by(base, [roles.place, *roles.categories], roles.key), "counts")
-    limits = find_limits(base, qualities, volumes, *config.winsorise, config.top_code)
+def prepare_from(source: Source, roles: Roles, config: ReleaseConfig) -> tuple[DataFrame, DataFrame]:
+    """`prepare` of a source that has been read, and (field, action, rows_affected): what
+    it changed. The counts are observed while the prepared table is written, so that the
+    log costs no job. `config` may differ from the source's in bucket and area mode."""
+    minutes = source.native if config.bucket_minutes is None else max(config.bucket_minutes, source.native)
+    limits = source.limits
     placed = (
-        base.transform(bucket_time, roles, minutes)
-        .transform(build_area, roles, config.area_mode, config.min_subscribers_area, config.salt, counts)
-        .transform(fold_rare, roles, config.min_subscribers_category, counts)
+        source.rows.transform(bucket_time, roles, minutes)
+        .transform(build_area, roles, config.area_mode, config.min_subscribers_area, config.salt, source.tokens)
+        .transform(fold_rare, roles, config.min_subscribers_category, source.counts)
     )
     seen = Observation()
     named = {"area": F.col("area").endswith("_" + OTHER)} | {c: F.col(c) == OTHER for c in roles.categories} | {c: outside(c, limits) for c in limits}
@@ -181,5 +205,5 @@ def prepare_logged(df: DataFrame, roles: Roles, config: ReleaseConfig) -> tuple[
     prepared = cut(limited(watched, limits, config.digits), "prepared")
     n = seen.get
     entries = [(roles.subscriber, "dropped", n["rows"]), (roles.time, "floored", n["rows"]), (roles.place, "folded", n["n_area"])]
-    entries += [(c, "folded", n[f"n_{c}"]) for c in roles.categories] + [(c, "winsorised", n[f"n_{c}"]) for c in qualities] + [(c, "top-coded", n[f"n_{c}"]) for c in volumes]
-    return prepared, spark.createDataFrame(entries, "field string, action string, rows_affected long")
+    entries += [(c, "folded", n[f"n_{c}"]) for c in roles.categories] + [(c, "winsorised", n[f"n_{c}"]) for c in source.qualities] + [(c, "top-coded", n[f"n_{c}"]) for c in source.volumes]
+    return prepared, prepared.sparkSession.createDataFrame(entries, "field string, action string, rows_affected long")

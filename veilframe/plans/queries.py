@@ -518,8 +518,7 @@ def log_sql() -> str:
 
 @register("anon_log", f"WITH {prepared(CELLS)} {log_sql()}")
 def anon_log(spark, d):
-    raw = usage(spark, d)
-    return transforms.prepare_logged(raw, ROLES, CELLS)[1]
+    return transforms.prepare_from(transforms.read_source(usage(spark, d), ROLES, CELLS), ROLES, CELLS)[1]
 
 
 @register("sink_treatment", f"WITH {prepared(CELLS)}, l AS ({log_sql()}) SELECT field, array_to_string(list_sort(list_distinct(list(action))), '; ') AS treatment FROM l GROUP BY field")
@@ -572,11 +571,12 @@ SELECT {k} AS k, sum(r)::BIGINT AS rows_in, sum(x)::BIGINT AS rows_escalated, co
 
 @register("anon_sweep_grid", record_grid_sql())
 def anon_sweep_grid(spark, d):
-    """Record sweep of the whole grid: bucket x area mode x k, each with its own preparation."""
-    sweeps = []
+    """Record sweep of the whole grid: bucket x area mode x k, each with its own
+    preparation from one source."""
+    sweeps, source = [], transforms.read_source(usage(spark, d), ROLES, RECORDS)
     for bucket in BUCKETS:
         for mode in AREA_MODES:
-            swept = release.record_sweep(prep(spark, d, records_of(bucket, mode)), ROLES, list(KS))
+            swept = release.record_sweep(transforms.prepare_from(source, ROLES, records_of(bucket, mode))[0], ROLES, list(KS))
             sweeps.append(swept.select(F.lit(str(bucket or "native")).alias("time_bucket_days"), F.lit(mode).alias("area_mode"), *swept.columns))
     return reduce(DataFrame.unionByName, sweeps)
 
@@ -972,13 +972,13 @@ GRID = [(k, b, m, e) for k in KS for b in GRID_BUCKETS for m in AREA_MODES for e
 def trd_grid(spark, d):
     """k x bucket x area mode x epsilon. Record figures come from a release for each k,
     bucket and area mode, cell figures from one for each bucket and epsilon: cells have
-    neither an area nor k records."""
-    parts = []
+    neither an area nor k records. All are prepared from one source."""
+    parts, source = [], transforms.read_source(usage(spark, d), ROLES, CELLS)
     for bucket in GRID_BUCKETS:
         config = replace(CELLS, bucket_minutes=bucket * B.DAY)
-        cells = release.aggregate_sweep(prep(spark, d, config), ROLES, config, [0.5, 1.0, 2.0], 39).select("epsilon", "cells_out", "median_error")
+        cells = release.aggregate_sweep(transforms.prepare_from(source, ROLES, config)[0], ROLES, config, [0.5, 1.0, 2.0], 39).select("epsilon", "cells_out", "median_error")
         for mode in AREA_MODES:
-            swept = release.record_sweep(prep(spark, d, records_of(bucket, mode)), ROLES, list(KS))
+            swept = release.record_sweep(transforms.prepare_from(source, ROLES, records_of(bucket, mode))[0], ROLES, list(KS))
             swept = swept.select("k", F.lit(bucket).alias("time_bucket_days"), F.lit(mode).alias("area_mode"), F.col("pct_suppressed").alias("record_pct_suppressed"))
             parts.append(swept.crossJoin(F.broadcast(cells)))
     return reduce(DataFrame.union, parts)

@@ -37,6 +37,7 @@ def usage(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_returnflag").alias("radio_access_type"), F.col("o_orderpriority").alias("application_category"),
         F.col("l_quantity").cast("double").alias("tp_dl_avg"), F.col("l_tax").cast("double").alias("cont_rtt_radio_avg"), F.col("l_discount").cast("double").alias("http_sr_avg"),
         F.col("l_extendedprice").cast("double").alias("data_GB_sum"), F.col("l_discount").cast("double").alias("tethering_data_GB_dl_sum"),
+        F.rint(F.col("l_extendedprice").cast("double") * F.col("l_tax").cast("double")).alias("im_video_GB_sum"),
     )
 
 
@@ -51,12 +52,13 @@ USAGE = """u AS (
   SELECT o_custkey::VARCHAR AS msisdn, o_custkey::VARCHAR || '-' || o_orderstatus AS imsi, lpad(l_suppkey::VARCHAR, 8, '0') || o_custkey::VARCHAR AS imei,
          lpad(l_suppkey::VARCHAR, 8, '0') AS tac, o_orderdate AS time_start, epoch(o_orderdate)::BIGINT AS ts, l_partkey::VARCHAR AS enb, n_name AS nation, r_name AS province,
          l_returnflag AS radio_access_type, o_orderpriority AS application_category, l_quantity::DOUBLE AS tp_dl_avg, l_tax::DOUBLE AS cont_rtt_radio_avg,
-         l_discount::DOUBLE AS http_sr_avg, l_extendedprice::DOUBLE AS data_GB_sum, l_discount::DOUBLE AS tethering_data_GB_dl_sum
+         l_discount::DOUBLE AS http_sr_avg, l_extendedprice::DOUBLE AS data_GB_sum, l_discount::DOUBLE AS tethering_data_GB_dl_sum,
+         round_even(l_extendedprice::DOUBLE * l_tax::DOUBLE, 0) AS im_video_GB_sum
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
   JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"""
 
 METRICS = ("tp_dl_avg", "cont_rtt_radio_avg", "http_sr_avg")
-VOLUMES = ("data_GB_sum", "tethering_data_GB_dl_sum")
+VOLUMES = ("data_GB_sum", "tethering_data_GB_dl_sum", "im_video_GB_sum")
 CELL = "time_bucket, province, radio_access_type, application_category"
 QUASI = "time_bucket, area, radio_access_type, application_category"
 

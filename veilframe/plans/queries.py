@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 
 from veilframe.functions import numeric as N
 from veilframe.functions.keyed import hmac_sha256
-from veilframe.operators import guard, ordered, profile, query, relational, release, risk, transforms, utility, verdict
+from veilframe.operators import guard, ordered, profile, query, relational, release, risk, tradeoff, transforms, utility, verdict
 from veilframe.plans import bindings as B
 from veilframe.plans.bindings import CELL, CELL_KEY, CELLS, METRICS, NOISED, QUASI, RECORDS, ROLES, USAGE, VOLUMES, cell_sql, epochs, noise, noisy, pct, prepared, r6, read, sig, suppressed, usage
-from veilframe.storage import cut
+from veilframe.storage import cut, new_path
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -103,7 +103,7 @@ def proj_time_bucket(spark, d):
     return epochs(transforms.bucket_time(read(spark, d, "events").withColumnRenamed("ts", "time_start"), ROLES, 360)).select("event_id", "time_bucket", "event_type")
 
 
-@register("proj_role_regex", "SELECT * FROM (VALUES ('quality', 'tp_dl_avg'), ('quality', 'cont_rtt_radio_avg'), ('quality', 'http_sr_avg'), ('volume', 'data_GB_sum'), ('volume', 'tethering_data_GB_dl_sum')) t(role, name)")
+@register("proj_role_regex", "SELECT * FROM (VALUES ('quality', 'tp_dl_avg'), ('quality', 'cont_rtt_radio_avg'), ('quality', 'http_sr_avg'), ('volume', 'data_GB_sum'), ('volume', 'tethering_data_GB_dl_sum'), ('volume', 'im_video_GB_sum')) t(role, name)")
 def proj_role_regex(spark, d):
     df = usage(spark, d)
     return spark.createDataFrame([("quality", c) for c in ROLES.qualities(df)] + [("volume", c) for c in ROLES.volumes(df)], "role string, name string")
@@ -609,9 +609,9 @@ def risk_r1(spark, d):
     return reduce(DataFrame.unionByName, [risk.row_uniqueness(df, list(c), "msisdn").withColumn("qi", F.lit(n)) for n, c in R1_SETS.items()])
 
 
-def trajectory_sql(base: str, pairs: str, sample: int) -> str:
+def trajectory_sql(base: str, pairs: str, sample: int, lengths=(1, 2, 3, 4)) -> str:
     parts, rows = [], []
-    for p in (1, 2, 3, 4):
+    for p in lengths:
         parts.append(f"""e{p} AS (SELECT sub FROM x GROUP BY sub HAVING count(*) >= {p}), t{p} AS (SELECT sub AS target FROM e{p} ORDER BY md5('42|{p}|' || sub), sub LIMIT {sample}),
 k{p} AS (SELECT target, point FROM (SELECT target, point, row_number() OVER (PARTITION BY target ORDER BY md5('42|{p}|' || target || '|' || point), point) AS r FROM t{p} JOIN x ON sub = target) WHERE r <= {p}),
 h{p} AS (SELECT target, point, sub FROM k{p} JOIN x USING (point)), f{p} AS (SELECT target, count(*) AS allp FROM (SELECT target, sub FROM h{p} GROUP BY ALL HAVING count(*) = {p}) GROUP BY 1),
@@ -656,7 +656,7 @@ def risk_a2(spark, d):
     return risk.trajectories(keyed_record(spark, d), "_subscriber", [F.col("area"), F.unix_timestamp("time_bucket")])
 
 
-@register("risk_a3", f"""WITH {NATION}, th AS (SELECT quantile_cont(data_GB_sum, 0.95) AS t FROM u), l AS (SELECT _subscriber, {QUASI}, 'tethering' AS attribute, tethering_data_GB_dl_sum > 0 AS flag FROM rec UNION ALL SELECT _subscriber, {QUASI}, 'video', cont_rtt_radio_avg > 0 FROM rec UNION ALL SELECT _subscriber, {QUASI}, 'heavy_user', data_GB_sum > t FROM rec, th),
+@register("risk_a3", f"""WITH {NATION}, th AS (SELECT quantile_cont(data_GB_sum, 0.95) AS t FROM u), l AS (SELECT _subscriber, {QUASI}, 'tethering' AS attribute, tethering_data_GB_dl_sum > 0 AS flag FROM rec UNION ALL SELECT _subscriber, {QUASI}, 'video', im_video_GB_sum > 0 FROM rec UNION ALL SELECT _subscriber, {QUASI}, 'heavy_user', data_GB_sum > t FROM rec, th),
 gg AS (SELECT attribute, {QUASI}, count(DISTINCT _subscriber) AS s, count(DISTINCT flag) AS l, bool_or(flag) AS top FROM l GROUP BY ALL),
 ex AS (SELECT attribute, count(DISTINCT _subscriber) AS x FROM l JOIN (SELECT * FROM gg WHERE l.l <= 1 AND top) b USING (attribute, {QUASI}) GROUP BY 1),
 ww AS (SELECT attribute, count(DISTINCT _subscriber) AS people, {r6('avg(flag::INT)')} AS share_true FROM l GROUP BY 1)
@@ -666,7 +666,7 @@ FROM gg JOIN ww USING (attribute) LEFT JOIN ex USING (attribute) GROUP BY attrib
 def risk_a3(spark, d):
     t = risk.raw_quantile(usage(spark, d), "data_GB_sum", 0.95)
     record = keyed_record(spark, d).crossJoin(F.broadcast(t))
-    return risk.a3_homogeneity(record, ROLES, {"tethering": F.col("tethering_data_GB_dl_sum") > 0, "video": F.col("cont_rtt_radio_avg") > 0, "heavy_user": F.col("data_GB_sum") > F.col("threshold")})
+    return risk.a3_homogeneity(record, ROLES, {"tethering": F.col("tethering_data_GB_dl_sum") > 0, "video": F.col("im_video_GB_sum") > 0, "heavy_user": F.col("data_GB_sum") > F.col("threshold")})
 
 
 @register("risk_a4_caps", f"WITH {NATION} " + " UNION ALL ".join(f"SELECT '{c}' AS metric, {r6(f'max({c})')} AS cap, {pct(f'count(*) FILTER ({c} >= (SELECT max({c}) FROM rec))', 'count(*)')} AS pct_rows_at_cap FROM rec" for c in VOLUMES))
@@ -698,10 +698,10 @@ def risk_a5(spark, d):
     return risk.a5_grid(prep(spark, d), ROLES, 10, 39, list(EPSILONS))
 
 
-def a6_sql(targets: int, trials: int) -> str:
-    return f"""WITH {prepared(CELLS)}, t0 AS (SELECT {CELL}, count(DISTINCT _subscriber) AS true_count FROM p GROUP BY ALL), tg AS (SELECT _subscriber FROM (SELECT DISTINCT _subscriber FROM p) ORDER BY md5('42|a6|' || _subscriber), _subscriber LIMIT {targets}),
+def a6_sql(targets: int, trials: int, config=CELLS, steps: str = STEPS) -> str:
+    return f"""WITH {prepared(config)}, t0 AS (SELECT {CELL}, count(DISTINCT _subscriber) AS true_count FROM p GROUP BY ALL), tg AS (SELECT _subscriber FROM (SELECT DISTINCT _subscriber FROM p) ORDER BY md5('42|a6|' || _subscriber), _subscriber LIMIT {targets}),
 mine AS (SELECT DISTINCT _subscriber AS target, {CELL_KEY} AS cell, true_count FROM p JOIN tg USING (_subscriber) JOIN t0 USING ({CELL})),
-gm AS (SELECT mine.*, trial, epsilon, scale, (('0x' || substr(md5('42|m|' || target || '|' || trial), 1, 8))::BIGINT + 0.5) / 4294967296.0 - 0.5 < 0 AS member, coalesce({noise("('n|' || target || '|' || trial || '|' || cell)", 'scale')}, 0.0) AS z FROM mine, range(1, {trials + 1}) r(trial), {STEPS}),
+gm AS (SELECT mine.*, trial, epsilon, scale, (('0x' || substr(md5('42|m|' || target || '|' || trial), 1, 8))::BIGINT + 0.5) / 4294967296.0 - 0.5 < 0 AS member, coalesce({noise("('n|' || target || '|' || trial || '|' || cell)", 'scale')}, 0.0) AS z FROM mine, range(1, {trials + 1}) r(trial), {steps}),
 sn AS (SELECT epsilon, scale, target, trial, member, sum(abs(CASE WHEN member THEN z ELSE z - 1 END)) AS i, sum(abs(CASE WHEN member THEN z + 1 ELSE z END)) AS o FROM gm GROUP BY ALL),
 ac AS (SELECT epsilon, scale, count(*) FILTER ((round_even((i - o) * 1e6, 0) <= 0) = member) * 100.0 / count(*) AS a FROM sn GROUP BY ALL)
 SELECT epsilon, {r6('scale')} AS noise_scale, {r6('a')} AS accuracy_pct, {r6('(2 * a - 100.0)')} AS advantage_pct, {r6('coalesce(100.0 * exp(39 / scale) / (1.0 + exp(39 / scale)), 100.0)')} AS bound_pct FROM ac"""
@@ -964,29 +964,71 @@ def risk_threshold(spark, d):
     return verdict.releasable(risk_a6(spark, d).select("epsilon", F.col("accuracy_pct").alias("a6_accuracy_pct")))
 
 
-GRID_BUCKETS = (91, 364)
-GRID = [(k, b, m, e) for k in KS for b in GRID_BUCKETS for m in AREA_MODES for e in (0.5, 1.0, 2.0)]
+GRID = tradeoff.Grid(KS, (91 * B.DAY, 364 * B.DAY), AREA_MODES, (0.5, 1.0, 2.0))
+POINT = tradeoff.Grid((10,), (364 * B.DAY,), ("province",), (1.0,))
 
 
-@register("trd_grid")
+def record_point_sql(k: int, bucket: int, mode: str) -> str:
+    """A1, A2, A3 and suppression of one record release of the grid."""
+    area = "area" if mode == "enb_tokenised" else "coalesce(province, 'UNKNOWN')"
+    ctes = f"""{prepared(replace(CELLS, bucket_minutes=bucket))}, q AS (SELECT * REPLACE ({area} AS area) FROM p), g1 AS (SELECT {QUASI}, count(DISTINCT _subscriber) AS n FROM q GROUP BY ALL),
+p1 AS (SELECT q.* EXCLUDE (area), CASE WHEN g1.n < {k} THEN province ELSE area END AS area FROM q JOIN g1 USING ({QUASI})), g2 AS (SELECT {QUASI}, count(DISTINCT _subscriber) AS n FROM p1 GROUP BY ALL),
+m AS (SELECT p1.*, g2.n < {k} AS sup FROM p1 JOIN g2 USING ({QUASI})), rec AS (SELECT * FROM m WHERE NOT sup)"""
+    linked = trajectory_sql(ctes, "_subscriber AS sub, area || '|' || time_bucket AS point FROM rec", 1000, (4,))
+    flags = " UNION ALL ".join(f"SELECT '{n}' AS attribute, _subscriber, {QUASI}, {c} AS flag FROM rec{more}" for n, c, more in (("tethering", "tethering_data_GB_dl_sum > 0", ""), ("video", "im_video_GB_sum > 0", ""), ("heavy_user", "data_GB_sum > t", ", th")))
+    return f"""SELECT {k} AS k, {bucket} AS bucket_minutes, '{mode}' AS area_mode, (SELECT pct_unique FROM ({linked})) AS a2_linkage_risk_pct, * FROM (WITH {ctes},
+gr AS (SELECT {QUASI}, count(*) AS r FROM rec GROUP BY ALL), th AS (SELECT quantile_cont(data_GB_sum, 0.95) AS t FROM u), fl AS ({flags}), alike AS (SELECT attribute, {QUASI} FROM fl GROUP BY ALL HAVING bool_and(flag)),
+shown AS (SELECT attribute, count(DISTINCT _subscriber) AS x FROM fl SEMI JOIN alike USING (attribute, {QUASI}) GROUP BY 1), a3 AS (SELECT attribute, {pct('coalesce(max(x), 0)', 'count(DISTINCT _subscriber)')} AS d FROM fl LEFT JOIN shown USING (attribute) GROUP BY 1)
+SELECT (SELECT {pct('count(*) FILTER (sup)', 'count(*)')} FROM m) AS record_pct_suppressed, (SELECT {pct('coalesce(sum(r) FILTER (r = 1), 0)', 'sum(r)')} FROM gr) AS a1_uniqueness_pct, (SELECT max(d) FROM a3) AS a3_homogeneity_pct)"""
+
+
+def cell_ctes(config) -> str:
+    """CTEs of a cell release with noise and of the same cells of the raw data: s, rel, rw, rc, j."""
+    count = noisy("n_subscribers", CELL_KEY, f"{39 / config.epsilon}")
+    raw = RAWC.replace(B.bucket(91 * 86400), B.bucket(config.bucket_minutes * 60))
+    return f"""{prepared(config)}, c0 AS ({cell_sql('p')}), c AS (SELECT * REPLACE ({count} AS n_subscribers), n_subscribers AS true_count FROM c0), s AS ({suppressed('c', 10)}), rel AS (SELECT * FROM s WHERE NOT pri AND NOT sec), {raw}, {REL}"""
+
+
+#: Figures of a cell release, over `cell_ctes`.
+CELL_FIGURES = {
+    "cells_in": "SELECT count(*) FROM s",
+    "cells_out": "SELECT count(*) FROM rel",
+    "pct_suppressed": f"SELECT {pct('count(*) FILTER (pri OR sec)', 'count(*)')} FROM s",
+    "median_error": f"SELECT {r6('median(abs(n_subscribers - true_count)::DOUBLE / true_count)')} FROM rel WHERE true_count > 0",
+    "coverage_pct": f"SELECT {pct('count(DISTINCT _subscriber) FILTER (ok)', 'count(DISTINCT _subscriber)')} FROM rw LEFT JOIN (SELECT DISTINCT {CELL}, true AS ok FROM rel) USING ({CELL})",
+    "u1_pct_within_5pct": f"SELECT {pct('count(*) FILTER (e <= 0.05)', 'count(e)')} FROM (SELECT CASE WHEN tp_dl_avg_median_raw <> 0 THEN round_even(abs(tp_dl_avg_median - tp_dl_avg_median_raw) / abs(tp_dl_avg_median_raw) * 1e12, 0) / 1e12 END AS e FROM j)",
+    "a5_differencing_pct": f"SELECT coalesce({pct('count(*) FILTER (h = 1 AND abs(est - truth) <= 2)', 'sum(h)')}, 0.0) FROM (SELECT count(*) FILTER (pri OR sec) AS h, sum(true_count) - coalesce(sum(n_subscribers) FILTER (NOT (pri OR sec)), 0) AS est, sum(true_count) FILTER (pri OR sec) AS truth FROM s GROUP BY time_bucket, province)",
+}
+
+
+def cell_point_sql(bucket: int, epsilon: float) -> str:
+    config = replace(NOISED, bucket_minutes=bucket, epsilon=epsilon)
+    game = a6_sql(200, 100, config, f"(VALUES ('{epsilon:g}', {39 / epsilon}::DOUBLE)) t(epsilon, scale)")
+    return f"""SELECT {bucket} AS bucket_minutes, x.*, accuracy_pct AS a6_accuracy_pct, bound_pct AS a6_bound_pct, epsilon FROM (WITH {cell_ctes(config)} SELECT {', '.join(f'({q}) AS {n}' for n, q in CELL_FIGURES.items())}) x, ({game})"""
+
+
+def sweep_sql(grid: tradeoff.Grid) -> str:
+    records = " UNION ALL ".join(record_point_sql(k, b, m) for b in grid.buckets for m in grid.modes for k in grid.ks)
+    cells = " UNION ALL ".join(cell_point_sql(b, e) for b in grid.buckets for e in grid.epsilons)
+    within = " AND ".join(f"coalesce({c} <= {top}, false)" for c, top in verdict.CEILINGS.items())
+    return f"SELECT *, {within} AS releasable FROM ({records}) JOIN ({cells}) USING (bucket_minutes)"
+
+
+def swept(spark, d, grid: tradeoff.Grid) -> DataFrame:
+    return tradeoff.sweep(usage(spark, d), ROLES, NOISED, grid, "tp_dl_avg", new_path(spark, "sweep"))
+
+
+@register("trd_grid", sweep_sql(GRID))
 def trd_grid(spark, d):
-    """k x bucket x area mode x epsilon. Record figures come from a release for each k,
-    bucket and area mode, cell figures from one for each bucket and epsilon: cells have
-    neither an area nor k records. All are prepared from one source."""
-    parts, source = [], transforms.read_source(usage(spark, d), ROLES, CELLS)
-    for bucket in GRID_BUCKETS:
-        config = replace(CELLS, bucket_minutes=bucket * B.DAY)
-        cells = release.aggregate_sweep(transforms.prepare_from(source, ROLES, config)[0], ROLES, config, [0.5, 1.0, 2.0], 39).select("epsilon", "cells_out", "median_error")
-        for mode in AREA_MODES:
-            swept = release.record_sweep(transforms.prepare_from(source, ROLES, records_of(bucket, mode))[0], ROLES, list(KS))
-            swept = swept.select("k", F.lit(bucket).alias("time_bucket_days"), F.lit(mode).alias("area_mode"), F.col("pct_suppressed").alias("record_pct_suppressed"))
-            parts.append(swept.crossJoin(F.broadcast(cells)))
-    return reduce(DataFrame.union, parts)
+    """k x bucket x area mode x epsilon, each with its utility and risks, from one source."""
+    return swept(spark, d, GRID)
 
 
-@register("trd_lookup")
+@register("trd_lookup", f"WITH g AS ({sweep_sql(POINT)}) " + " UNION ALL ".join(f"SELECT k, bucket_minutes, area_mode, epsilon, u1_pct_within_5pct, '{m}' AS metric, {m} AS value, {top}::DOUBLE AS ceiling, {m} <= {top} AS releasable FROM g" for m, top in verdict.CEILINGS.items()))
 def trd_lookup(spark, d):
-    return verdict.lookup(trd_grid(spark, d), k=10, time_bucket_days=364, area_mode="province", epsilon="1")
+    """Each risk of one point beside its ceiling. Only the parts of that point are measured."""
+    found = verdict.lookup(swept(spark, d, POINT), k=10, bucket_minutes=364 * B.DAY, area_mode="province", epsilon="1")
+    return verdict.releasable(found.select("k", "bucket_minutes", "area_mode", "epsilon", "u1_pct_within_5pct", *verdict.CEILINGS))
 
 
 @register("story_export", f"WITH {AGG} SELECT (SELECT count(*) FROM rel) AS n_cells, (SELECT {r6('median(n_subscribers)')} FROM rel) AS median_cell, (SELECT count(DISTINCT time_bucket) FROM rel) AS n_windows, (SELECT arg_max(radio_access_type, n) FROM (SELECT radio_access_type, sum(n_subscribers) AS n FROM rel GROUP BY 1)) AS largest_access")

@@ -7,10 +7,12 @@ a report by `guard.write_text`, which scans it first."""
 from __future__ import annotations
 
 from dataclasses import fields
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veilframe.functions.numeric import percent
 from veilframe.operators.transforms import ReleaseConfig
 from veilframe.operators.verdict import compliance
 
@@ -95,6 +97,45 @@ def compliance_report(config: ReleaseConfig, published: dict[str, object]) -> st
     return document("Compliance", [("Requirements", grid(["requirement", "measure", "figure"], compliance(config, published)))])
 
 
+#: What each attack measures (fixed values: the wording of the story).
+ATTACKS = {
+    "A1": ("Row uniqueness", "no_record_isolation"), "A2": ("Trajectory linkage", "no_linkage"), "A3": ("Attribute homogeneity", "no_inference"),
+    "A4": ("Outliers", "no_record_isolation"), "A5": ("Aggregate differencing", "no_inference"), "A6": ("Membership inference", "no_inference"),
+}
+
+
+def shares(cells: DataFrame, column: str, count: str = "n_subscribers") -> DataFrame:
+    """One row: the share of each value of `column` among the subscribers of cells, the
+    largest first and equal ones by value. Empty without cells."""
+    by = cells.groupBy(column).agg(F.sum(count).alias("n"))
+    whole = by.agg(F.sum("n").alias("all"))
+    each = by.crossJoin(F.broadcast(whole)).select(F.struct((-F.col("n")).alias("o"), F.col(column).cast("string").alias("value"), percent(F.col("n"), F.col("all")).alias("share")).alias("x"))
+    return each.agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: F.struct(x["value"].alias("value"), x["share"].alias("share"))).alias("shares"))
+
+
+def listed(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """One row: the rows of a small frame as an array of structs, in the order of `order`."""
+    rows = df.select(F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)], F.struct(*df.columns).alias("row")).alias("x"))
+    return rows.agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["row"]).alias(name))
+
+
+def attack_summaries(figures: dict[str, Column]) -> Column:
+    """An array of each attack's name, the criterion it speaks to, and its figure."""
+    return F.array(*[F.struct(F.lit(a).alias("id"), F.lit(name).alias("name"), F.lit(criterion).alias("criterion"), figures[a].alias("figure")) for a, (name, criterion) in ATTACKS.items()])
+
+
+def story(sections: dict[str, DataFrame]) -> DataFrame:
+    """One row (payload): a JSON object with one member for each section. A section is a
+    frame of at most one row: with one column its value, else an object; one without a
+    row is null. Figures that were not measured are null, and all members are there."""
+    rows = []
+    for name, df in sections.items():
+        value = F.col(df.columns[0]) if len(df.columns) == 1 else F.struct(*df.columns)
+        rows.append(df.agg(F.first(value).alias(name)))
+    one = reduce(lambda x, y: x.crossJoin(F.broadcast(y)), rows)
+    return one.select(F.to_json(F.struct(*sections), {"ignoreNullFields": "false"}).alias("payload"))
+
+
 def treatments(fields_of: DataFrame, applied: DataFrame, field: str = "field", treatment: str = "treatment") -> DataFrame:
     """`fields_of` with the treatments of `applied` (field, treatment) put in; fields that
     it does not name keep theirs. Other columns stay."""

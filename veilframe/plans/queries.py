@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from veilframe.functions import numeric as N
 from veilframe.functions.keyed import hmac_sha256
-from veilframe.operators import guard, ordered, profile, query, relational, release, risk, tradeoff, transforms, utility, verdict
+from veilframe.operators import guard, ordered, profile, query, relational, release, reports, risk, tradeoff, transforms, utility, verdict
 from veilframe.plans import bindings as B
 from veilframe.plans.bindings import CELL, CELL_KEY, CELLS, METRICS, NOISED, QUASI, RECORDS, ROLES, USAGE, VOLUMES, cell_sql, epochs, noise, noisy, pct, prepared, r6, read, sig, suppressed, usage
 from veilframe.storage import cut, new_path
@@ -752,11 +752,11 @@ def guard_scan_text(spark, d):
     return guard.scan_text(read(spark, d, "documents"), "doc_id", "text", known_tokens(spark, d))
 
 
-@register("guard_scan_table", f"""WITH {KNOWN}, v AS (SELECT DISTINCT 'url' AS location, url AS v FROM pages UNION SELECT DISTINCT 'html', html FROM pages), tk AS (SELECT location, unnest(regexp_extract_all(v, '[A-Za-z0-9]{{6,}}')) AS token FROM v),
+@register("guard_scan_table", f"""WITH {KNOWN}, v AS (SELECT DISTINCT 'source' AS location, source AS v FROM documents UNION SELECT DISTINCT 'text', text FROM documents), tk AS (SELECT location, unnest(regexp_extract_all(v, '[A-Za-z0-9]{{6,}}')) AS token FROM v),
 f AS (SELECT location, 'registered_id' AS kind, 1 AS c FROM tk WHERE token IN (SELECT token FROM kn) UNION ALL SELECT location, 'long_digit_run', len(regexp_extract_all(token, '[0-9]{{10,}}')) FROM tk WHERE token NOT IN (SELECT token FROM kn))
-SELECT 'pages' AS source, location, kind, sum(c)::BIGINT AS n FROM f WHERE c > 0 GROUP BY ALL""")
+SELECT 'documents' AS source, location, kind, sum(c)::BIGINT AS n FROM f WHERE c > 0 GROUP BY ALL""")
 def guard_scan_table(spark, d):
-    return guard.scan_table(read(spark, d, "pages").select("url", "html"), "pages", known_tokens(spark, d))
+    return guard.scan_table(read(spark, d, "documents").select("source", "text"), "documents", known_tokens(spark, d))
 
 
 PIECES = "list_transform(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9]+|[^A-Za-z0-9]+'), lambda x: CASE WHEN length(x) >= 6 AND coalesce(list_contains(kl, x), false) THEN '[REDACTED]' ELSE x END)"
@@ -1031,11 +1031,84 @@ def trd_lookup(spark, d):
     return verdict.releasable(found.select("k", "bucket_minutes", "area_mode", "epsilon", "u1_pct_within_5pct", *verdict.CEILINGS))
 
 
-@register("story_export", f"WITH {AGG} SELECT (SELECT count(*) FROM rel) AS n_cells, (SELECT {r6('median(n_subscribers)')} FROM rel) AS median_cell, (SELECT count(DISTINCT time_bucket) FROM rel) AS n_windows, (SELECT arg_max(radio_access_type, n) FROM (SELECT radio_access_type, sum(n_subscribers) AS n FROM rel GROUP BY 1)) AS largest_access")
+def by_share(column: str) -> str:
+    one = f"SELECT {column} AS value, sum(n_subscribers) AS n FROM rel GROUP BY 1"
+    return f"SELECT coalesce(list({{'value': value, 'share': {pct('n', '(SELECT sum(n_subscribers) FROM rel)')}}} ORDER BY n DESC, value), []) FROM ({one})"
+
+
+def story_sql() -> str:
+    """The whole payload, section by section, as `reports.story` writes it."""
+    of = lambda name, figure, where: f"(SELECT {figure} FROM ({ORACLE_SQL[name]}) WHERE {where})"
+    a6 = lambda figure: of("risk_a6", figure, "epsilon = '1'")
+    cover = lambda where: f"SELECT {pct('count(*) FILTER (ok)', 'count(*)')} FROM rw LEFT JOIN (SELECT DISTINCT {CELL}, true AS ok FROM rel) USING ({CELL}) WHERE {where}"
+    near = " UNION ALL ".join(f"SELECT '{m}' AS metric, CASE WHEN {m}_median_raw <> 0 THEN round_even(abs({m}_median - {m}_median_raw) / abs({m}_median_raw) * 1e12, 0) / 1e12 END AS e FROM j" for m in METRICS)
+    ranks = f"SELECT {r6('corr(x, y)')} FROM (SELECT rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1) / 2.0 AS x, rank() OVER (ORDER BY b) + (count(*) OVER (PARTITION BY b) - 1) / 2.0 AS y FROM (SELECT province, sum(tp_dl_avg_median * n_subscribers) / sum(n_subscribers) AS a, sum(tp_dl_avg_median_raw * n_subscribers_raw) / sum(n_subscribers_raw) AS b FROM j GROUP BY 1))"
+    low, raw_low = "tp_dl_avg_median <= qa", "tp_dl_avg_median_raw <= qb"
+    measured = {
+        "A1": f"(SELECT pct_rows_in_groups_of_1 FROM ({ORACLE_SQL['risk_a1']}))", "A2": of("risk_a2", "pct_unique", "p = 4"), "A3": of("risk_a3", "pct_subscribers_disclosed", "attribute = 'video'"),
+        "A4": f"(SELECT pct_rows_below_k FROM ({ORACLE_SQL['risk_a4']}))", "A5": f"({CELL_FIGURES['a5_differencing_pct']})", "A6": a6("accuracy_pct"),
+    }
+    attacks = ", ".join(f"{{'id': '{i}', 'name': '{n}', 'criterion': '{c}', 'figure': {measured[i]}}}" for i, (n, c) in reports.ATTACKS.items())
+    sections = {
+        "n_subscribers": "(SELECT count(DISTINCT msisdn) FROM u)", "n_rows": "(SELECT count(*) FROM u)",
+        "r2": f"(SELECT list({{'p': p, 'pct_unique': pct_unique}} ORDER BY p) FROM ({ORACLE_SQL['risk_r2']}))",
+        "settings": f"{{'bucket_minutes': {NOISED.bucket_minutes}, 'k': {NOISED.k}, 'epsilon': 1.0::DOUBLE, 'noise_scale': 39.0::DOUBLE}}",
+        "windows": "(SELECT coalesce(list(DISTINCT time_bucket ORDER BY time_bucket), []) FROM rel)",
+        "cells": f"(SELECT {{'cells_in': (SELECT count(*) FROM s), 'cells_out': count(*), 'median_subscribers': {r6('coalesce(median(n_subscribers), 0.0)')}, 'pct_suppressed': ({CELL_FIGURES['pct_suppressed']})}} FROM rel)",
+        "radio_shares": f"({by_share('radio_access_type')})", "province_shares": f"({by_share('province')})",
+        "coverage": f"(SELECT list({{'value': value, 'pct_rows': pct_rows}} ORDER BY value) FROM (SELECT radio_access_type AS value, {pct('count(*) FILTER (ok)', 'count(*)')} AS pct_rows FROM rw LEFT JOIN (SELECT DISTINCT {CELL}, true AS ok FROM rel) USING ({CELL}) GROUP BY 1))",
+        "pct_subscribers_covered": f"({CELL_FIGURES['coverage_pct']})",
+        "u1_by_metric": f"(SELECT coalesce(list({{'metric': metric, 'pct_within': w}} ORDER BY coalesce(w, -1) DESC, metric), []) FROM (SELECT metric, {pct('count(*) FILTER (e <= 0.05)', 'count(e)')} AS w FROM ({near}) GROUP BY 1))",
+        "u1_goal": "{'target_pct': 90.0::DOUBLE, 'tolerance_pct': 5.0::DOUBLE}",
+        "u3_bottom": f"(SELECT {{'shared': count(*) FILTER ({low} AND {raw_low}), 'union': count(*) FILTER ({low} OR {raw_low}), 'jaccard': {r6(f'count(*) FILTER ({low} AND {raw_low})::DOUBLE / nullif(count(*) FILTER ({low} OR {raw_low}), 0)')}, 'tie_at_min_raw': count(*) FILTER (tp_dl_avg_median_raw = mb)}} FROM j, (SELECT quantile_cont(tp_dl_avg_median, 0.1) AS qa, quantile_cont(tp_dl_avg_median_raw, 0.1) AS qb, min(tp_dl_avg_median_raw) AS mb FROM j))",
+        "u3_spearman": f"({ranks})",
+        "attacks": f"[{attacks}]",
+        "a6": f"{{'accuracy_pct': {a6('accuracy_pct')}, 'bound_pct': {a6('bound_pct')}}}",
+        "linkage_counterfactual": of("risk_a2", "pct_unique", "p = 4"),
+    }
+    return f"WITH {cell_ctes(NOISED)} SELECT to_json({{{', '.join(f"'{n}': {q}" for n, q in sections.items())}}})::VARCHAR AS payload"
+
+
+@register("story_export", story_sql())
 def story_export(spark, d):
-    pub = release.aggregate_release(prep(spark, d), ROLES, CELLS)
-    top = pub.groupBy("radio_access_type").agg(F.sum("n_subscribers").alias("n")).agg(F.max_by("radio_access_type", "n").alias("largest_access"))
-    return pub.agg(F.count(F.lit(1)).alias("n_cells"), N.report(F.median("n_subscribers")).alias("median_cell"), F.countDistinct("time_bucket").alias("n_windows")).crossJoin(F.broadcast(top))
+    """The story of the release with noise at epsilon 1, as one JSON object."""
+    source = transforms.read_source(usage(spark, d), ROLES, NOISED)
+    prepared_, raw = transforms.prepare_from(source, ROLES, NOISED)[0], transforms.bucket_time(source.rows, ROLES, NOISED.bucket_minutes)
+    marked = cut(release.marked_cells(prepared_, ROLES, NOISED), "marked")
+    pub = cut(release.publish_cells(marked, NOISED.digits), "published")
+    joined = cut(utility.join_published(pub, release.cells(raw, ROLES), ROLES), "joined")
+    record = cut(keyed_record(spark, d), "record")
+    heavy = risk.raw_quantile(source.rows, "data_GB_sum", 0.95).first()["threshold"]
+    linked = cut(risk.trajectories(record, ROLES.key, [F.col("area"), F.unix_timestamp("time_bucket")]).where("p = 4").select("pct_unique"), "linked")
+    covered = cut(utility.u2_coverage(raw, pub, ROLES), "covered")
+    member = cut(risk.a6_membership(prepared_, ROLES, 39, [1.0]).select("accuracy_pct", "bound_pct"), "member")
+    gone = risk.differencing(marked.withColumn("published", F.col("n_subscribers")), ROLES, 2)
+    attacks = tradeoff.side_by_side([
+        risk.a1_uniqueness(record, ROLES, 10).agg(F.max("pct_rows_in_groups_of_1").alias("a1")), linked.agg(F.max("pct_unique").alias("a2")),
+        risk.a3_homogeneity(record, ROLES, tradeoff.sensitive_flags(record, heavy)).where("attribute = 'video'").agg(F.max("pct_subscribers_disclosed").alias("a3")),
+        risk.a4_volume(record, source.rows, ROLES, "data_GB_sum", 10).agg(F.max("pct_rows_below_k").alias("a4")),
+        gone.select(F.when(F.col("suppressed_cells") > 0, N.percent(F.col("recovered"), F.col("suppressed_cells"))).otherwise(0.0).alias("a5")), member.agg(F.max("accuracy_pct").alias("a6")),
+    ])
+    bottom = utility.u3_bottom(joined, "tp_dl_avg", 0.1, 2.0)
+    u1 = utility.u1_accuracy(joined, list(METRICS)).where("statistic = 'median'").select("metric", F.col("pct_within"))
+    r2 = risk.trajectories(source.rows, ROLES.key, [F.col("enb"), F.unix_timestamp(F.date_trunc("hour", ROLES.time))]).select("p", "pct_unique")
+    stats = release.aggregate_statistics(marked)
+    return reports.story({
+        "n_subscribers": source.rows.agg(F.countDistinct(ROLES.key)), "n_rows": source.rows.agg(F.count(F.lit(1))),
+        "r2": reports.listed(r2, [F.col("p")], "r2"),
+        "settings": spark.createDataFrame([(NOISED.bucket_minutes, NOISED.k, NOISED.epsilon, 39.0 / NOISED.epsilon)], "bucket_minutes long, k int, epsilon double, noise_scale double"),
+        "windows": pub.agg(F.array_sort(F.collect_set(F.unix_timestamp("time_bucket")))),
+        "cells": stats.select("cells_in", "cells_out", F.col("median_count").alias("median_subscribers"), "pct_suppressed"),
+        "radio_shares": reports.shares(pub, "radio_access_type"), "province_shares": reports.shares(pub, "province"),
+        "coverage": reports.listed(covered.where("scope = 'radio_access_type'").select("value", "pct_rows"), [F.col("value")], "coverage"),
+        "pct_subscribers_covered": covered.where("scope = 'all'").select("pct_subscribers"),
+        "u1_by_metric": reports.listed(u1, [-F.coalesce("pct_within", F.lit(-1.0)), F.col("metric")], "u1_by_metric"),
+        "u1_goal": spark.createDataFrame([(utility.TARGET, 100 * utility.WITHIN)], "target_pct double, tolerance_pct double"),
+        "u3_bottom": bottom.select(F.col("both").alias("shared"), F.col("either").alias("union"), "jaccard", F.col("tie_raw").alias("tie_at_min_raw")),
+        "u3_spearman": utility.u3_ranks(joined, ROLES, ["tp_dl_avg"]).select("spearman"),
+        "attacks": attacks.select(reports.attack_summaries({k: F.col(k.lower()) for k in reports.ATTACKS}).alias("attacks")),
+        "a6": member, "linkage_counterfactual": linked,
+    })
 
 
 @register("headline", f"SELECT (SELECT pct_subscribers_with_unique_row FROM ({ORACLE_SQL['risk_r1']}) WHERE qi = 'D') AS baseline_unique_pct, (SELECT pct_unique FROM ({ORACLE_SQL['risk_r2']}) WHERE p = 4) AS baseline_4point_pct, (SELECT pct_subscribers FROM ({ORACLE_SQL['util_u2']}) WHERE scope = 'all') AS coverage_subscribers_pct, (SELECT pct_within FROM ({ORACLE_SQL['util_u1']}) WHERE metric = 'tp_dl_avg' AND statistic = 'median') AS u1_headline_pct, (SELECT pct_rows_in_groups_of_1 FROM ({ORACLE_SQL['risk_a1']})) AS a1_unique_rows_pct, (SELECT accuracy_pct FROM ({ORACLE_SQL['risk_a6']}) WHERE epsilon = '1') AS a6_accuracy_pct, (SELECT bound_pct FROM ({ORACLE_SQL['risk_a6']}) WHERE epsilon = '1') AS a6_bound_pct")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import zlib
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -15,9 +14,6 @@ from veilframe.llm.common import LOWER, blocks, cut, fold, mix, text_bytes, word
 #: Bytes of the longest context; symbols: 256 bytes and the end of a text.
 ORDER, END, SYMBOLS = 4, 256, 257
 SYMBOL_BITS = 9
-#: Most entries (contexts x symbols) of a Trie, and most n-grams of each length from
-#: which it is built. `score_documents` has no such bounds.
-TABLE, NODES = 1 << 23, 1 << 20
 #: Words whose counts are sent to every task; the others' are joined.
 COMMON = 1 << 17
 #: Parts into which counts are dealt.
@@ -55,203 +51,6 @@ def grams(seq: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return code
 
 
-def count_grams(docs: DataFrame) -> DataFrame:
-    """(part, codes, counts): packed n-grams of all documents, with counts, dealt by
-    their last three symbols, so that a part has all n-grams of a shorter end."""
-
-    def merge(total, codes, counts):
-        if total is None:
-            return codes, counts
-        every, code = np.concatenate([total[0], codes]), np.concatenate([total[1], counts])
-        keys, where = np.unique(every, return_inverse=True)
-        return keys, np.bincount(where, code, len(keys)).astype(np.int64)
-
-    def count(batches):
-        total, waiting, held = None, [], 0
-        for batch in batches:
-            data, offsets = text_bytes(batch.column(0))
-            for lo, hi in blocks(offsets, 1 << 21):
-                seq, starts = symbols(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-                waiting.append(np.unique(grams(seq, starts), return_counts=True))
-                held += len(waiting[-1][0])
-                if held > 2_000_000:
-                    total, waiting, held = merge(total, *map(np.concatenate, zip(*waiting, strict=True))), [], 0
-        if waiting:
-            total = merge(total, *map(np.concatenate, zip(*waiting, strict=True)))
-        if total is None:
-            return
-        codes, counts = merge((total[0][:0], total[1][:0]), *total)
-        part = (mix(codes & _MASKS[3]) % np.uint64(PARTS)).astype(np.int64)
-        for k in np.unique(part).tolist():
-            own = part == k
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zlib.compress(np.diff(codes[own], prepend=np.uint64(0)).tobytes(), 1)], pa.binary()), pa.array([zlib.compress(counts[own].tobytes(), 1)], pa.binary())], names=["part", "codes", "counts"])
-
-    def add(batches):
-        totals: dict[int, tuple] = {}
-        for batch in batches:
-            for k, codes, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                made = np.cumsum(np.frombuffer(zlib.decompress(codes), np.uint64)).astype(np.uint64), np.frombuffer(zlib.decompress(counts), np.int64)
-                totals[k] = merge(totals.get(k), *made)
-        for k, (codes, counts) in totals.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([codes.tobytes()], pa.binary()), pa.array([counts.tobytes()], pa.binary())], names=["part", "codes", "counts"])
-
-    kind = "part int, codes binary, counts binary"
-    return docs.mapInArrow(count, kind).repartition(PARTS, "part").mapInArrow(add, kind)
-
-
-def frequent_grams(counted: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each length 1 to ORDER + 1: codes and counts of the n-grams that occur so
-    often that at most NODES of a length can. Counts are of the whole corpus."""
-
-    def total(batches):
-        for batch in batches:
-            for counts in batch.column(2).to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array([int(np.frombuffer(counts, np.int64).sum())], pa.int64())], names=["n"])
-
-    everything = counted.mapInArrow(total, "n long").agg(F.sum("n")).first()[0] or 0
-    least = max(1, -(-everything // NODES))
-
-    def shorten(batches):
-        for batch in batches:
-            for raw, number in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                codes, counts = np.frombuffer(raw, np.uint64), np.frombuffer(number, np.int64)
-                for length in range(ORDER + 1, 0, -1):
-                    codes, where = np.unique(codes & _MASKS[length], return_inverse=True)
-                    counts = np.bincount(where, counts, len(codes)).astype(np.int64)
-                    often = counts >= least if length >= 3 else counts > 0  # shorter ones are summed over parts
-                    yield pa.RecordBatch.from_arrays([pa.array([length], pa.int32()), pa.array([codes[often].tobytes()], pa.binary()), pa.array([counts[often].tobytes()], pa.binary())], names=["length", "codes", "counts"])
-
-    found: list[list] = [[] for _ in range(ORDER + 2)]
-    made = counted.mapInArrow(shorten, "length int, codes binary, counts binary").toArrow()
-    for length, codes, counts in zip(*(c.to_pylist() for c in made.columns), strict=True):
-        found[length].append((np.frombuffer(codes, np.uint64), np.frombuffer(counts, np.int64)))
-    out = []
-    for length in range(1, ORDER + 2):
-        codes = np.concatenate([x[0] for x in found[length]]) if found[length] else np.zeros(0, np.uint64)
-        counts = np.concatenate([x[1] for x in found[length]]) if found[length] else np.zeros(0, np.int64)
-        keys, where = np.unique(codes, return_inverse=True)
-        counts = np.bincount(where, counts, len(keys)).astype(np.int64)
-        often = counts >= least
-        out.append((keys[often], counts[often]))
-    return out
-
-
-@dataclass
-class Trie:
-    """Contexts as rows. `follow[c, s]` is the row of context c with s appended, one
-    symbol longer, or 0; `cost[c, s]` is log10 P(s | c). Row 0 is the empty context."""
-
-    columns: np.ndarray  # of each symbol; the last column is for symbols never seen
-    follow: np.ndarray
-    cost: np.ndarray
-
-    def score(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """log10 probability of each document's bytes and its end, with static counts."""
-        seq, starts = symbols(data, offsets)
-        column = self.columns[seq]
-        n = len(seq) - ORDER
-        first = np.repeat(starts[:-1], np.diff(starts)) - ORDER
-        position = np.arange(n)
-        # rows[k][i]: the row of the k symbols before position i, 0 where unknown
-        context = np.zeros(n, np.int32)
-        width = self.follow.shape[1]
-        flat, end = self.follow.reshape(-1), int(self.columns[END])
-        row = np.zeros(n, np.int32)
-        for k in range(1, ORDER + 1):
-            back = column[ORDER - 1 : len(seq) - 1]  # the symbol just before
-            before = np.empty(n, np.int32)
-            before[1:], before[0] = row[:-1], 0
-            if k > 1:
-                begin = position == first
-                before[begin] = self.boundary[k - 1]
-            row = flat[before * width + back]
-            row[position == first] = flat[self.boundary[k - 1] * width + end]
-            if k > 1:
-                row[(before == 0)] = 0
-            np.copyto(context, row, where=row > 0)
-        value = self.cost.reshape(-1)[context.astype(np.int64) * width + column[ORDER:]]
-        return np.add.reduceat(value, starts[:-1] - ORDER, dtype=np.float64)
-
-    @property
-    def boundary(self) -> list[int]:
-        """Rows of 0, 1, ... ORDER ENDs in a row: the contexts at a text's start."""
-        rows, end = [0], int(self.columns[END])
-        for k in range(ORDER):
-            rows.append(int(self.follow[rows[-1], end]) if k == 0 or rows[-1] else 0)
-        return rows
-
-
-def build_trie(levels: list[tuple[np.ndarray, np.ndarray]]) -> Trie:
-    """Tables of the contexts with the most occurrences, at most TABLE entries.
-
-    P(s | c): if s was seen after c, n(s) / (N + d), N counts and d kinds of
-    symbols after c. Otherwise an escape, d / (N + d), to the context without its
-    first symbol, where the symbols seen after c are excluded from all counts. From
-    the empty context, escapes reach a uniform choice among symbols not yet seen.
-    """
-    seen = (levels[0][0] & _MASKS[1]).astype(np.int64)
-    kinds = np.unique(np.append(seen, END))
-    columns = np.full(SYMBOLS, len(kinds), np.int32)
-    columns[kinds] = np.arange(len(kinds))
-    width = len(kinds) + 1
-    room = max(1, TABLE // width - 1)
-    # contexts: n-grams of length 1..ORDER that have a successor in the next level
-    rows: list[np.ndarray] = [np.zeros(1, np.uint64)]
-    weight: list[np.ndarray] = [np.array([np.iinfo(np.int64).max])]
-    for k in range(1, ORDER + 1):
-        codes, counts = levels[k]
-        heads, where = np.unique(codes >> np.uint64(SYMBOL_BITS), return_inverse=True)
-        rows.append(heads)
-        weight.append(np.bincount(where, counts, len(heads)).astype(np.int64))
-    every = np.sort(np.concatenate(weight))
-    if len(every) > room:  # the least used contexts go, and with them longer ones
-        low = every[len(every) - room]
-        rows = [r[w > low] for r, w in zip(rows, weight, strict=True)]
-    for k in range(2, ORDER + 1):  # a context's own end and beginning must be rows too
-        rows[k] = rows[k][np.isin(rows[k] & _MASKS[k - 1], rows[k - 1]) & np.isin(rows[k] >> np.uint64(SYMBOL_BITS), rows[k - 1])]
-    base = np.concatenate([[0], np.cumsum([len(r) for r in rows])])
-    total = int(base[-1])
-    follow = np.zeros((total, width), np.int32)
-    cost = np.zeros((total, width), np.float32)
-    unseen = SYMBOLS - len(kinds)
-    for k in range(ORDER + 1):
-        n = np.zeros((len(rows[k]), width), np.float32)
-        codes, counts = levels[k]
-        heads = codes >> np.uint64(SYMBOL_BITS) if k else np.zeros(len(codes), np.uint64)
-        if len(rows[k]):
-            at = np.minimum(np.searchsorted(rows[k], heads), len(rows[k]) - 1)
-            ok = rows[k][at] == heads
-            n[at[ok], columns[(codes[ok] & _MASKS[1]).astype(np.int64)]] = counts[ok]
-        if k < ORDER and len(rows[k]) and len(rows[k + 1]):
-            head, last = rows[k + 1] >> np.uint64(SYMBOL_BITS), columns[(rows[k + 1] & _MASKS[1]).astype(np.int64)]
-            at = np.minimum(np.searchsorted(rows[k], head if k else np.zeros(len(head), np.uint64)), len(rows[k]) - 1)
-            ok = rows[k][at] == (head if k else 0)
-            follow[base[k] + at[ok], last[ok]] = (base[k + 1] + np.flatnonzero(ok)).astype(np.int32)
-        mine = n > 0
-        kinds_after, sum_after = mine.sum(1, keepdims=True, dtype=np.float32), n.sum(1, keepdims=True, dtype=np.float64).astype(np.float32)
-        if k == 0:
-            free = ~mine[0]
-            places = free[:-1].sum() + unseen  # symbols never seen share the last column
-            escaped = np.where(free, 1 / max(places, 1), 0.0).astype(np.float32)[None]
-        else:
-            shorter = np.searchsorted(rows[k - 1], rows[k] & _MASKS[k - 1]) if k > 1 else np.zeros(len(rows[k]), np.int64)
-            lower = np.where(mine, np.float32(0), counts_below[shorter])
-            q, r = (lower > 0).sum(1, keepdims=True, dtype=np.float32), lower.sum(1, keepdims=True)
-            # what the shorter context gives to symbols that it never saw, too
-            below = np.where(lower > 0, lower / np.maximum(r + q, 1), np.where(q > 0, q / np.maximum(r + q, 1), np.float32(1)) * escapes_below[shorter])
-            escaped = np.where(mine, np.float32(0), below)
-        p = np.where(mine, n / np.maximum(sum_after + kinds_after, 1), np.where(kinds_after > 0, kinds_after / np.maximum(sum_after + kinds_after, 1), np.float32(1)) * escaped)
-        if k == 0 and unseen == 0 and len(kinds) == SYMBOLS and mine[0][:-1].all():
-            p = np.where(mine, n / np.maximum(sum_after, 1), 1e-12)
-        with np.errstate(divide="ignore"):
-            cost[base[k] : base[k + 1]] = np.maximum(np.log10(np.maximum(p, 1e-30)), -30)
-        counts_below, escapes_below = n, escaped
-    return Trie(columns, follow, cost)
-
-
-# ---------------------------------------------------------------- whole model
-
-
 def few_rows(df: DataFrame, name: str) -> DataFrame:
     """`cut`, with so few rows in an Arrow batch that rows may be large."""
     conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"

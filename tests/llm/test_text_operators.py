@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from veilframe.llm import langid_ecoc, mixing, ngram_join, packing, quality_knn, quality_rules
 from veilframe.llm.common import components
@@ -475,3 +476,8 @@ def test_quality_classifier(spark):
     assert {r.doc_id for r in quality_knn.keep_good(df, labels).collect()} == {k for k, r in got.items() if r.predicted}
     assert quality_knn.classify(empty(spark), labels).collect() == []
     assert {r.score for r in quality_knn.classify(df, labels.limit(0)).collect()} == {1.0}
+
+
+def test_every_trusted_document_counts(spark):
+    labels = spark.range(5000).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"))
+    assert quality_rules.trusted_documents(labels, labels.where("doc_id < 4500").select("doc_id")).count() == 4500

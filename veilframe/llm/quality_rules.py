@@ -6,12 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilframe.llm.common import cut
+from veilframe.operators.ordered import column_quantiles
 
 #: Hash buckets of the one-word and of the two-word features.
 BUCKETS = 1 << 13  # a power of two: a bucket is the low bits of a hash
-#: Most trusted documents. Half of them, by a hash of the id, make the target
-#: multinomial; the other half's ratios set the threshold.
-TRUSTED = 4096
 #: The threshold lies below the other half's median by so many times the distance to
 #: its low quantile.
 LOW, TIMES = 0.01, 1.5
@@ -78,12 +76,11 @@ def ratio_weights(docs: DataFrame, trusted: DataFrame, ident: str, text: str) ->
     """One row (weights, learned): log(p_target / p_raw) by bucket, both with one added,
     and whether the target has any words.
 
-    Raw counts come from every document, target counts from the trusted ones.
-    `trusted` (doc_id) has at most TRUSTED rows and is broadcast.
+    Raw counts come from every document, target counts from all of `trusted` (doc_id).
     """
-    marks = F.broadcast(trusted.select(F.col("doc_id").alias("_t")).distinct())
-    words = docs.select(F.col(ident).alias("doc_id"), word_array(F.coalesce(F.col(text), F.lit(""))).alias("words"))
-    words = words.join(marks, F.col("doc_id") == F.col("_t"), "left")
+    marks = trusted.select(F.col("doc_id").alias("_t")).distinct()
+    marked = docs.select(F.col(ident).alias("doc_id"), F.col(text).alias("_text")).join(marks, F.col("doc_id") == F.col("_t"), "left")
+    words = marked.select("_t", word_array(F.coalesce("_text", F.lit(""))).alias("words"))
     every_slot = F.concat(F.transform("words", _word_slot), F.transform("words", lambda word, i: _pair_slot(F.col("words"), word, i)))
     slots = words.select(F.col("_t").isNotNull().cast("long").alias("t"), F.explode(every_slot).alias("slot"))
     counts = slots.groupBy("slot").agg(F.count(F.lit(1)).alias("raw"), F.sum("t").alias("target"))
@@ -108,11 +105,12 @@ def threshold(docs: DataFrame, measure: DataFrame, weights: DataFrame, ident: st
     """One row (floor): the least ratio of a kept document, from the ratios of the
     trusted documents `measure` (doc_id), which the weights have not seen. Null if
     there are none, or if the weights have seen no trusted words."""
-    some = docs.join(F.broadcast(measure.select(F.col("doc_id").alias("_t"))), F.col(ident) == F.col("_t"), "left_semi")
+    some = docs.join(measure.select(F.col("doc_id").alias("_t")), F.col(ident) == F.col("_t"), "left_semi")
     rows = some.select(word_array(F.coalesce(F.col(text), F.lit(""))).alias("words"))
     rows = rows.withColumn("n_words", F.size("words"))
     ratios = log_ratio(rows.where(F.col("n_words") >= MIN_WORDS), weights)
-    found = ratios.agg(F.percentile("log_ratio", F.array(F.lit(LOW), F.lit(0.5))).alias("q"))
+    low_, middle = column_quantiles(cut(ratios.select("log_ratio"), "ratios"), {"log_ratio": (F.col("log_ratio"), [LOW, 0.5])})["log_ratio"]
+    found = docs.sparkSession.createDataFrame([([low_, middle],)], "q array<double>")
     low = F.when(F.col("learned"), F.col("q")[1] - TIMES * (F.col("q")[1] - F.col("q")[0]))
     return found.crossJoin(F.broadcast(weights.select("learned"))).select(low.alias("floor"))
 
@@ -144,8 +142,8 @@ def quality_rules(docs: DataFrame, trusted: DataFrame, ident: str = "doc_id", te
     )
 
 
-def trusted_documents(labels: DataFrame, docs: DataFrame, ident: str = "doc_id", limit: int = TRUSTED) -> DataFrame:
-    """Up to `limit` ids labelled good, of those that `docs` has, by a hash of the id."""
+def trusted_documents(labels: DataFrame, docs: DataFrame, ident: str = "doc_id") -> DataFrame:
+    """All ids labelled good, of those that `docs` has. Half of them, by a hash of the id,
+    make the target multinomial; the other half's ratios set the threshold."""
     good = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct()
-    there = good.join(docs.select(F.col(ident).alias("_t")), F.col("doc_id") == F.col("_t"), "left_semi")
-    return there.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
+    return good.join(docs.select(F.col(ident).alias("_t")), F.col("doc_id") == F.col("_t"), "left_semi")

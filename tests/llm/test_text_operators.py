@@ -332,6 +332,21 @@ def test_quality_rules_reject_other_text(spark):
     assert quality_rules.quality_rules(df, labels.limit(0)).where("kept").count() == 300
 
 
+def test_quality_rules_move_texts_once(spark, tmp_path):
+    """Few trusted documents or many: texts meet their ids by a shuffle, never by a
+    broadcast, and the threshold is found without them."""
+    rows = [(k, " ".join(f"w{k * 7 % 11 + j}" for j in range(60))) for k in range(12)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "docs"))
+    docs, trusted = spark.read.parquet(str(tmp_path / "docs")), spark.createDataFrame([(k,) for k in range(6)], "doc_id long")
+    plan = quality_rules.ratio_weights(docs, trusted, "doc_id", "text")._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=shuffle_hash" in plan
+    judged = spark.createDataFrame([(1, 60, 0.5), (2, 60, 0.25), (3, 10, 9.0), (9, 60, 7.0)], "doc_id long, n_words int, log_ratio double")
+    weights = spark.createDataFrame([([0.0], True)], "weights array<double>, learned boolean")
+    low, middle = np.quantile([0.5, 0.25], [quality_rules.LOW, 0.5])
+    found = quality_rules.threshold(judged, trusted, weights).first().floor
+    assert abs(found - (middle - quality_rules.TIMES * (middle - low))) < 1e-12
+
+
 def test_quality_rules_empty(spark):
     none = spark.createDataFrame([], "doc_id long")
     assert quality_rules.quality_rules(empty(spark), none).collect() == []

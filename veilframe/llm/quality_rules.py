@@ -76,9 +76,11 @@ def ratio_weights(docs: DataFrame, trusted: DataFrame, ident: str, text: str) ->
     """One row (weights, learned): log(p_target / p_raw) by bucket, both with one added,
     and whether the target has any words.
 
-    Raw counts come from every document, target counts from all of `trusted` (doc_id).
+    Raw counts come from every document, target counts from all of `trusted` (doc_id),
+    whose ids grow with the documents: texts meet them by a shuffle at any size, the only
+    one that texts take, and are not sorted for it.
     """
-    marks = trusted.select(F.col("doc_id").alias("_t")).distinct()
+    marks = trusted.select(F.col("doc_id").alias("_t")).distinct().hint("shuffle_hash")
     marked = docs.select(F.col(ident).alias("doc_id"), F.col(text).alias("_text")).join(marks, F.col("doc_id") == F.col("_t"), "left")
     words = marked.select("_t", word_array(F.coalesce("_text", F.lit(""))).alias("words"))
     every_slot = F.concat(F.transform("words", _word_slot), F.transform("words", lambda word, i: _pair_slot(F.col("words"), word, i)))
@@ -101,16 +103,14 @@ def log_ratio(rows: DataFrame, weights: DataFrame) -> DataFrame:
     return rows.crossJoin(F.broadcast(weights)).withColumn("log_ratio", mean).drop("weights", "learned")
 
 
-def threshold(docs: DataFrame, measure: DataFrame, weights: DataFrame, ident: str, text: str) -> DataFrame:
-    """One row (floor): the least ratio of a kept document, from the ratios of the
-    trusted documents `measure` (doc_id), which the weights have not seen. Null if
-    there are none, or if the weights have seen no trusted words."""
-    some = docs.join(measure.select(F.col("doc_id").alias("_t")), F.col(ident) == F.col("_t"), "left_semi")
-    rows = some.select(word_array(F.coalesce(F.col(text), F.lit(""))).alias("words"))
-    rows = rows.withColumn("n_words", F.size("words"))
-    ratios = log_ratio(rows.where(F.col("n_words") >= MIN_WORDS), weights)
-    low_, middle = column_quantiles(cut(ratios.select("log_ratio"), "ratios"), {"log_ratio": (F.col("log_ratio"), [LOW, 0.5])})["log_ratio"]
-    found = docs.sparkSession.createDataFrame([([low_, middle],)], "q array<double>")
+def threshold(rows: DataFrame, measure: DataFrame, weights: DataFrame) -> DataFrame:
+    """One row (floor): the least ratio of a kept document, from the ratios in `rows`
+    (doc_id, n_words, log_ratio) of the trusted documents `measure` (doc_id), which the
+    weights have not seen. Null if there are none, or if the weights have seen no trusted
+    words."""
+    some = rows.where(F.col("n_words") >= MIN_WORDS).join(measure, "doc_id", "left_semi")
+    low_, middle = column_quantiles(cut(some.select("log_ratio"), "ratios"), {"log_ratio": (F.col("log_ratio"), [LOW, 0.5])})["log_ratio"]
+    found = rows.sparkSession.createDataFrame([([low_, middle],)], "q array<double>")
     low = F.when(F.col("learned"), F.col("q")[1] - TIMES * (F.col("q")[1] - F.col("q")[0]))
     return found.crossJoin(F.broadcast(weights.select("learned"))).select(low.alias("floor"))
 
@@ -131,8 +131,10 @@ def quality_rules(docs: DataFrame, trusted: DataFrame, ident: str = "doc_id", te
     trusted = cut(trusted.select("doc_id").distinct(), "trusted")
     half = F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(2))
     weights = cut(ratio_weights(docs, trusted.where(half == 0), ident, text), "weights")
-    floor = cut(threshold(docs, trusted.where(half == 1), weights, ident, text), "floor")
-    rows = log_ratio(statistics(docs, ident, text), weights).crossJoin(F.broadcast(floor))
+    # ratios are written with the counts, so that the threshold needs no texts
+    judged = cut(log_ratio(statistics(docs, ident, text), weights).drop("words"), "judged")
+    floor = cut(threshold(judged, trusted.where(half == 1), weights), "floor")
+    rows = judged.crossJoin(F.broadcast(floor))
     n = F.col("n_words")
     failed = (n < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_SHARE * n)
     passed = F.col("log_ratio") >= F.coalesce("floor", F.lit(float("-inf")))

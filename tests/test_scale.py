@@ -3,8 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
-from veilframe.operators import ordered, release, risk, utility
+from veilframe.operators import ordered, release, risk, transforms, utility
 from veilframe.operators.roles import Roles
+from veilframe.plans.bindings import SMALL, usage
 
 ROLES = Roles()
 
@@ -63,3 +64,10 @@ def test_regions_whose_means_differ_in_the_last_digit_tie(spark):
     rows = [("a", 0.1 + 0.2, 1.0), ("b", 0.3, 1.0), ("c", 0.5, 2.0)]
     joined = spark.createDataFrame([(r, x, 1, y, 1) for r, x, y in rows], "province string, m_median_rel double, n_subscribers_rel long, m_median_raw double, n_subscribers_raw long")
     assert utility.u3_ranks(joined, ROLES, ["m"]).first().spearman == 1.0
+
+
+def test_categories_are_folded_by_a_table_of_their_own(spark):
+    """Counts of places, of which there are many, do not stand in the table that rows are
+    joined to for their categories: it would look too large to be broadcast."""
+    source = transforms.read_source(usage(spark, "/root/testdata/sf0.001"), ROLES, SMALL)
+    assert {r["column"] for r in source.counts.collect()} == set(ROLES.categories)

@@ -41,6 +41,16 @@ def test_prepare(prepared):
     assert {r[0] for r in prepared.select("radio_access_type").distinct().collect()} == {"5G", "OTHER"}
 
 
+def test_cells_alone_are_prepared_as_with_the_rest(spark, raw):
+    """Rare categories, null keys, regions and times included."""
+    odd = [(None, *row(START, 98, "100000000001", "Uusimaa", "5G", "Gaming", *range(7))[1:]), row(START, 97, "100000000001", None, None, "Streaming", *range(7))]
+    log = raw.union(spark.createDataFrame(odd, COLUMNS)).union(raw.limit(1).withColumn("msisdn", F.lit(None).cast("string")))
+    whole = transforms.prepare(log, ROLES, CONFIG).select(ROLES.key, *ROLES.cell)
+    alone = transforms.prepare_cells(log, ROLES, CONFIG)
+    assert sorted(map(str, alone.collect())) == sorted(map(str, whole.collect()))
+    assert alone.where("application_category = 'OTHER'").count() == 2 and alone.where("time_bucket IS NULL").count() == 1
+
+
 def test_bucket_is_not_finer_than_the_data(raw):
     assert tuple(transforms.effective_bucket(raw, "time_start", 5).first()) == (10, 10)
     assert tuple(transforms.effective_bucket(raw, "time_start", None).first()) == (10, 10)

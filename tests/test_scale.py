@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from veilframe.operators import ordered, release, risk, transforms, utility
 from veilframe.operators.roles import Roles
+from veilframe.plans import queries as plans
 from veilframe.plans.bindings import SMALL, usage
 
 ROLES = Roles()
@@ -66,6 +67,15 @@ def test_regions_whose_means_differ_in_the_last_digit_tie(spark):
     assert utility.u3_ranks(joined, ROLES, ["m"]).first().spearman == 1.0
 
 
+@pytest.mark.parametrize(("name", "times"), [("anon_laplace", 6)])
+def test_who_is_in_which_cell_is_found_without_places_and_metrics(spark, name, times):
+    """It read 10 rows for each line when the whole table was prepared for it."""
+    folder = "/root/testdata/sf0.01"
+    lines = spark.read.parquet(f"{folder}/lineitem.parquet").count()
+    read, _ = work(spark, lambda: plans.QUERIES[name](spark, folder).collect())
+    assert read < times * lines
+
+
 def test_categories_are_folded_by_a_table_of_their_own(spark):
     """Counts of places, of which there are many, do not stand in the table that rows are
     joined to for their categories: it would look too large to be broadcast."""

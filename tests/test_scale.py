@@ -67,9 +67,9 @@ def test_regions_whose_means_differ_in_the_last_digit_tie(spark):
     assert utility.u3_ranks(joined, ROLES, ["m"]).first().spearman == 1.0
 
 
-@pytest.mark.parametrize(("name", "times"), [("anon_laplace", 6)])
+@pytest.mark.parametrize(("name", "times"), [("anon_laplace", 6), ("risk_a6", 8)])
 def test_who_is_in_which_cell_is_found_without_places_and_metrics(spark, name, times):
-    """It read 10 rows for each line when the whole table was prepared for it."""
+    """Both read 10 rows for each line when the whole table was prepared for them."""
     folder = "/root/testdata/sf0.01"
     lines = spark.read.parquet(f"{folder}/lineitem.parquet").count()
     read, _ = work(spark, lambda: plans.QUERIES[name](spark, folder).collect())

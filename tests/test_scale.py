@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from veilframe.functions import numeric
 from veilframe.operators import ordered, release, risk, transforms, utility
 from veilframe.operators.roles import Roles
 from veilframe.plans import queries as plans
@@ -40,6 +41,21 @@ def test_quantiles_read_the_rows_twice(spark, tmp_path):
     assert read < 2.5 * n
 
 
+def test_quantiles_of_columns_look_again_at_few_rows(spark, monkeypatch):
+    n, looked, quantiles = 100_000, [], ordered.quantiles
+
+    def spied(df, by, value, shares, only, near):
+        return quantiles(df, by, value, shares, only, lambda ranges: [looked.append(near(ranges).count()), near(ranges)][1])
+
+    monkeypatch.setattr(ordered, "quantiles", spied)
+    v, w = F.exp(F.rand(1) * 40 - 20), F.when(F.col("id") % 7 == 0, float("nan")).when(F.col("id") % 11 > 0, (F.col("id") % 5).cast("double"))
+    rows = spark.range(n).select(v.alias("v"), w.alias("w")).cache()
+    got = ordered.column_quantiles(rows, {"v": (F.col("v"), [0.01, 0.99]), "w": (numeric.clean(F.col("w")), [0.5])})
+    want = rows.agg(F.percentile("v", F.array(F.lit(0.01), F.lit(0.99))).alias("v"), F.percentile(numeric.clean(F.col("w")), 0.5).alias("w")).first()
+    assert got["v"] == pytest.approx(want.v, rel=1e-12) and got["w"] == [want.w]
+    assert len(looked) == 1 and 0 < looked[0] < n / 50
+
+
 def test_quantiles_of_infinities_and_tiny_values(spark):
     values = [float("-inf"), -1e300, -5e-324, -0.0, 0.0, 5e-324, 1e-310, 1e300, float("inf")]
     got = ordered.quantiles(spark.createDataFrame([(v,) for v in values], "v double"), [], "v", [k / 8 for k in range(9)]).first()

@@ -3,7 +3,7 @@
 import pytest
 
 from tests.test_plans import FOLDER, equal_sql
-from veilframe.operators import release, transforms
+from veilframe.operators import release, transforms, utility
 from veilframe.plans import queries as plans
 from veilframe.plans.bindings import ROLES
 
@@ -35,3 +35,19 @@ def test_k_anonymity_joins_rows_with_groups_that_have_k(spark, written):
 @pytest.mark.parametrize("name", ["anon_kanon", "anon_sweep_record"])
 def test_the_same_groups_as_in_sql(spark, name):
     assert equal_sql(spark, name, "/root/testdata/sf0.01")
+
+
+def test_fidelity_writes_counts_of_values_and_equals_its_sql(spark, monkeypatch):
+    tables = []
+    monkeypatch.setattr(utility, "cut", lambda df, name="cut": tables.append(name))
+    assert len(equal_sql(spark, "util_u5", "/root/testdata/sf0.01")) == 6
+    assert not tables  # "tall" before: a row for each metric of each row of both sides
+
+
+def test_fidelity_of_one_side_and_of_nothing(spark):
+    raw = spark.createDataFrame([(1.0,), (2.0,), (None,), (float("nan"),)], "x double")
+    row = utility.u5_fidelity(raw, raw.where("x > 5 or x is null"), ["x"]).first()
+    assert (row.change_mean, row.change_p50, row.share_zero_raw, row.share_zero_rel, row.tail_flagged) == (None, None, 0.0, None, False)
+    assert utility.u5_fidelity(raw.limit(0), raw.limit(0), ["x"]).count() == 0
+    same = utility.u5_fidelity(raw, raw, ["x"]).first()
+    assert (same.wasserstein, same.ks, same.change_p95) == (0.0, 0.0, 0.0)
